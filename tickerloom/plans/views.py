@@ -51,7 +51,7 @@ def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         supplier_bars(spark, sf_dir)
         .groupBy("ts")
-        .agg((ticks / F.count("*") / 10000.0).alias("close"))
+        .agg((_whole(ticks / F.count("*")) / 10000.0).alias("close"))
         .select(F.lit(MARKET).alias("ticker"), "ts", "close")
     )
 
