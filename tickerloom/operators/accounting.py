@@ -171,25 +171,6 @@ def company_values(facts: DataFrame) -> DataFrame:
     )
 
 
-def book_to_market(equity: Column, shares: Column, price: Column) -> Column:
-    usable = (equity != 0) & (shares > 0) & (price > 0)
-    return F.when(usable, safe_round(F.try_divide(equity, shares * price)))
-
-
-def market_cap(shares: Column, price: Column) -> Column:
-    """In billions."""
-    usable = (shares > 0) & (price > 0)
-    return F.when(usable, safe_round(shares * price / F.lit(1e9), 2))
-
-
-def profitability(op_income: Column, equity: Column) -> Column:
-    return F.when(equity != 0, safe_round(F.try_divide(op_income, F.abs(equity))))
-
-
-def asset_growth(assets: Column, prior: Column) -> Column:
-    return F.when(prior != 0, safe_round(F.try_divide(assets - prior, F.abs(prior))))
-
-
 def values_by_ticker(facts: DataFrame, cik_map: DataFrame) -> DataFrame:
     """Company values under each ticker of the company.
 
@@ -200,13 +181,24 @@ def values_by_ticker(facts: DataFrame, cik_map: DataFrame) -> DataFrame:
 
 
 def factor_columns(price: str = "price") -> dict[str, Column]:
-    """BM, OP, INV and MCAP from company values and a price."""
-    col = F.col
+    """BM, OP, INV and MCAP from company values and a price.
+
+    A ratio is NULL where its divisor is zero or missing, and the price ratios need
+    positive shares and price. The market capitalisation is in billions.
+    """
+    priced = f"shares > 0 and {price} > 0"
+    formulas = {
+        "bm": (f"if(equity <> 0 and {priced}, try_divide(equity, shares * {price}), null)", 3),
+        "op": ("if(equity <> 0, op_income / abs(equity), null)", 3),
+        "inv": (
+            "if(prior_assets <> 0, (assets - prior_assets) / abs(prior_assets), null)",
+            3,
+        ),
+        "mcap": (f"if({priced}, shares * {price} / 1e9D, null)", 2),
+    }
     return {
-        "bm": book_to_market(col("equity"), col("shares"), col(price)),
-        "op": profitability(col("op_income"), col("equity")),
-        "inv": asset_growth(col("assets"), col("prior_assets")),
-        "mcap": market_cap(col("shares"), col(price)),
+        name: safe_round(F.expr(formula), digits)
+        for name, (formula, digits) in formulas.items()
     }
 
 

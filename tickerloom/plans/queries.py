@@ -231,11 +231,10 @@ def penny_filter(spark, sf_dir):
 
 
 def _betas(spark, sf_dir):
+    suppliers = views.supplier_bars(spark, sf_dir)
+    market = views.market_bars(spark, sf_dir, suppliers)
     return daily.market_beta(
-        views.bars(spark, sf_dir),
-        AS_OF,
-        PARAMS,
-        market_bars=views.market_bars(spark, sf_dir),
+        suppliers.unionByName(market), AS_OF, PARAMS, market_bars=market
     )
 
 
@@ -299,13 +298,15 @@ def ratio(name, needs_price):
 
 def evaluated(spark, sf_dir, as_of=AS_OF, universe=None):
     """The evaluation of a universe, by default of all suppliers and the market."""
+    suppliers = views.supplier_bars(spark, sf_dir)
+    market = views.market_bars(spark, sf_dir, suppliers)
     return ev.evaluate(
-        views.bars(spark, sf_dir),
+        suppliers.unionByName(market),
         as_of,
         facts=views.facts(spark, sf_dir),
         cik_map=views.cik_map(spark, sf_dir),
         universe=views.universe(spark, sf_dir) if universe is None else universe,
-        market_bars=views.market_bars(spark, sf_dir),
+        market_bars=market,
         params=PARAMS,
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.params import DEFAULTS
@@ -19,171 +19,158 @@ OLD_AS_OF = datetime(2001, 8, 1)
 MARKET = "MKT"
 PARAMS = replace(DEFAULTS, market=MARKET)
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+TABLE_SCHEMAS = {
+    "lineitem": "l_suppkey BIGINT, l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING,"
+    " o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE",
+    "documents": "doc_id BIGINT, text STRING",
+}
 
 
-def _whole(value: Column) -> Column:
-    return F.rint(value).cast("bigint")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; known schemas spare the job that would infer them from the files."""
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One daily bar per supplier and ship date; every tenth supplier is a penny stock."""
-    cents = F.sum(_whole(F.col("l_extendedprice") * 100))
     daily = (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", F.col("l_shipdate").alias("ts"))
-        .agg(cents.alias("cents"), F.count("*").alias("n"))
+        .groupBy("l_suppkey", "l_shipdate")
+        .agg(
+            F.expr("sum(cast(rint(l_extendedprice * 100) as bigint))").alias("cents"),
+            F.count("*").alias("n"),
+        )
     )
-    factor = F.when(F.col("l_suppkey") % 10 == 7, 0.03).otherwise(1.0)
-    level = (100 + (F.col("cents") / F.col("n")) / 100000.0) * factor
-    return daily.select(
-        F.concat(F.lit("S"), "l_suppkey").alias("ticker"),
-        "ts",
-        (_whole(level * 10000) / 10000.0).alias("close"),
+    factor = "if(l_suppkey % 10 = 7, 0.03D, 1D)"
+    level = f"(100 + (cents / n) / 100000D) * {factor}"
+    return daily.selectExpr(
+        "concat('S', l_suppkey) as ticker",
+        "l_shipdate as ts",
+        f"cast(rint({level} * 10000) as bigint) / 10000D as close",
     )
 
 
-def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_bars(
+    spark: SparkSession, sf_dir: str, suppliers: DataFrame | None = None
+) -> DataFrame:
     """Mean close of all suppliers per day under the market ticker."""
-    ticks = F.sum(_whole(F.col("close") * 10000))
+    suppliers = supplier_bars(spark, sf_dir) if suppliers is None else suppliers
+    mean = "rint(sum(cast(rint(close * 10000) as bigint)) / count(*)) / 10000D"
     return (
-        supplier_bars(spark, sf_dir)
-        .groupBy("ts")
-        .agg((_whole(ticks / F.count("*")) / 10000.0).alias("close"))
-        .select(F.lit(MARKET).alias("ticker"), "ts", "close")
+        suppliers.groupBy("ts")
+        .agg(F.expr(mean).alias("close"))
+        .selectExpr(f"'{MARKET}' as ticker", "ts", "close")
     )
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supplier_bars(spark, sf_dir).unionByName(market_bars(spark, sf_dir))
+    suppliers = supplier_bars(spark, sf_dir)
+    return suppliers.unionByName(market_bars(spark, sf_dir, suppliers))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier and the market as a ticker."""
-    listed = table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("S"), "s_suppkey").alias("ticker")
-    )
-    return listed.union(spark.range(1).select(F.lit(MARKET).alias("ticker")))
+    listed = table(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) as ticker")
+    return listed.union(spark.range(1).selectExpr(f"'{MARKET}' as ticker"))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("U"), "user_id").alias("ticker"),
-        "ts",
-        F.col("value").alias("price"),
-        F.col("event_id").alias("seq"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('U', user_id) as ticker", "ts", "value as price", "event_id as seq"
     )
 
 
 def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ticks as an intraday series of closes."""
-    return ticks(spark, sf_dir).select("ticker", "ts", F.col("price").alias("close"))
+    return ticks(spark, sf_dir).selectExpr("ticker", "ts", "price as close")
 
 
-def _concept():
-    priority = F.col("o_orderpriority")
-    return (
-        F.when(priority == "1-URGENT", "StockholdersEquity")
-        .when(priority == "2-HIGH", "CommonStockSharesOutstanding")
-        .when(priority == "3-MEDIUM", "OperatingIncomeLoss")
-        .when(priority == "4-NOT SPECIFIED", "Assets")
-        .otherwise(
-            "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"
-        )
-    )
+CONCEPT = """
+case o_orderpriority
+  when '1-URGENT' then 'StockholdersEquity'
+  when '2-HIGH' then 'CommonStockSharesOutstanding'
+  when '3-MEDIUM' then 'OperatingIncomeLoss'
+  when '4-NOT SPECIFIED' then 'Assets'
+  else 'StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest' end"""
 
+UNIT = """
+if(o_orderpriority <> '2-HIGH' or (o_orderkey % 17 = 0 and o_custkey % 2 = 0),
+   'USD', 'shares')"""
 
-def _unit():
-    in_dollars = (F.col("o_orderpriority") != "2-HIGH") | (
-        (F.col("o_orderkey") % 17 == 0) & (F.col("o_custkey") % 2 == 0)
-    )
-    return F.when(in_dollars, "USD").otherwise("shares")
+FORM = "case o_orderstatus when 'F' then '10-K' when 'O' then '10-K/A' else '10-Q' end"
 
-
-def _form():
-    status = F.col("o_orderstatus")
-    return (
-        F.when(status == "F", "10-K").when(status == "O", "10-K/A").otherwise("10-Q")
-    )
+FILED = "date_format(o_orderdate, 'yyyy-MM-dd')"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings derived from orders, a hundred companies."""
-    amount = F.col("o_totalprice")
-    value = (
-        F.when(F.col("o_orderkey") % 11 == 0, 0.0)
-        .when(F.col("o_orderkey") % 13 == 0, -amount)
-        .otherwise(amount)
-    )
-    return table(spark, sf_dir, "orders").select(
-        F.lpad((F.col("o_custkey") % 100).cast("string"), 10, "0").alias("cik"),
-        F.lit("us-gaap").alias("taxonomy"),
-        _concept().alias("concept"),
-        _unit().alias("unit"),
-        F.col("o_orderkey").alias("pos"),
-        F.concat(F.year("o_orderdate"), F.lit("-12-31")).alias("end"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"),
-        _form().alias("form"),
-        value.alias("val"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "lpad(cast(o_custkey % 100 as string), 10, '0') as cik",
+        "'us-gaap' as taxonomy",
+        f"{CONCEPT} as concept",
+        f"{UNIT} as unit",
+        "o_orderkey as pos",
+        "concat(year(o_orderdate), '-12-31') as end",
+        f"{FILED} as filed",
+        f"{FORM} as form",
+        """case when o_orderkey % 11 = 0 then 0D
+                when o_orderkey % 13 = 0 then -o_totalprice
+                else o_totalprice end as val""",
     )
 
 
 def cik_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers under a hundred companies; those with a negative balance have no CIK."""
-    return (
-        table(spark, sf_dir, "supplier")
-        .where("s_acctbal >= 0")
-        .select(
-            F.concat(F.lit("S"), "s_suppkey").alias("ticker"),
-            F.lpad((F.col("s_suppkey") % 100).cast("string"), 10, "0").alias("cik"),
-        )
+    registered = table(spark, sf_dir, "supplier").where("s_acctbal >= 0")
+    return registered.selectExpr(
+        "concat('S', s_suppkey) as ticker",
+        "lpad(cast(s_suppkey % 100 as string), 10, '0') as cik",
     )
 
 
 def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per order: a reported value, its amendment, and another concept."""
-    year = F.year("o_orderdate")
-    entry = lambda end, filed, form, val: F.struct(
-        end.alias("end"), filed.alias("filed"), form.alias("form"), val.alias("val")
-    )
-    filed = F.date_format("o_orderdate", "yyyy-MM-dd")
-    end = F.concat(year, F.lit("-12-31"))
-    reported = F.array(
-        entry(end, filed, _form(), F.col("o_totalprice")),
-        entry(
-            F.concat(year - 1, F.lit("-12-31")),
-            filed,
-            F.lit("10-K/A"),
-            -F.col("o_totalprice"),
-        ),
+    """One JSON document per order: a reported value, its amendment, and other concepts."""
+    year = "year(o_orderdate)"
+
+    def entry(year_of: str, form: str, value: str) -> str:
+        return (
+            f"named_struct('end', concat({year_of}, '-12-31'), 'filed', {FILED},"
+            f" 'form', {form}, 'val', {value})"
+        )
+
+    def body(unit: str, entries: str) -> str:
+        return f"named_struct('units', map({unit}, {entries}))"
+
+    reported = (
+        f"array({entry(year, FORM, 'o_totalprice')},"
+        f" {entry(f'{year} - 1', repr('10-K/A'), '-o_totalprice')})"
     )
-    other = F.array(entry(end, filed, F.lit("8-K"), F.col("o_custkey").cast("double")))
-    body = lambda unit, entries: F.struct(F.create_map(unit, entries).alias("units"))
-    gaap = F.create_map(
-        _concept(), body(_unit(), reported), F.lit("Liabilities"), body(F.lit("USD"), other)
+    other = f"array({entry(year, repr('8-K'), 'cast(o_custkey as double)')})"
+    gaap = (
+        f"map({CONCEPT}, {body(UNIT, reported)},"
+        f" 'Liabilities', {body(repr('USD'), other)})"
     )
-    dei = F.create_map(F.lit("EntityPublicFloat"), body(F.lit("pure"), other))
-    document = F.struct(
-        F.col("o_custkey").alias("cik"),
-        F.create_map(F.lit("us-gaap"), gaap, F.lit("dei"), dei).alias("facts"),
+    dei = f"map('EntityPublicFloat', {body(repr('pure'), other)})"
+    document = (
+        f"named_struct('cik', o_custkey, 'facts', map('us-gaap', {gaap}, 'dei', {dei}))"
     )
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc"), F.to_json(document).alias("json")
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc", f"to_json({document}) as json"
     )
 
 
 def cik_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document per supplier: its own ticker, and one its nation shares."""
-    item = lambda ticker, number: F.struct(
-        number.alias("cik_str"), ticker.alias("ticker")
-    )
-    own = item(F.concat(F.lit("s"), "s_suppkey"), F.col("s_suppkey"))
-    shared = item(F.concat(F.lit("n"), "s_nationkey"), F.col("s_suppkey") * 7)
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("doc"),
-        F.to_json(F.create_map(F.lit("0"), own, F.lit("1"), shared)).alias("json"),
+    own = "named_struct('cik_str', s_suppkey, 'ticker', concat('s', s_suppkey))"
+    shared = "named_struct('cik_str', s_suppkey * 7, 'ticker', concat('n', s_nationkey))"
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as doc", f"to_json(map('0', {own}, '1', {shared})) as json"
     )
 
 

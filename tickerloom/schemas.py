@@ -49,6 +49,9 @@ SNAPSHOT = T.StructType(
     ]
 )
 
+#: One evaluated ticker: the snapshot plus why it is rejected, if it is.
+EVALUATION = T.StructType(SNAPSHOT.fields + [T.StructField("reason", T.StringType())])
+
 #: One stored universe: the snapshot plus insertion order and the time it was computed for.
 UNIVERSE = T.StructType(
     SNAPSHOT.fields

@@ -4,6 +4,9 @@ A save writes a fresh version directory first and appends one row to the commit
 only when that succeeded. Readers follow the log, so a refresh may read the universe it
 replaces, a lost executor costs a retry, and an abandoned write is never seen. One writer
 per universe at a time.
+
+Layout: ``commits/`` (the log), ``universes/dbname=/version=/`` (rows) and
+``evaluations/dbname=/version=/`` (the evaluation a version was made from).
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ class UniverseStore:
                 raise
             return self.spark.createDataFrame([], COMMIT_SCHEMA)
 
-    def _version_path(self, dbname: str, version: int) -> str:
-        return f"{self.root}/universes/dbname={dbname}/version={version}"
+    def _version_path(self, kind: str, dbname: str, version: int) -> str:
+        return f"{self.root}/{kind}/dbname={dbname}/version={version}"
 
     def version(self, dbname: str) -> int | None:
         """Latest saved version of a universe, or None."""
@@ -72,9 +75,31 @@ class UniverseStore:
         if version is None:
             raise UnknownUniverse(dbname)
         return self.spark.read.schema(schemas.UNIVERSE).parquet(
-            self._version_path(dbname, version)
+            self._version_path("universes", dbname, version)
         )
 
+    def stage_evaluation(self, evaluated: DataFrame, dbname: str) -> DataFrame:
+        """Write the evaluation for the next version and return it as a table.
+
+        The rows, the rejects and the counts of a run then share one computation.
+        """
+        path = self._version_path("evaluations", dbname, self.next_version(dbname))
+        evaluated.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schemas.EVALUATION).parquet(path)
+
+    def evaluation(self, dbname: str) -> DataFrame:
+        """The evaluation the latest version was made from; empty if it needed none."""
+        version = self.version(dbname)
+        if version is None:
+            raise UnknownUniverse(dbname)
+        path = self._version_path("evaluations", dbname, version)
+        try:
+            return self.spark.read.schema(schemas.EVALUATION).parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schemas.EVALUATION)
+
     def save(self, rows: DataFrame, dbname: str) -> int:
         """Replace a universe by ``rows`` and return the new version."""
         version = self.next_version(dbname)
@@ -83,7 +108,7 @@ class UniverseStore:
             for field in schemas.UNIVERSE.fields
         ]
         rows.select(*columns).write.mode("overwrite").parquet(
-            self._version_path(dbname, version)
+            self._version_path("universes", dbname, version)
         )
         commit = self.spark.createDataFrame([(dbname, version)], COMMIT_SCHEMA)
         commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
