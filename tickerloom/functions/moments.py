@@ -37,6 +37,26 @@ def moment_literal(moment: datetime) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{naive_utc(moment):%Y-%m-%d %H:%M:%S.%f}'")
 
 
+def utc_wall_clock(instant: str) -> Column:
+    """TIMESTAMP column to the TIMESTAMP_NTZ a UTC clock shows, in any session time zone.
+
+    A plain cast would go through local time, where the hour a clock is set back is
+    ambiguous.
+    """
+    seconds = f"cast(cast(unix_micros({instant}) as decimal(20, 0)) / 1000000 as decimal(18, 6))"
+    return F.expr(f"TIMESTAMP_NTZ '1970-01-01' + make_dt_interval(0, 0, 0, {seconds})")
+
+
+def utc_instant(wall_clock: str) -> Column:
+    """TIMESTAMP_NTZ column, read as UTC, to a TIMESTAMP; inverse of ``utc_wall_clock``."""
+    minutes = f"hour({wall_clock}) * 60L + minute({wall_clock})"
+    micros = f"cast(extract(second from {wall_clock}) * 1000000 as bigint)"
+    return F.expr(
+        f"timestamp_micros((unix_date(cast({wall_clock} as date)) * 1440L + {minutes})"
+        f" * 60000000L + {micros})"
+    )
+
+
 def delayed_as_of(run_ts: datetime, minutes: int = 20) -> datetime:
     """The latest moment the data can be complete for, given the feed's delay."""
     return naive_utc(run_ts) - timedelta(minutes=minutes)

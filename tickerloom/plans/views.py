@@ -62,10 +62,12 @@ def market_bars(
     """Mean close of all suppliers per day under the market ticker."""
     suppliers = supplier_bars(spark, sf_dir) if suppliers is None else suppliers
     mean = "rint(sum(cast(rint(close * 10000) as bigint)) / count(*)) / 10000D"
+    # not a plain literal: a join on a constant key has no key to hash by
+    name = f"max(if(close is null, null, '{MARKET}'))"
     return (
         suppliers.groupBy("ts")
-        .agg(F.expr(mean).alias("close"))
-        .selectExpr(f"'{MARKET}' as ticker", "ts", "close")
+        .agg(F.expr(name).alias("ticker"), F.expr(mean).alias("close"))
+        .select("ticker", "ts", "close")
     )
 
 

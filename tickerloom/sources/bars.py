@@ -14,6 +14,7 @@ from tickerloom.functions.moments import (
     in_lookback,
     lookback_start,
     naive_utc,
+    utc_wall_clock,
 )
 
 BAR_PARTITIONS = ["freq", "month"]
@@ -27,9 +28,7 @@ def conform_bars(raw: DataFrame, frequency: str | None = None) -> DataFrame:
     ts_type = raw.schema["ts"].dataType
     ts = F.col("ts")
     if isinstance(ts_type, T.TimestampType):
-        ts = F.convert_timezone(
-            F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")
-        )
+        ts = utc_wall_clock("ts")
     elif not isinstance(ts_type, T.TimestampNTZType):
         ts = ts.cast("timestamp_ntz")
     freq = F.lit(canonical_frequency(frequency)) if frequency else F.col("freq")

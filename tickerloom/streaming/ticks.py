@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickerloom.functions.moments import BUCKETS, canonical_frequency
+from tickerloom.functions.moments import (
+    BUCKETS,
+    canonical_frequency,
+    utc_instant,
+    utc_wall_clock,
+)
 
 
 def stream_bars(
@@ -13,9 +19,12 @@ def stream_bars(
 ) -> DataFrame:
     """Bars of closed buckets; ticks more than ``delay`` behind the newest are dropped.
 
-    State per ticker is the open buckets only. Append mode emits each bar once.
+    State per ticker is the open buckets only. Append mode emits each bar once. Watermarks
+    need TIMESTAMP, so wall-clock times pass through it and come back as TIMESTAMP_NTZ.
     """
     name = canonical_frequency(frequency)
+    if isinstance(ticks.schema["ts"].dataType, T.TimestampNTZType):
+        ticks = ticks.withColumn("ts", utc_instant("ts"))
     bars = (
         ticks.withWatermark("ts", delay)
         .where(F.col(price).isNotNull())
@@ -30,7 +39,7 @@ def stream_bars(
     )
     return bars.select(
         "ticker",
-        F.col("bucket.start").alias("ts"),
+        utc_wall_clock("bucket.start").alias("ts"),
         "open",
         "high",
         "low",
