@@ -247,6 +247,7 @@ SELECT d.doc_id AS list, count(ticker) AS n_tickers,
          AS first_tickers,
        greatest(count(ticker) - 12, 0) AS n_more
 FROM documents d LEFT JOIN tokens t ON t.list = d.doc_id GROUP BY d.doc_id""",
+    "list_names": "SELECT DISTINCT source AS list FROM documents",
     "cik_dim": """
 WITH entries AS (
   SELECT s_suppkey AS doc, 0 AS pos, 'S' || s_suppkey AS ticker, s_suppkey AS number

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators import daily as measures
 from tickerloom.operators import evaluate as ev
-from tickerloom.operators import indicators
 from tickerloom.params import DEFAULTS
 
 
@@ -86,7 +85,7 @@ def test_without_universe_all_bars_are_evaluated(table):
 def test_agrees_with_the_separate_operators(table, evaluated):
     found = values(evaluated)
     bands = values(measures.price_band(table, AS_OF))
-    rsi = values(indicators.rsi_latest(table, AS_OF))
+    rsi = values(measures.rsi_latest(table, AS_OF))
     beta = values(measures.market_beta(table, AS_OF))
     for ticker in ("GOOD", "SPY", "FALL"):
         assert found[ticker]["pct_below_ci"] == bands[ticker]["pct_below_ci"]
@@ -97,7 +96,7 @@ def test_agrees_with_the_separate_operators(table, evaluated):
 def test_other_lookbacks_than_the_longest(table):
     params = replace(DEFAULTS, rsi_days=30, beta_days=100)
     found = values(ev.evaluate(table, AS_OF, params=params))
-    rsi = values(indicators.rsi_latest(table, AS_OF, 30))
+    rsi = values(measures.rsi_latest(table, AS_OF, params))
     beta = values(measures.market_beta(table, AS_OF, params))
     assert found["GOOD"]["rsi"] == rsi["GOOD"]["rsi"]
     assert found["GOOD"]["beta"] == beta["GOOD"]["beta"]

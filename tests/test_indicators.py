@@ -6,6 +6,7 @@ import pytest
 from builders import AS_OF, bars, daily, values
 from pyspark.sql import functions as F
 
+from tickerloom.operators import daily as measures
 from tickerloom.operators import indicators, resample
 from tickerloom.operators.slices import with_lead_in
 
@@ -33,7 +34,7 @@ def pandas_rsi(closes):
 
 
 def latest(spark, closes):
-    frame = indicators.rsi_latest(bars(spark, daily("A", closes)), AS_OF)
+    frame = measures.rsi_latest(bars(spark, daily("A", closes)), AS_OF)
     return values(frame)["A"]["rsi"]
 
 
@@ -60,7 +61,7 @@ def test_rsi_rounds_half_to_even(spark):
 def test_rsi_uses_only_the_lookback(spark):
     old = daily("A", range(100, 140), AS_OF - timedelta(days=800))
     new = daily("A", range(40, 50))
-    assert values(indicators.rsi_latest(bars(spark, old, new), AS_OF))["A"]["rsi"] is None
+    assert values(measures.rsi_latest(bars(spark, old, new), AS_OF))["A"]["rsi"] is None
 
 
 def test_rsi_at_a_date(spark):
@@ -194,6 +195,15 @@ def test_input_order_does_not_matter(spark):
     frame = bars(spark, random_walks(3, 40))
     shuffled = frame.orderBy(F.rand(1))
     as_of = datetime(2024, 2, 1)
-    one = sorted(map(repr, indicators.rsi_latest(frame, as_of).collect()))
-    two = sorted(map(repr, indicators.rsi_latest(shuffled, as_of).collect()))
+    one = sorted(map(repr, measures.rsi_latest(frame, as_of).collect()))
+    two = sorted(map(repr, measures.rsi_latest(shuffled, as_of).collect()))
     assert one == two
+
+
+def test_latest_rsi_is_the_last_of_the_series(spark):
+    closes = np.round(50 + np.random.default_rng(4).normal(0, 1, 300).cumsum(), 2)
+    for count in (14, 15, 16, 40, 300):
+        frame = bars(spark, daily("A", closes[:count]))
+        series = indicators.rsi_series(frame).orderBy(F.col("ts").desc()).first()["rsi"]
+        latest_rsi = values(measures.rsi_latest(frame, AS_OF))["A"]["rsi"]
+        assert latest_rsi == (None if series is None else np.rint(series))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import in_lookback, lookback_start, moment_literal
@@ -81,16 +81,65 @@ def penny_filter(
     )
 
 
+def _by_time() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("ts")
+
+
+def _within(as_of: datetime, days_back: float) -> Column:
+    """True where this bar and the one before it both lie in the lookback.
+
+    A scan that starts earlier must not lend the first bar of a lookback a predecessor.
+    """
+    start = moment_literal(lookback_start(as_of, days_back))
+    return F.lag("ts").over(_by_time()) >= start
+
+
 def beta_return(as_of: datetime, params: ScreenParams) -> Column:
-    """Return between two bars that both lie in the beta lookback.
+    """Return on the bar before, inside the beta lookback."""
+    previous = F.lag("close").over(_by_time())
+    ratio = F.try_divide(F.col("close"), previous) - 1
+    return F.when(_within(as_of, params.beta_days), ratio)
 
-    A scan that starts earlier must not lend the first bar of the lookback a return.
+
+def last_changes(as_of: datetime, params: ScreenParams) -> Column:
+    """Change on the bar before, inside the RSI lookback, for a ticker's last bars only.
+
+    The last RSI needs no frame per bar: with only its ``rsi_bars`` changes left, plain
+    sums per ticker give it.
     """
-    by_time = Window.partitionBy("ticker").orderBy("ts")
-    start = moment_literal(lookback_start(as_of, params.beta_days))
-    both_inside = F.lag("ts").over(by_time) >= start
-    previous = F.lag("close").over(by_time)
-    return F.when(both_inside, F.try_divide(F.col("close"), previous) - 1)
+    previous = F.lag("close").over(_by_time())
+    is_last = F.lead("ts", params.rsi_bars).over(_by_time()).isNull()
+    inside = is_last & _within(as_of, params.rsi_days)
+    return F.when(inside, F.col("close") - previous)
+
+
+def rsi_aggregates() -> list[Column]:
+    """Sums of gains and losses and the number of changes, from ``last_chg``."""
+    zero = F.lit(0.0)
+    return [
+        F.sum(F.greatest("last_chg", zero)).alias("gains"),
+        F.sum(F.greatest(-F.col("last_chg"), zero)).alias("losses"),
+        F.count("last_chg").alias("n_changes"),
+    ]
+
+
+def rsi_value(params: ScreenParams) -> Column:
+    """Whole-number RSI from its aggregates; NULL if undefined at the last bar."""
+    rsi = F.try_divide(100 * F.col("gains"), F.col("gains") + F.col("losses"))
+    return F.when(F.col("n_changes") >= params.rsi_bars, half_even(rsi).cast("int"))
+
+
+def rsi_latest(
+    bars: DataFrame, as_of: datetime, params: ScreenParams = DEFAULTS
+) -> DataFrame:
+    """RSI of each ticker's last bar in the lookback; earlier bars are not consulted."""
+    window = bars.where(in_lookback(F.col("ts"), as_of, params.rsi_days))
+    return (
+        window.withColumn("last_chg", last_changes(as_of, params))
+        .groupBy("ticker")
+        .agg(*rsi_aggregates())
+        .select("ticker", rsi_value(params).alias("rsi"))
+    )
 
 
 def market_returns(

@@ -19,11 +19,13 @@ from tickerloom.operators.daily import (
     beta_aggregates,
     beta_return,
     beta_value,
+    last_changes,
     market_returns,
     pct_below_band,
     price_aggregate,
+    rsi_aggregates,
+    rsi_value,
 )
-from tickerloom.operators.indicators import add_rsi, whole_rsi
 from tickerloom.operators.resample import latest_price
 from tickerloom.params import DEFAULTS, ScreenParams
 from tickerloom.schemas import FACTOR_COLUMNS, METRIC_COLUMNS, SNAPSHOT_COLUMNS
@@ -51,16 +53,9 @@ def _measures(
     bars: DataFrame, market_bars: DataFrame, as_of: datetime, params: ScreenParams
 ) -> DataFrame:
     longest = max(params.rsi_days, params.beta_days, params.band_days, params.price_days)
-    window = bars.where(in_lookback(F.col("ts"), as_of, longest))
-    if longest == params.rsi_days:
-        series = add_rsi(window, ["ticker"], params.rsi_bars)
-    else:
-        inside = in_lookback(F.col("ts"), as_of, params.rsi_days)
-        recent = window.withColumn("in_rsi", inside)
-        # bars before the RSI lookback form a series of their own
-        series = add_rsi(recent, ["ticker", "in_rsi"], params.rsi_bars)
-        series = series.withColumn("rsi", F.when(F.col("in_rsi"), F.col("rsi")))
-    series = series.withColumn("ret", beta_return(as_of, params))
+    series = bars.where(in_lookback(F.col("ts"), as_of, longest)).withColumns(
+        {"ret": beta_return(as_of, params), "last_chg": last_changes(as_of, params)}
+    )
     market = market_returns(market_bars, as_of, params)
     return (
         series.join(F.broadcast(market), "ts", "left")
@@ -68,9 +63,10 @@ def _measures(
         .agg(
             *band_aggregates(as_of, params),
             price_aggregate(as_of, params),
-            whole_rsi(F.max_by("rsi", "ts")).alias("rsi"),
+            *rsi_aggregates(),
             *beta_aggregates(),
         )
+        .withColumn("rsi", rsi_value(params))
     )
 
 

@@ -108,22 +108,6 @@ def rsi_series(
     return over_series(bars, compute, bars_back, slice_every)
 
 
-def whole_rsi(rsi: Column) -> Column:
-    return half_even(rsi).cast("int")
-
-
-def rsi_latest(
-    bars: DataFrame, as_of: datetime, days_back: float = DEFAULTS.rsi_days
-) -> DataFrame:
-    """RSI of each ticker's last bar in the lookback, as a whole number.
-
-    NULL if undefined at that very bar; earlier bars are not consulted.
-    """
-    window = bars.where(in_lookback(F.col("ts"), as_of, days_back))
-    latest = F.max_by("rsi", "ts")
-    return rsi_series(window).groupBy("ticker").agg(whole_rsi(latest).alias("rsi"))
-
-
 def rsi_at(
     bars: DataFrame,
     moment: datetime,
@@ -136,7 +120,7 @@ def rsi_at(
         & (F.col("ts") <= moment_literal(moment))
     )
     at = rsi_series(window).where(F.col("ts") == moment_literal(moment))
-    return at.select("ticker", "ts", whole_rsi(F.col("rsi")).alias("rsi"))
+    return at.select("ticker", "ts", half_even(F.col("rsi")).cast("int").alias("rsi"))
 
 
 def moving_average_signals(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import null_if_zero
+from tickerloom.operators.checkpoints import checkpointed
 
 # What a missing factor counts as when sorting.
 MISSING_LOW = -999.0
@@ -56,10 +57,7 @@ def numbered(rows: DataFrame, choice: str = "normal") -> DataFrame:
     The range-partitioned sort is checkpointed, which fixes partitions and their order.
     Places then need one count per partition: as many rows as there are partitions.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    ordered = sort_rows(rows, choice).checkpoint()
+    ordered = checkpointed(sort_rows(rows, choice))
     tagged = ordered.withColumns(
         {
             "_part": F.spark_partition_id(),
@@ -79,13 +77,3 @@ def numbered(rows: DataFrame, choice: str = "normal") -> DataFrame:
         .withColumn("pos", place)
         .drop("_part", "_row", "_offset")
     )
-
-
-def checkpoint_folder(spark) -> str:
-    """The cluster's shared folder, or a fresh temporary one where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tickerloom-checkpoint-")

@@ -30,6 +30,7 @@ from tickerloom.operators import (
     screening,
     universe as uni,
 )
+from tickerloom.operators.checkpoints import checkpointed
 from tickerloom.plans import views
 from tickerloom.plans.views import AS_OF, OLD_AS_OF, PARAMS
 from tickerloom.schemas import METRIC_COLUMNS
@@ -116,6 +117,12 @@ def facts_named(spark, sf_dir):
     )
 
 
+def list_names(spark, sf_dir):
+    """Every source of documents as the name of a list."""
+    sources = views.table(spark, sf_dir, "documents").selectExpr("source as list")
+    return lists.list_names(sources)
+
+
 def names_normalized(spark, sf_dir):
     """Ticker, universe name, portfolio flag and padded number of every supplier."""
     return views.table(spark, sf_dir, "supplier").select(
@@ -181,7 +188,7 @@ def sma_intraday(spark, sf_dir):
 
 
 def rsi_latest(spark, sf_dir):
-    return indicators.rsi_latest(views.bars(spark, sf_dir), AS_OF)
+    return daily.rsi_latest(views.bars(spark, sf_dir), AS_OF)
 
 
 def rsi_at_date(spark, sf_dir):
@@ -393,11 +400,15 @@ def search_list(spark, sf_dir):
 
 
 def old_universe(spark, sf_dir):
-    """The universe as stored at an earlier time."""
+    """The universe as stored at an earlier time.
+
+    Checkpointed like a stored table: the maintenance plans read it several times.
+    """
     rows = ev.snapshot(evaluated(spark, sf_dir, OLD_AS_OF))
-    return views.with_insertion_order(rows).withColumn(
+    stored = views.with_insertion_order(rows).withColumn(
         "as_of", moment_literal(OLD_AS_OF)
     )
+    return checkpointed(stored)
 
 
 def universe_create(spark, sf_dir):
@@ -441,6 +452,7 @@ QUERIES: dict[str, Query] = {
     "latest_price": latest_price,
     "parse_tickers": parse_tickers,
     "list_overview": list_overview,
+    "list_names": list_names,
     "cik_dim": cik_dim,
     "facts_flatten": facts_flatten,
     "facts_named": facts_named,

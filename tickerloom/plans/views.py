@@ -25,7 +25,7 @@ TABLE_SCHEMAS = {
     " o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE",
-    "documents": "doc_id BIGINT, text STRING",
+    "documents": "doc_id BIGINT, text STRING, source STRING",
 }
 
 
