@@ -413,8 +413,11 @@ SELECT *, {SEQ} AS seq FROM snap
 ORDER BY coalesce(pct_below_ci, 0) DESC, seq LIMIT 25""",
     "screen_targets": f"""
 WITH {SNAPSHOT}
+SELECT * FROM snap WHERE {" AND ".join(TARGETS.values())}""",
+    "screen_value": f"""
+WITH {SNAPSHOT}
 SELECT * FROM snap
-WHERE {TARGETS["beta"]} AND {TARGETS["bm"]} AND {TARGETS["op"]}""",
+WHERE {TARGETS["mcap"]} AND {TARGETS["bm"]} AND {TARGETS["op"]}""",
     "target_score": f"""
 WITH {SNAPSHOT}
 SELECT ticker, {", ".join(f"{test} AS {name}_ok" for name, test in TARGETS.items())},

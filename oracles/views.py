@@ -67,9 +67,11 @@ facts AS (
          strftime(o_orderdate, '%Y-%m-%d') AS filed,
          {FORM} AS form,
          CASE WHEN o_orderkey % 11 = 0 THEN 0::DOUBLE
-              WHEN o_orderkey % 13 = 0 THEN -o_totalprice
-              ELSE o_totalprice END AS val
-  FROM orders),
+              WHEN o_orderkey % 13 = 0 THEN -amount
+              ELSE amount END AS val
+  FROM (SELECT *, o_totalprice * (CASE o_orderpriority
+          WHEN '2-HIGH' THEN 100::DOUBLE ELSE 10000::DOUBLE END) AS amount
+        FROM orders)),
 annual AS (
   SELECT *, CASE unit WHEN 'USD' THEN 0 WHEN 'shares' THEN 1 WHEN 'pure' THEN 2 END
            AS unit_rank

@@ -369,9 +369,13 @@ def topk_ci(spark, sf_dir):
 
 
 def screen_targets(spark, sf_dir):
-    """Rows within the beta, book-to-market and profitability ranges."""
-    rows = snapshot(spark, sf_dir)
-    return screening.screen_targets(rows, ["beta", "bm", "op"])
+    """Rows within every target range."""
+    return screening.screen_targets(snapshot(spark, sf_dir))
+
+
+def screen_value(spark, sf_dir):
+    """Rows within the size, value and profitability ranges."""
+    return screening.screen_targets(snapshot(spark, sf_dir), ["mcap", "bm", "op"])
 
 
 def target_score(spark, sf_dir):
@@ -498,6 +502,7 @@ QUERIES: dict[str, Query] = {
     "sort_mcap": sort_query("mcap"),
     "topk_ci": topk_ci,
     "screen_targets": screen_targets,
+    "screen_value": screen_value,
     "target_score": target_score,
     "factor_bands": factor_bands,
     "report_view": report_view,

@@ -111,7 +111,11 @@ FILED = "date_format(o_orderdate, 'yyyy-MM-dd')"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings derived from orders, a hundred companies."""
+    """Filings derived from orders, a hundred companies.
+
+    Dollar values and share counts are scaled to give ratios and sizes of every band.
+    """
+    amount = "o_totalprice * if(o_orderpriority = '2-HIGH', 100D, 10000D)"
     return table(spark, sf_dir, "orders").selectExpr(
         "lpad(cast(o_custkey % 100 as string), 10, '0') as cik",
         "'us-gaap' as taxonomy",
@@ -121,9 +125,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat(year(o_orderdate), '-12-31') as end",
         f"{FILED} as filed",
         f"{FORM} as form",
-        """case when o_orderkey % 11 = 0 then 0D
-                when o_orderkey % 13 = 0 then -o_totalprice
-                else o_totalprice end as val""",
+        f"""case when o_orderkey % 11 = 0 then 0D
+                 when o_orderkey % 13 = 0 then -{amount}
+                 else {amount} end as val""",
     )
 
 
