@@ -4,7 +4,6 @@ from oracles.views import (
     AS_OF,
     BARS,
     BM,
-    CIK_MAP,
     CONCEPT,
     COMPANY,
     FACTS,

@@ -2,7 +2,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
-from builders import bars, daily, fact, facts, values
+from builders import fact, facts, values
 
 from tickerloom.operators import accounting as acc
 

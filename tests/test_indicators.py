@@ -123,6 +123,26 @@ def test_slices_hand_over_exactly_the_rows_before(spark):
         assert sorted(group[group.lead_in].ts) == list(before)
 
 
+def test_slices_bound_the_group_of_a_hot_ticker(spark):
+    # one ticker with a tick per second for a day, among quiet ones
+    busy = spark.range(86400).selectExpr(
+        "'HOT' as ticker",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts",
+        "50 + pmod(id * 7919, 101) / 100D as close",
+    )
+    quiet = spark.range(400).selectExpr(
+        "concat('Q', id % 40) as ticker",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 216) as ts",
+        "10 + id % 7 as close",
+    )
+    frame = busy.unionByName(quiet.withColumn("close", F.col("close").cast("double")))
+    groups = with_lead_in(frame, 14, "1 hour").groupBy("ticker", "slice").count()
+    assert groups.agg(F.max("count")).first()[0] == 3600 + 14
+    whole = indicators.rsi_series(frame)
+    sliced = indicators.rsi_series(frame, slice_every="1 hour")
+    assert whole.exceptAll(sliced).isEmpty() and sliced.count() == 86800
+
+
 def test_moving_average_signals(spark):
     closes = [10, 10, 10, 10, 11, 13, 15, 12, 8, 6, 5, 5]
     frame = bars(spark, daily("A", closes))

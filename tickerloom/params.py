@@ -12,6 +12,8 @@ class ScreenParams:
     The lookbacks are calendar days counted back from ``as_of`` and may be fractional.
     """
 
+    # Fixed values of the screen
+
     band_days: float = 90
     rsi_days: float = 720
     beta_days: float = 400
