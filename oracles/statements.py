@@ -309,7 +309,8 @@ WHERE ts = TIMESTAMP '2001-10-15'""",
     "ma_cross": f"""
 WITH {BARS}, {MOVING}
 SELECT ticker, ts, {r9("s20")} AS sma_20, {r9("s50")} AS sma_50, {r9("s200")} AS sma_200,
-       close > s20 AS above_20, close > s50 AS above_50, close > s200 AS above_200,
+       CAST(close > s20 AS VARCHAR) AS above_20, CAST(close > s50 AS VARCHAR) AS above_50,
+       CAST(close > s200 AS VARCHAR) AS above_200,
        CASE WHEN before <= 0 AND side > 0 THEN 'up'
             WHEN before >= 0 AND side < 0 THEN 'down' END AS "cross"
 FROM turns""",
@@ -384,7 +385,7 @@ judged AS (
                  ELSE 'not_found' END AS status
   FROM answers)
 SELECT ticker, status,
-       {", ".join(f"CASE WHEN status = 'ok' THEN {c} END AS {c}"
+       {", ".join(f"CASE WHEN status = 'ok' THEN {c}::DOUBLE END AS {c}"
                   for c in SNAPSHOT_COLUMNS.split(", ")[1:])}
 FROM judged""",
     "coverage_report": f"""

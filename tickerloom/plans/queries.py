@@ -201,9 +201,7 @@ def ma_cross(spark, sf_dir):
         "ticker",
         "ts",
         *[r9(f"sma_{n}").alias(f"sma_{n}") for n in (20, 50, 200)],
-        "above_20",
-        "above_50",
-        "above_200",
+        *[F.col(f"above_{n}").cast("string").alias(f"above_{n}") for n in (20, 50, 200)],
         "cross",
     )
 
@@ -336,7 +334,8 @@ def ticker_lookup(spark, sf_dir):
         F.concat(F.lit(" "), F.lower("ticker")).alias("typed")
     )
     requests = typed.select(normalize_ticker(F.col("typed")).alias("ticker"))
-    return ev.lookup(evaluated(spark, sf_dir, universe=requests))
+    answers = ev.lookup(evaluated(spark, sf_dir, universe=requests))
+    return answers.withColumn("rsi", F.col("rsi").cast("double"))
 
 
 def coverage_report(spark, sf_dir):
