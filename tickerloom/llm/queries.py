@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import host_rules, simhash, weighted_prints
+from tickerloom.llm import host_rules, pii, simhash, weighted_prints
 
 QUERIES = {
     "op3_host_quality_rules": host_rules.op3_host_quality_rules,
     "op4_simhash_covering": simhash.op4_simhash_covering,
+    "op6_pii_spans": pii.op6_pii_spans,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
 }
 ORACLES: dict[str, str] = {}
