@@ -14,7 +14,7 @@ ODD = [
     (900009, "SAME text here, again and again and again and again"),
     (900010, "é中文 \U0001f600 emoji  wide space no-break"),
     (900011, "a.b@c.de+f@g.hi x@y.z a@b 1.2.3.4.5.6.7.8 300.1.1.1 00001.2.3.255"),
-    (900012, "4111 1111 1111 1111 4111-1111-1111-1112 +1 (743) 555-3824 +12 +1 2 3 4 5 6 7 8 9)"),
+    (900012, "4111 1111 1111 1111, 4111-1111-1111-1112 +1 (743) 555-3824 +12 +1 2 3 4 5 6 7 8 9)"),
     (900013, "x" * 5000 + "@" + "y" * 5000 + " " + "7" * 5000 + "." * 50 + "1.1.1.1"),
     (900014, "word " * 6000),
     (900015, "line\nline\nline\n\n\n" * 40 + "#*$%&|<>" * 30),

@@ -90,7 +90,7 @@ def test_stage_masks_and_keeps_columns(spark, both):
     out = pii.pii_stage(spark, both, "")
     assert out.columns == both.columns and out.count() == both.count()
     text = {r.doc_id: r for r in out.collect()}[900012]
-    assert text.text.startswith("[CARD] 4111-1111-1111-1112 [PHONE]") and text.n_chars == len(text.text)
+    assert text.text.startswith("[CARD], 4111-1111-1111-1112 [PHONE]") and text.n_chars == len(text.text)
     assert {r.doc_id: r.text for r in out.collect()}[900001] is None
 
 

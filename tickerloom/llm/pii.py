@@ -2,8 +2,9 @@
 
 Each kind has a pattern, an optional validator and context words. Matches are leftmost and do
 not overlap within a kind; one that its validator refuses is dropped and the search goes on after
-it. A confirmed match starts with its kind's score and gains for a context word in the
-``CONTEXT`` characters before or after it; spans from ``THRESHOLD`` on are reported.
+it. A confirmed match starts with its kind's score and gains for a context word among the
+``CONTEXT`` characters on either side, up to the neighbouring matches of the pattern; spans from
+``THRESHOLD`` on are reported.
 
 All of it are array functions of the JVM. The places of matches come from the text between them:
 the start of a match is the length of all pieces and matches before it. Sums over the matches of
@@ -142,7 +143,7 @@ def _with_matches(rows: DataFrame, kind: Kind) -> DataFrame:
     rows = rows.withColumn("_b", F.when(F.size("_m") > 0, pieces).otherwise(nothing))
     before = F.transform("_b", lambda piece: F.length(piece))
     steps = F.transform("_m", lambda m, i: F.length(m) + F.length(F.get("_b", i)))
-    rows = rows.withColumns({"_before": before, "_steps": steps}).drop("_b")
+    rows = rows.withColumns({"_before": before, "_steps": steps})
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("_steps") / BLOCK).cast("int")),
         lambda b: _total(F.slice("_steps", b * BLOCK + 1, F.lit(BLOCK))),
@@ -153,8 +154,19 @@ def _with_matches(rows: DataFrame, kind: Kind) -> DataFrame:
         + _total(F.slice("_steps", F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
         + F.get("_before", i)
     )
-    placed = F.transform("_m", lambda m, i: F.struct(start(i).alias("start"), m.alias("value")))
-    return rows.withColumn(f"_{kind.name}", placed).drop("_m", "_before", "_steps", "_blocks")
+    placed = F.transform(
+        "_m",
+        lambda m, i: F.struct(
+            start(i).alias("start"),
+            m.alias("value"),
+            F.concat(
+                F.right(F.get("_b", i), F.lit(CONTEXT)),
+                F.lit("\n"),
+                F.left(F.get("_b", i + 1), F.lit(CONTEXT)),
+            ).alias("around"),
+        ),
+    )
+    return rows.withColumn(f"_{kind.name}", placed).drop("_m", "_b", "_before", "_steps", "_blocks")
 
 
 def _scored(kind: Kind) -> Column:
@@ -163,12 +175,7 @@ def _scored(kind: Kind) -> Column:
 
     def span(m: Column) -> Column:
         end = m["start"] + F.length(m["value"])
-        around = F.concat(
-            F.substring("_text", F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT))),
-            F.lit("\n"),
-            F.substring("_text", end + 1, F.lit(CONTEXT)),
-        )
-        gain = F.when(around.rlike(near), F.lit(CONTEXT_GAIN)).otherwise(0.0)
+        gain = F.when(m["around"].rlike(near), F.lit(CONTEXT_GAIN)).otherwise(0.0)
         return F.struct(
             F.lit(kind.name).alias("kind"),
             m["start"].alias("start"),
