@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import host_rules, language, pii, simhash, weighted_prints
+from tickerloom.llm import host_rules, kneser_ney, language, pii, simhash, weighted_prints
 
 QUERIES = {
     "op3_host_quality_rules": host_rules.op3_host_quality_rules,
     "op4_simhash_covering": simhash.op4_simhash_covering,
     "op6_pii_spans": pii.op6_pii_spans,
     "op8_centroid_language": language.op8_centroid_language,
+    "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
 }
 ORACLES: dict[str, str] = {}
