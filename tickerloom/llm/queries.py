@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import host_rules, kneser_ney, language, pii, simhash, weighted_prints
+from tickerloom.llm import host_rules, kneser_ney, language, packing, pii, simhash, weighted_prints
 
 QUERIES = {
+    "op2_bestfit_packing": packing.op2_bestfit_packing,
     "op3_host_quality_rules": host_rules.op3_host_quality_rules,
     "op4_simhash_covering": simhash.op4_simhash_covering,
     "op6_pii_spans": pii.op6_pii_spans,
