@@ -7,10 +7,12 @@ w, the word's hash yields r and c from Gamma(2, 1) and b from U(0, 1), and
 
 The word with the least a, together with its t, is the sample. Over texts with weights w and w',
 the chance that both samples agree is sum(min(w, w')) / sum(max(w, w')), the generalised Jaccard
-similarity. Words are dealt by their hash to ``BINS`` bins with one sample each, so each distinct
-word is drawn for once, whatever the number of samples. The likeness of two fingerprints is the
-share of equal samples among the bins that either text has words in; bins that both leave empty
-say nothing, which keeps it right for short texts.
+similarity. Terms are dealt by their hash to ``BINS`` bins with one sample each, so each is drawn
+for once, whatever the number of samples. A frequent word would count in its own bin alone; so a
+word's weight is cut into terms (word, 0), (word, 1), ... of ``UNIT`` occurrences and a rest,
+which leaves the sums of least and greatest weights as they are and spreads it over the bins. The
+likeness of two fingerprints is the share of equal samples among the bins that either text has
+terms in; bins that both leave empty say nothing, which keeps it right for short texts.
 
 Everything is inside the row: hash, sort, count and pick with array functions of the JVM.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import table, words
 
 BINS = 128
+#: Occurrences of a word that one term takes.
+UNIT = 2
 #: ln a is kept in steps of 2^-30 within +-512, in 40 bits; a sample has 16 bits.
 SCALE = 1 << 30
 REACH = 512
@@ -73,13 +77,19 @@ def _run_starts(ordered: Column) -> Column:
 
 
 def _samples_of_runs(ordered: Column, starts: Column) -> Column:
-    """Packed samples of the terms of a sorted array; a term's weight is its run's length."""
-    return F.transform(
-        starts,
-        lambda p, j: _packed_sample(
-            F.get(ordered, p), F.coalesce(F.get(starts, j + 1), F.size(ordered)) - p
-        ),
-    )
+    """Packed samples of the terms of the words in a sorted array."""
+
+    def of_word(p: Column, j: Column) -> Column:
+        count = F.coalesce(F.get(starts, j + 1), F.size(ordered)) - p
+        whole = F.floor((count - 1) / UNIT).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), whole),
+            lambda k: _packed_sample(
+                F.xxhash64(F.get(ordered, p), k), F.least(count - k * UNIT, F.lit(UNIT))
+            ),
+        )
+
+    return F.flatten(F.transform(starts, of_word))
 
 
 def _least_of_bins(packed: Column) -> Column:
