@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import host_rules, kneser_ney, language, packing, pii, simhash, weak_labels, weighted_prints
+from tickerloom.llm import (
+    chat,
+    host_rules,
+    kneser_ney,
+    language,
+    packing,
+    pieces,
+    pii,
+    simhash,
+    weak_labels,
+    weighted_prints,
+)
 
 QUERIES = {
+    "op1_chat_perspectives": chat.op1_chat_perspectives,
     "op2_bestfit_packing": packing.op2_bestfit_packing,
     "op3_host_quality_rules": host_rules.op3_host_quality_rules,
     "op4_simhash_covering": simhash.op4_simhash_covering,
+    "op5_sentencepiece_viterbi": pieces.op5_sentencepiece_viterbi,
     "op6_pii_spans": pii.op6_pii_spans,
     "op7_weak_label_quality": weak_labels.op7_weak_label_quality,
     "op8_centroid_language": language.op8_centroid_language,
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_chat_perspectives": chat.ORACLE_OP1}

@@ -61,9 +61,9 @@ def votes(text: str) -> str:
         sum(k for w, k in times.items() if w.isupper()) >= 0.4 * n,
         text.count("!") >= 0.2 * n,
         n >= 30 and len(times) <= 0.15 * n,
-        n >= 10 and max(times.values()) >= 0.2 * n,
+        n >= 30 and max(times.values()) >= 0.2 * n,
         n >= 10 and again >= 0.3 * n,
-        n < 10,
+        n < 5,
     ]
     return "".join(BAD if b else NONE for b in bad) + (
         (GOOD if plain else BAD if clean <= 0.5 else NONE)
