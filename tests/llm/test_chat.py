@@ -1,0 +1,53 @@
+import compare
+
+from tickerloom.llm import chat
+from tickerloom.llm.queries import ORACLES, QUERIES
+
+
+def plain_views(rows):
+    """Views of a dialogue, by brute force: (speaker, segment) to text and masks."""
+    turns = sorted(
+        {(-(1 << 60) if t is None else t, (r or "").strip() or "unknown", x or "") for t, r, x in rows}
+    )
+    out = {}
+    for view in {s for _, s, _ in turns} - {"system"}:
+        for turn, speaker, said in turns:
+            segment = 0 if turn == -(1 << 60) else turn // chat.SEGMENT
+            text, mask = out.setdefault((view, segment), ("", []))
+            name = speaker if speaker == "system" else "assistant" if speaker == view else f"user name={speaker}"
+            head = text + f"<|{name}|>\n"
+            if speaker == view:
+                mask.append(f"{len(head)}:{len(head) + len(said)}")
+            out[view, segment] = (head + said + "\n<|end|>\n", mask)
+    return out
+
+
+def test_against_brute_force(spark):
+    rows = [
+        (1, 0, "system", "be nice"), (1, 1, "ann", "hi é\U0001f600"), (1, 2, "bob", "yes"), (1, 3, "cy", None),
+        (1, 3, "cy", None), (1, 3, "ann", "tie"), (1, None, "bob", "no turn"), (1, 4, None, "nobody"),
+        (None, 0, "ann", "no conversation"), (2, 0, "system", "alone"), (3, 0, " ", ""),
+        *((4, i, ["x", "y"][i % 2], f"t{i}") for i in range(300)),
+    ]
+    frame = spark.createDataFrame(
+        [(*r, "clash", "clash") for r in rows],
+        "conv_id bigint, turn bigint, role string, text string, speaker string, segment string",
+    )
+    found = {(r.conv_id, r.speaker, r.segment): (r.text, r.mask) for r in chat.perspectives(frame).collect()}
+    expected = {}
+    for conv in {r[0] for r in rows}:
+        views = plain_views([r[1:] for r in rows if r[0] == conv])
+        expected |= {(conv, v, s): (text, ",".join(mask)) for (v, s), (text, mask) in views.items()}
+    assert found == expected
+
+
+def test_query_matches_sql(spark, sf_dir):
+    columns, _, rows = compare.oracle_rows(compare.connect(sf_dir), ORACLES["op1_chat_perspectives"])
+    frame = QUERIES["op1_chat_perspectives"](spark, sf_dir)
+    mine = compare.canonical(frame.columns, frame.collect())
+    assert compare.differences(mine, compare.canonical(columns, rows)) == []
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.perspectives(frame).count() == 0

@@ -11,9 +11,9 @@ The best segmentation has the greatest sum of the vocabulary's piece scores; of
 one whose last piece is the longest, from the end on. A character that no piece covers is worth
 less than any piece and becomes the pieces of its UTF-8 bytes.
 
-This is the segmentation of the library's unigram models. For vocabularies that were made by
-merging pairs it finds the best-scoring segmentation of the same pieces, which need not be the
-one that repeating the merges gives; both decode to the same text.
+This is the segmentation that unigram models define. For vocabularies that were made by merging
+pairs it finds the best-scoring segmentation into the same pieces, which need not be the one that
+repeating the merges gives; both decode to the same text. A text's own U+2581 decodes as a space.
 """
 
 from __future__ import annotations
