@@ -9,10 +9,12 @@ from oracles.views import (
     FACTS,
     FILINGS,
     FORM,
+    HOUR_BARS,
     INV,
     LATEST,
     LISTING,
     MCAP,
+    MINUTES,
     OLD_STORE,
     OP,
     SEQ,
@@ -345,6 +347,9 @@ FROM band""",
 WITH {BARS}, {band_rows("band", AS_OF)}
 SELECT ticker, last_close FROM band WHERE last_close > 5""",
     "beta": f"WITH {BARS}, {beta_rows('b', AS_OF)} SELECT ticker, beta FROM b",
+    "beta_intraday": f"""
+WITH {HOUR_BARS}, {beta_rows("b", "TIMESTAMP '2024-02-01'")}
+SELECT ticker, n_common, beta FROM b""",
     "return_overlap": f"""
 WITH {BARS}, {beta_rows("b", AS_OF)} SELECT ticker, n_common FROM b""",
     "facts_dedup": f"""
@@ -371,6 +376,30 @@ SELECT b.ticker, {BM} AS bm, {OP} AS op, {INV} AS inv, b.beta, {MCAP} AS mcap
 FROM b LEFT JOIN band_price p USING (ticker) LEFT JOIN cik_map k USING (ticker)
 LEFT JOIN company c USING (cik)""",
     "snapshot": f"WITH {SNAPSHOT} SELECT * FROM snap",
+    "snapshot_minute_price": f"""
+WITH {INPUTS}, {MINUTES}, {evaluation("evaluated", AS_OF, "universe", "minutes")}
+SELECT {SNAPSHOT_COLUMNS} FROM evaluated WHERE reason IS NULL""",
+    "store_round_trip": f"""
+WITH {OLD_STORE}
+SELECT *, 2::BIGINT AS version FROM stored
+WHERE ticker NOT IN (SELECT ticker FROM listing)""",
+    "store_reset": f"""
+WITH {OLD_STORE}
+SELECT 'before' AS stage, count(*) AS n FROM stored
+UNION ALL SELECT 'after', 0 UNION ALL SELECT 'p_reset', 2""",
+    "facts_unparsed": """
+SELECT * FROM (
+  SELECT o_orderkey AS doc,
+         CASE o_orderkey % 10 WHEN 3 THEN 'malformed' WHEN 4 THEN 'empty'
+                              WHEN 5 THEN 'no_facts' WHEN 6 THEN 'no_cik' END AS reason
+  FROM orders)
+WHERE reason IS NOT NULL""",
+    "bars_resample_nan": f"""
+WITH {TICKS}
+SELECT ticker, time_bucket(INTERVAL '1 day', ts) AS ts,
+       arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
+       arg_max(price, ts) AS close, count(*) AS n_ticks, 'day' AS freq
+FROM ticks WHERE seq % 7 <> 0 GROUP BY ALL""",
     "snapshot_rejects": f"""
 WITH {SNAPSHOT} SELECT ticker, reason FROM evaluated WHERE reason IS NOT NULL""",
     "run_counts": f"""

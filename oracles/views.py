@@ -176,11 +176,11 @@ def beta_rows(name: str, as_of: str) -> str:
   GROUP BY r.ticker)"""
 
 
-def band_rows(name: str, as_of: str) -> str:
+def band_rows(name: str, as_of: str, prices: str = "bars") -> str:
     """CTE with the price band, 90 days up to ``as_of``, and the price of 5 days."""
     return f"""
 {name}_price AS (
-  SELECT ticker, arg_max(close, ts) AS price FROM bars
+  SELECT ticker, arg_max(close, ts) AS price FROM {prices}
   WHERE ts BETWEEN {as_of} - INTERVAL 5 DAY AND {as_of} GROUP BY ticker),
 {name} AS (
   SELECT ticker, band_bars, last_close, mean_close, std_close, price,
@@ -193,14 +193,14 @@ def band_rows(name: str, as_of: str) -> str:
         GROUP BY ticker) LEFT JOIN {name}_price USING (ticker))"""
 
 
-def evaluation(name: str, as_of: str, universe: str) -> str:
+def evaluation(name: str, as_of: str, universe: str, prices: str = "bars") -> str:
     """CTE with one evaluated row per ticker of the CTE ``universe``."""
     recent = f"ts BETWEEN {as_of} - INTERVAL 720 DAY AND {as_of}"
     return ",".join(
         [
             rsi_rows(f"{name}_rsi", "bars", recent),
             beta_rows(f"{name}_beta", as_of),
-            band_rows(f"{name}_band", as_of),
+            band_rows(f"{name}_band", as_of, prices),
             f"""
 {name}_last AS (
   SELECT ticker, CAST(round_even(rsi, 0) AS INTEGER) AS rsi FROM {name}_rsi
@@ -236,6 +236,30 @@ snap AS (SELECT {SNAPSHOT_COLUMNS} FROM evaluated WHERE reason IS NULL)""",
     ]
 )
 
+MINUTES = """
+line_ticks AS (
+  SELECT 'S' || l_suppkey AS ticker, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq,
+         CAST(round_even((100::DOUBLE
+           + round_even(l_extendedprice * 100::DOUBLE, 0) / 100000::DOUBLE)
+           * (CASE WHEN l_suppkey % 10 = 7 THEN 0.03::DOUBLE ELSE 1::DOUBLE END)
+           * 10000::DOUBLE, 0) AS BIGINT)::DOUBLE / 10000::DOUBLE AS price
+  FROM lineitem),
+minutes AS (
+  SELECT ticker, ts, arg_max(price, seq) AS close FROM line_ticks GROUP BY ticker, ts)"""
+
+HOUR_BARS = f"""
+{TICKS},
+hour_closes AS (
+  SELECT ticker, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_max(price, seq) AS close
+  FROM ticks GROUP BY ALL),
+bars AS (
+  SELECT * FROM hour_closes
+  UNION ALL
+  SELECT 'MKT', ts,
+         round_even(CAST(sum(CAST(round_even(close * 10000::DOUBLE, 0) AS BIGINT))
+           AS BIGINT)::DOUBLE / count(*)::DOUBLE, 0) / 10000::DOUBLE
+  FROM hour_closes GROUP BY ts)"""
+
 SEQ = "coalesce(try_cast(substr(ticker, 2) AS BIGINT), -1)"
 
 OLD_STORE = ",".join(

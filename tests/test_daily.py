@@ -4,7 +4,7 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from builders import AS_OF, bars, daily, values
+from builders import AS_OF, BAR, bars, daily, values
 
 from tickerloom.operators import daily as measures
 from tickerloom.params import DEFAULTS
@@ -105,3 +105,28 @@ def test_scaling_changes_no_measure(spark):
     assert found["A"]["beta"] == found["B"]["beta"]
     bands = band(spark, daily("A", stock), daily("B", stock * 8))
     assert bands["A"]["pct_below_ci"] == bands["B"]["pct_below_ci"]
+
+
+def twice_a_day(spark, tickers):
+    """100 days with two bars each."""
+    start = AS_OF - timedelta(days=99)
+    rows = [
+        (name, start + timedelta(days=d // 2, hours=-6 * (d % 2 == 0)), 100.0 + 7 * ((d * k) % 11))
+        for k, name in enumerate(tickers, 3)
+        for d in range(200)
+    ]
+    return spark.createDataFrame(rows, BAR)
+
+
+def test_two_bars_a_day_fail_loudly_in_daily_measures(spark):
+    bars = twice_a_day(spark, ["SPY", "A"])
+    with pytest.raises(Exception, match="more than one bar"):
+        measures.market_beta(bars, AS_OF).collect()
+
+
+@pytest.mark.parametrize("every", ["3 days", "400 days"])
+def test_intraday_beta_uses_every_common_timestamp(spark, every):
+    bars = twice_a_day(spark, ["SPY", "A"])
+    found = {r["ticker"]: r for r in measures.intraday_beta(bars, AS_OF, every).collect()}
+    assert (found["SPY"]["n_common"], found["SPY"]["beta"]) == (199, 1.0)
+    assert found["A"]["n_common"] == 199

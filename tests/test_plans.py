@@ -4,6 +4,7 @@ import re
 
 import pytest
 from builders import AS_OF, BAR, FACT
+from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import moment_literal
 from tickerloom.operators import accounting, evaluate as ev, indicators, resample
@@ -69,9 +70,9 @@ def test_latest_price_pushes_the_window(spark, tables):
     assert len(exchanges(plan)) == 1
 
 
-def test_slices_prune_before_the_shuffle(spark, tables):
+def test_slices_are_reduced_before_the_hand_over(spark, tables):
     plan = plan_of(indicators.rsi_series(tables["bars"], slice_every="1 day"), spark)
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "partial_collect_list" in plan
     assert any("slice" in keys for keys in exchanges(plan))
 
 
@@ -88,10 +89,32 @@ def test_columns_are_pruned(spark, tables):
     assert "ReadSchema: struct<ticker:string,ts:timestamp_ntz,close:double>" in plan
 
 
-LAZY = sorted(name for name in QUERIES if not name.startswith("sort_"))
+def test_facts_join_on_the_ticker_and_only_those_asked_for(spark, tables):
+    universe = tables["bars"].select("ticker")
+    cik_map = tables["facts"].select(F.col("concept").alias("ticker"), "cik")
+    frame = ev.evaluate(
+        tables["bars"], AS_OF, facts=tables["facts"], cik_map=cik_map, universe=universe
+    )
+    plan = plan_of(frame, spark)
+    main = plan.split("BroadcastExchange")[0]
+    # the bars are dealt by ticker once, and nothing deals the evaluation by another spelling
+    assert not any("upper(ticker" in keys for keys in exchanges(main))
+    assert "LeftSemi" in main and plan.count("BroadcastExchange") == 1
+
+
+def test_slices_have_no_window_over_a_tickers_bars(spark, tables):
+    plan = plan_of(indicators.rsi_series(tables["bars"], slice_every="1 day"), spark)
+    over_ticker = [line for line in plan.splitlines() if re.search(r"Window \[.*\], \[ticker#\d+\]", line)]
+    # those there are run over one row a slice
+    assert all("close#" not in line for line in over_ticker)
+
+
+def test_small_reductions_hash(spark, sf_dir):
+    for name in ("unit_preference", "search_list", "latest_price"):
+        assert "SortAggregate" not in plan_of(QUERIES[name](spark, sf_dir), spark)
 
 
-@pytest.mark.parametrize("name", LAZY)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_runs_python_or_pairs_everything(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir), spark)
     for operator in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):

@@ -6,6 +6,7 @@ from builders import AS_OF, bars, daily
 from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import delayed_as_of, lookback_start, utc_instant
+from tickerloom import schemas
 from tickerloom.operators import accounting
 from tickerloom.sources import bars as bar_source
 from tickerloom.sources import filings, lists
@@ -140,9 +141,15 @@ def test_facts_from_files(spark, tmp_path):
         },
     }
     (tmp_path / "CIK0000000007.json").write_text(json.dumps(document))
-    documents = filings.read_documents(spark, str(tmp_path)).withColumn(
-        "cik", F.regexp_extract("doc", "CIK([0-9]{10})", 1)
-    )
+    (tmp_path / "CIK0000000008.json").write_text(json.dumps({"facts": document["facts"]}))
+    (tmp_path / "CIK0000000009.json").write_text(json.dumps(document)[:80])
+    (tmp_path / "other.json").write_text(json.dumps({"facts": {}}))
+    every = filings.read_documents(spark, str(tmp_path))
+    lost = {r["doc"].rsplit("/", 1)[1]: r["reason"] for r in filings.unparsed_documents(every).collect()}
+    assert lost == {"CIK0000000009.json": "malformed", "other.json": "no_cik"}
+    companies = {r["cik"] for r in filings.flatten_facts(every).select("cik").distinct().collect()}
+    assert companies == {"0000000007", "0000000008"}  # the second only has it in its name
+    documents = every.where("doc like '%07.json'")
     everything = filings.flatten_facts(documents)
     assert everything.count() == 4
     assert filings.flatten_facts(documents, taxonomy="dei").count() == 1
@@ -151,3 +158,29 @@ def test_facts_from_files(spark, tmp_path):
     assert sorted(map(repr, named.collect())) == sorted(map(repr, wanted.collect()))
     row = accounting.company_values(named).first()
     assert (row["cik"], row["equity"]) == ("0000000007", 50.0)
+
+
+def test_stored_facts_come_back_and_prune(spark, tmp_path):
+    rows = [(f"{c:010d}", "us-gaap", "Assets", "USD", p, "2023-12-31", "2024-02-01", "10-K", float(p))
+            for c in range(5) for p in range(3)]
+    facts = spark.createDataFrame(rows, schemas.FACTS)
+    path = str(tmp_path / "facts")
+    filings.write_facts(facts, path)
+    stored = filings.read_facts(spark, path)
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, facts.collect()))
+    plan = stored.where("cik = '0000000003'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(cik,0000000003)" in plan
+
+
+def test_each_call_prunes_to_its_own_months(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    table = spark.createDataFrame(
+        [("A", "day", datetime(2024, m, 5), float(m)) for m in range(1, 7)], schemas.BARS
+    )
+    bar_source.write_bars(table, path)
+    read = bar_source.bar_reader(spark, path, "1D")
+    for month in (6, 4):
+        found = read(datetime(2024, month, 28), 40)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "month#" in plan and f"2024-0{month})" in plan.split("PartitionFilters")[1]
+        assert {r["close"] for r in found.collect()} == {float(month), float(month - 1)}

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import moment_literal
@@ -50,3 +52,11 @@ def test_latest_price(spark, sf_dir, tmp_path):
     prices = run(stream_latest_price(stream), "complete", "latest_prices", tmp_path)
     batch = ticks.groupBy("ticker").agg(F.max_by("price", "ts"), F.max("ts"))
     assert {tuple(r) for r in prices.collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_bars_of_ticks_ignore_missing_prices(spark):
+    rows = [("A", datetime(2024, 1, 1, 9, m), p) for m, p in ((0, float("nan")), (1, 3.0), (2, 5.0), (3, None), (4, float("nan")))]
+    ticks = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, price double")
+    bar = resample(ticks, "daily").first()
+    assert (bar["open"], bar["high"], bar["low"], bar["close"], bar["n_ticks"]) == (3.0, 5.0, 3.0, 5.0, 2)
+    assert stream_latest_price(ticks).first()["price"] == 5.0

@@ -192,7 +192,7 @@ def test_store_ignores_an_abandoned_write(spark, tmp_path):
 
 def test_screener_life_cycle(spark, tmp_path):
     table = bars(spark, market(), *CASES.values(), daily("X", walk(11, 100)))
-    screener = Screener(spark, str(tmp_path), table, params=ScreenParams())
+    screener = Screener(spark, str(tmp_path), lambda as_of, days_back: table, params=ScreenParams())
     with pytest.raises(ValueError):
         screener.create("empty", [], AS_OF)
     screener.create("My Watch-List", ["GOOD", "PENNY", "FALL", "NONE", "SPY", "GOOD"], AS_OF)

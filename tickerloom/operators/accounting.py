@@ -94,7 +94,12 @@ def latest_annual(annual: DataFrame) -> DataFrame:
 def preferred_unit(annual: DataFrame) -> DataFrame:
     """The unit each company's concept is read in."""
     return annual.groupBy("cik", "taxonomy", "concept").agg(
-        F.min_by("unit", unit_rank()).alias("unit")
+        F.min(unit_rank()).alias("rank")
+    ).select(
+        "cik",
+        "taxonomy",
+        "concept",
+        F.get(F.lit(UNIT_PREFERENCE), F.col("rank")).alias("unit"),
     )
 
 
@@ -180,6 +185,20 @@ def values_by_ticker(facts: DataFrame, cik_map: DataFrame) -> DataFrame:
     return cik_map.join(company_values(facts), "cik", "left")
 
 
+def values_of(universe: DataFrame, facts: DataFrame, cik_map: DataFrame) -> DataFrame:
+    """Company values under the tickers of ``universe``, in their own spelling.
+
+    The universe cuts the map down first, and the map the facts, so that companies nobody
+    asked for are not reduced. Rows without a CIK are not returned.
+    """
+    asked = universe.select("ticker").distinct()
+    spelled = asked.select("ticker", F.upper("ticker").alias("listed"))
+    listed = cik_map.select(F.col("ticker").alias("listed"), "cik")
+    companies = spelled.join(listed, "listed").select("ticker", "cik")
+    wanted = facts.join(companies.select("cik").distinct(), "cik", "left_semi")
+    return companies.join(company_values(wanted), "cik").drop("cik")
+
+
 def factor_columns(price: str = "price") -> dict[str, Column]:
     """BM, OP, INV and MCAP from company values and a price.
 

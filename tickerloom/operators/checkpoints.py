@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """Compute ``rows`` once and keep them in the checkpoint folder.
+    """Compute ``rows`` once and keep them in the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``, which every executor can reach. A
-    temporary one is used only where none is configured, as in local tests.
+    Every executor must reach that folder. Without one this fails: a local folder would hold
+    a part of the rows on each machine.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         configured = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tickerloom-"))
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(configured)
     return rows.checkpoint()

@@ -6,6 +6,7 @@ all of them from one scan, one shuffle by ticker and one sort.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.moments import in_lookback, lookback_start, moment_literal
 from tickerloom.functions.numeric import half_even
 from tickerloom.operators.resample import latest_price
+from tickerloom.operators.slices import over_series
 from tickerloom.params import DEFAULTS, ScreenParams
 
 
@@ -81,24 +83,28 @@ def penny_filter(
     )
 
 
-def _by_time() -> WindowSpec:
-    return Window.partitionBy("ticker").orderBy("ts")
+def _by_time(parts: Sequence[str] = ("ticker",)) -> WindowSpec:
+    return Window.partitionBy(*parts).orderBy("ts")
 
 
-def _within(as_of: datetime, days_back: float) -> Column:
+def _within(
+    as_of: datetime, days_back: float, parts: Sequence[str] = ("ticker",)
+) -> Column:
     """True where this bar and the one before it both lie in the lookback.
 
     A scan that starts earlier must not lend the first bar of a lookback a predecessor.
     """
     start = moment_literal(lookback_start(as_of, days_back))
-    return F.lag("ts").over(_by_time()) >= start
+    return F.lag("ts").over(_by_time(parts)) >= start
 
 
-def beta_return(as_of: datetime, params: ScreenParams) -> Column:
+def beta_return(
+    as_of: datetime, params: ScreenParams, parts: Sequence[str] = ("ticker",)
+) -> Column:
     """Return on the bar before, inside the beta lookback."""
-    previous = F.lag("close").over(_by_time())
+    previous = F.lag("close").over(_by_time(parts))
     ratio = F.try_divide(F.col("close"), previous) - 1
-    return F.when(_within(as_of, params.beta_days), ratio)
+    return F.when(_within(as_of, params.beta_days, parts), ratio)
 
 
 def last_changes(as_of: datetime, params: ScreenParams) -> Column:
@@ -145,18 +151,26 @@ def rsi_latest(
 def market_returns(
     bars: DataFrame, as_of: datetime, params: ScreenParams = DEFAULTS
 ) -> DataFrame:
-    """Returns ``(ts, m_ret)`` of the market ticker over the beta lookback.
+    """Returns ``(ts, m_ret)`` of the market ticker's daily bars over the beta lookback.
 
-    The aggregate leaves at most one row per calendar day, so whatever the volume of
-    ``bars``, the result has no more rows than the lookback has days and may be broadcast.
+    One bar a day bounds the result by the days of the lookback, so it may be broadcast. A
+    day with more bars fails the job, since leaving any of them out would change every beta;
+    ``bar_key_violations`` on the days, or ``intraday_beta``, is for such tables.
     """
     market = bars.where(
         (F.col("ticker") == params.market)
         & in_lookback(F.col("ts"), as_of, params.beta_days)
     )
-    daily = (
-        market.groupBy("ticker", F.to_date("ts").alias("day"))
-        .agg(F.max_by("close", "ts").alias("close"), F.max("ts").alias("ts"))
+    several = F.raise_error(
+        F.concat(
+            F.lit(f"{params.market} has more than one bar on "),
+            F.to_date(F.max("ts")).cast("string"),
+            F.lit("; daily measures need daily bars, intraday_beta takes others"),
+        )
+    ).cast("double")
+    daily = market.groupBy("ticker", F.to_date("ts").alias("day")).agg(
+        F.when(F.count("*") > 1, several).otherwise(F.max("close")).alias("close"),
+        F.max("ts").alias("ts"),
     )
     return daily.select("ts", beta_return(as_of, params).alias("m_ret")).where(
         F.col("m_ret").isNotNull()
@@ -196,3 +210,30 @@ def market_beta(
         .agg(*beta_aggregates())
         .withColumn("beta", beta_value(params))
     )
+
+
+def intraday_beta(
+    bars: DataFrame,
+    as_of: datetime,
+    slice_every: str,
+    params: ScreenParams = DEFAULTS,
+) -> DataFrame:
+    """Beta from bars of any frequency, over every timestamp a ticker shares with the market.
+
+    Returns are computed in slices of time, so a long series is spread over tasks. The join
+    with the market has no hint: AQE broadcasts its returns if they are small and joins by
+    time if they are not.
+    """
+    window = bars.where(in_lookback(F.col("ts"), as_of, params.beta_days))
+
+    def with_returns(series: DataFrame, parts: list[str]) -> DataFrame:
+        return series.withColumn("ret", beta_return(as_of, params, parts))
+
+    returns = over_series(window.select("ticker", "ts", "close"), with_returns, 1, slice_every)
+    market = returns.where((F.col("ticker") == params.market) & F.col("ret").isNotNull())
+    return (
+        returns.join(market.select("ts", F.col("ret").alias("m_ret")), "ts", "left")
+        .groupBy("ticker")
+        .agg(*beta_aggregates())
+        .withColumn("beta", beta_value(params))
+    )

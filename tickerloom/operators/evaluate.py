@@ -2,7 +2,9 @@
 
 The plan: scan the longest lookback once, shuffle it by ticker, sort it once, attach the
 broadcast market returns, and reduce to one row per ticker with conditional aggregates.
-Prices, factors and the universe then join on the ticker the rows are already hashed by.
+Prices, factors and the universe then join on the ticker the rows are already hashed by:
+company values are put under the universe's own spelling of its tickers first, and only the
+companies of the universe are read from the filings.
 """
 
 from __future__ import annotations
@@ -79,13 +81,16 @@ def evaluate(
     price_bars: DataFrame | None = None,
     market_bars: DataFrame | None = None,
     params: ScreenParams = DEFAULTS,
+    complete: bool = True,
 ) -> DataFrame:
     """Snapshot columns plus ``reason`` for every ticker of the universe.
 
     ``bars`` are daily bars with unique ``(ticker, ts)``. Without ``universe`` every ticker
     with bars in the longest lookback is evaluated. ``price_bars`` are the minute bars the
     current price is taken from; without them the daily bars serve. ``market_bars`` are
-    where the market ticker's daily bars are, if not in ``bars``.
+    where the market ticker's daily bars are, if not in ``bars``. Tickers of the universe
+    without bars have a row unless ``complete`` is False, which spares a join where the
+    caller knows what is missing.
     """
     scanned = bars
     if universe is not None:
@@ -96,7 +101,7 @@ def evaluate(
     if price_bars is not None:
         prices = latest_price(price_bars, as_of, params.price_days)
         measured = measured.drop("price").join(prices, "ticker", "left")
-    if universe is not None:
+    if universe is not None and complete:
         measured = universe.join(measured, "ticker", "left")
     if facts is None or cik_map is None:
         nothing = {
@@ -104,12 +109,16 @@ def evaluate(
         }
         factored = measured.withColumns(nothing)
     else:
-        values = accounting.values_by_ticker(facts, cik_map).withColumnRenamed(
-            "ticker", "listed_ticker"
-        )
-        factored = measured.join(
-            values, F.upper("ticker") == F.col("listed_ticker"), "left"
-        ).withColumns(accounting.factor_columns())
+        if universe is not None:
+            values = accounting.values_of(universe, facts, cik_map)
+            joined = measured.join(values, "ticker", "left")
+        else:
+            values = accounting.values_by_ticker(facts, cik_map)
+            values = values.withColumnRenamed("ticker", "listed_ticker")
+            joined = measured.join(
+                values, F.upper("ticker") == F.col("listed_ticker"), "left"
+            )
+        factored = joined.withColumns(accounting.factor_columns())
     return factored.withColumns(
         {
             "pct_below_ci": pct_below_band(params),

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import bucket_start, canonical_frequency, in_lookback
 from tickerloom.params import DEFAULTS
 
 
+def has_price(price: str) -> Column:
+    """True for a price that is a number; NaN sorts above all others and is none."""
+    return F.col(price).isNotNull() & ~F.isnan(F.col(price).cast("double"))
+
+
 def resample(
     ticks: DataFrame,
     frequency: str,
@@ -23,6 +28,7 @@ def resample(
     All of it is one hash aggregate with map-side partials, so a ticker with a large
     share of the ticks is reduced to one row per bucket before the shuffle. Ticks of one
     ticker at one instant need a ``tie_breaker`` column to be ordered; that costs a sort.
+    Ticks without a price, NULL or NaN, do not count.
     """
     moment = F.col("ts") if tie_breaker is None else F.struct("ts", tie_breaker)
     aggregates = [
@@ -35,7 +41,7 @@ def resample(
     if volume is not None:
         aggregates.append(F.sum(volume).alias("volume"))
     bars = (
-        ticks.where(F.col(price).isNotNull())
+        ticks.where(has_price(price))
         .groupBy("ticker", bucket_start(F.col("ts"), frequency).alias("bucket"))
         .agg(*aggregates)
     )

@@ -67,11 +67,13 @@ def search_list(results: DataFrame, seq: str = "seq") -> DataFrame:
     """Search results with one row per ticker, its newest; the newest comes first.
 
     The winner is an aggregate, so a ticker searched very often shrinks before the shuffle.
+    ``seq`` is unique, so one maximum per column takes all of them from the same row; columns
+    of fixed width then need no sort.
     """
-    others = [name for name in results.columns if name != "ticker"]
-    newest = F.max_by(F.struct(*others), F.col(seq)).alias("newest")
-    latest = results.groupBy("ticker").agg(newest).select("ticker", "newest.*")
-    return latest.orderBy(F.col(seq).desc())
+    others = [name for name in results.columns if name not in ("ticker", seq)]
+    newest = [F.max_by(name, seq).alias(name) for name in others]
+    latest = results.groupBy("ticker").agg(*newest, F.max(seq).alias(seq))
+    return latest.select(results.columns).orderBy(F.col(seq).desc())
 
 
 def remove_result(results: DataFrame, ticker: str) -> DataFrame:

@@ -20,26 +20,39 @@ LEAD_IN = "lead_in"
 def with_lead_in(bars: DataFrame, rows: int, every: str) -> DataFrame:
     """Bars with their time slice, plus up to ``rows`` earlier bars marked ``lead_in``.
 
-    Only the last ``rows`` bars of each slice take part in the hand-over, and the first
-    window keeps just those before its shuffle.
+    Each slice is reduced to one row: how many bars it has, and its last ``rows`` bars. The
+    only windows per ticker are over these rows, of which a ticker has as many as its time
+    span has slices, however many bars it has. They tell a slice which later slices are near
+    enough to need some of its bars, and those bars are copied there.
     """
-    columns = [name for name in bars.columns]
+    columns = list(bars.columns)
     sliced = bars.withColumn(SLICE, F.window("ts", every)["start"])
 
-    from_end = Window.partitionBy("ticker", SLICE).orderBy(F.col("ts").desc())
-    tails = sliced.withColumn("rank", F.row_number().over(from_end)).where(
-        F.col("rank") <= rows
+    place = [F.col("ts"), *[F.col(name) for name in columns if name != "ts"]]
+    ordered = F.sort_array(F.collect_list(F.struct(*place)))
+    tails = (
+        sliced.groupBy("ticker", SLICE)
+        .agg(F.count("*").alias("n"), ordered.alias("tail"))
+        .withColumn("tail", F.slice("tail", F.greatest(F.col("n") - rows, F.lit(0)).cast("int") + 1, F.lit(rows)))
     )
-
-    by_time = Window.partitionBy("ticker").orderBy("ts")
-    history = F.collect_list(F.struct(*columns)).over(by_time.rowsBetween(1 - rows, 0))
-    handed_over = (
-        tails.withColumn("history", history)
-        .where(F.col("rank") == 1)
-        .withColumn("next_slice", F.lead(SLICE).over(by_time))
-        .where(F.col("next_slice").isNotNull())
-        .select(F.col("next_slice").alias(SLICE), F.explode("history").alias("bar"))
-        .select(*[F.col(f"bar.{name}").alias(name) for name in columns], SLICE)
+    by_slice = Window.partitionBy("ticker").orderBy(SLICE)
+    so_far = F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.collect_list(F.struct(SLICE, (F.col("so_far") - F.col("n")).alias("before")))
+    near = (
+        tails.withColumn("so_far", so_far)
+        .withColumn("later", later.over(by_slice.rowsBetween(1, rows)))
+        # between the end of this slice and a later one lie before - so_far bars
+        .select("tail", "so_far", F.explode("later").alias("target"))
+        .withColumn("gap", F.col("target.before") - F.col("so_far"))
+        .where(F.col("gap") < rows)
+    )
+    needed = F.slice(
+        "tail",
+        F.greatest(F.size("tail") - (rows - F.col("gap")), F.lit(0)).cast("int") + 1,
+        F.lit(rows),
+    )
+    handed_over = near.select(F.col(f"target.{SLICE}"), F.explode(needed).alias("bar")).select(
+        *[F.col(f"bar.{name}").alias(name) for name in columns], SLICE
     )
     return sliced.withColumn(LEAD_IN, F.lit(False)).unionByName(
         handed_over.withColumn(LEAD_IN, F.lit(True))
@@ -54,7 +67,8 @@ def over_series(
 ) -> DataFrame:
     """Apply ``compute(bars, partition_columns)`` per ticker, or per slice if ``every``.
 
-    ``rows`` is how far back, in bars, the computation looks.
+    ``rows`` is how far back, in bars, the computation looks. Without ``every`` a ticker's
+    whole series is one group, which suits daily bars only.
     """
     if every is None:
         return compute(bars, ["ticker"])

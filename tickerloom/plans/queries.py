@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from tickerloom.plans import views
 from tickerloom.plans.views import AS_OF, OLD_AS_OF, PARAMS
 from tickerloom.schemas import METRIC_COLUMNS
 from tickerloom.sources import bars as bar_source, filings, lists
+from tickerloom.sources.universes import UniverseStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,12 @@ def bars_resample(frequency):
     return query
 
 
+def bars_resample_nan(spark, sf_dir):
+    """Day bars of ticks of which every seventh has NaN for a price."""
+    price = F.expr("if(seq % 7 = 0, double('NaN'), price)")
+    return rs.resample(views.ticks(spark, sf_dir).withColumn("price", price), "1D")
+
+
 def bars_resample_ties(spark, sf_dir):
     """Hour bars of order prices by status, where many prices share one instant."""
     prices = views.table(spark, sf_dir, "orders").select(
@@ -101,10 +109,12 @@ def cik_dim(spark, sf_dir):
 
 
 def facts_flatten(spark, sf_dir):
-    documents = views.fact_documents(spark, sf_dir).withColumn(
-        "cik", pad_cik(F.get_json_object("json", "$.cik"))
-    )
-    return filings.flatten_facts(documents, keep=("doc", "cik"))
+    return filings.flatten_facts(views.fact_documents(spark, sf_dir), keep=("doc",))
+
+
+def facts_unparsed(spark, sf_dir):
+    """Filings cut short, emptied or without facts for some orders."""
+    return filings.unparsed_documents(views.damaged_documents(spark, sf_dir))
 
 
 def facts_named(spark, sf_dir):
@@ -114,7 +124,7 @@ def facts_named(spark, sf_dir):
         taxonomy=accounting.TAXONOMY,
         concepts=accounting.ACCOUNTING_CONCEPTS,
         keep=("doc",),
-    )
+    ).drop("cik")
 
 
 def list_names(spark, sf_dir):
@@ -247,6 +257,13 @@ def beta(spark, sf_dir):
     return _betas(spark, sf_dir).select("ticker", "beta")
 
 
+def beta_intraday(spark, sf_dir):
+    """Ticks of every hour as bars, against the mean tick of each instant as the market."""
+    return daily.intraday_beta(
+        views.hour_bars(spark, sf_dir), views.TICKS_END, "30 days", PARAMS
+    ).select("ticker", "n_common", "beta")
+
+
 def return_overlap(spark, sf_dir):
     return _betas(spark, sf_dir).select("ticker", "n_common")
 
@@ -301,7 +318,7 @@ def ratio(name, needs_price):
 # --- evaluation --------------------------------------------------------------------
 
 
-def evaluated(spark, sf_dir, as_of=AS_OF, universe=None):
+def evaluated(spark, sf_dir, as_of=AS_OF, universe=None, price_bars=None, complete=True):
     """The evaluation of a universe, by default of all suppliers and the market."""
     suppliers = views.supplier_bars(spark, sf_dir)
     market = views.market_bars(spark, sf_dir, suppliers)
@@ -311,8 +328,10 @@ def evaluated(spark, sf_dir, as_of=AS_OF, universe=None):
         facts=views.facts(spark, sf_dir),
         cik_map=views.cik_map(spark, sf_dir),
         universe=views.universe(spark, sf_dir) if universe is None else universe,
+        price_bars=price_bars,
         market_bars=market,
         params=PARAMS,
+        complete=complete,
     )
 
 
@@ -320,6 +339,13 @@ def snapshot(spark, sf_dir):
     return ev.snapshot(evaluated(spark, sf_dir))
 
 
+def snapshot_minute_price(spark, sf_dir):
+    """The snapshot with current prices from minute bars of the raw lines."""
+    lines = views.line_ticks(spark, sf_dir)
+    minutes = rs.resample(lines, "1Min", tie_breaker="seq")
+    return ev.snapshot(evaluated(spark, sf_dir, price_bars=minutes))
+
+
 def snapshot_rejects(spark, sf_dir):
     return ev.rejects(evaluated(spark, sf_dir))
 
@@ -402,41 +428,70 @@ def search_list(spark, sf_dir):
 # --- universes ---------------------------------------------------------------------
 
 
-def old_universe(spark, sf_dir):
-    """The universe as stored at an earlier time.
-
-    Checkpointed like a stored table: the maintenance plans read it several times.
-    """
+def earlier_universe(spark, sf_dir):
+    """The universe at an earlier time, as it would be stored."""
     rows = ev.snapshot(evaluated(spark, sf_dir, OLD_AS_OF))
-    stored = views.with_insertion_order(rows).withColumn(
-        "as_of", moment_literal(OLD_AS_OF)
-    )
-    return checkpointed(stored)
+    return views.with_insertion_order(rows).withColumn("as_of", moment_literal(OLD_AS_OF))
+
+
+def old_universe(spark, sf_dir):
+    """``earlier_universe``, checkpointed like a stored table: plans read it several times."""
+    return checkpointed(earlier_universe(spark, sf_dir))
 
 
 def universe_create(spark, sf_dir):
     stored = old_universe(spark, sf_dir)
     listing = views.listing(spark, sf_dir)
     wanted = uni.tickers_to_evaluate(stored, listing)
-    fresh = evaluated(spark, sf_dir, universe=wanted)
+    fresh = evaluated(spark, sf_dir, universe=wanted, complete=False)
     return uni.create(stored, listing, fresh, AS_OF, SEQ_BASE)
 
 
 def universe_refresh(spark, sf_dir):
     stored = old_universe(spark, sf_dir)
-    fresh = evaluated(spark, sf_dir, universe=stored)
+    fresh = evaluated(spark, sf_dir, universe=stored, complete=False)
     return uni.refresh(stored, fresh, AS_OF)
 
 
 def universe_add(spark, sf_dir):
     stored = old_universe(spark, sf_dir)
     candidates = views.listing(spark, sf_dir)
-    fresh = evaluated(spark, sf_dir, universe=candidates)
+    fresh = evaluated(spark, sf_dir, universe=candidates, complete=False)
     return uni.add(stored, candidates, fresh, AS_OF, SEQ_BASE)
 
 
 def universe_remove(spark, sf_dir):
-    return uni.remove(old_universe(spark, sf_dir), views.listing(spark, sf_dir))
+    return uni.remove(earlier_universe(spark, sf_dir), views.listing(spark, sf_dir))
+
+
+def _store(spark):
+    """A universe store of its own below the session's warehouse."""
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return UniverseStore(spark, f"{root}/universe-store-{uuid4().hex}")
+
+
+def store_round_trip(spark, sf_dir):
+    """The earlier universe saved, listed, replaced and loaded again."""
+    store = _store(spark)
+    store.save(earlier_universe(spark, sf_dir), "round_trip")
+    loaded = store.load("round_trip")
+    version = store.save(uni.remove(loaded, views.listing(spark, sf_dir)), "round_trip")
+    return store.load("round_trip").withColumn("version", F.lit(version).cast("bigint"))
+
+
+def store_reset(spark, sf_dir):
+    """How many rows a universe has before and after it is emptied, and its versions."""
+    store = _store(spark)
+    store.save(earlier_universe(spark, sf_dir), "p_reset")
+    before = store.load("p_reset")
+    store.save(uni.reset(before), "p_reset")
+
+    def counted(rows, stage):
+        return rows.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
+
+    after = store.load("p_reset")
+    names = store.names().select("dbname", F.col("version"))
+    return counted(before, "before").union(counted(after, "after")).union(names)
 
 
 def flagship(spark, sf_dir):
@@ -452,6 +507,7 @@ QUERIES: dict[str, Query] = {
     "bars_resample_hour": bars_resample("1H"),
     "bars_resample_minute": bars_resample("1Min"),
     "bars_resample_ties": bars_resample_ties,
+    "bars_resample_nan": bars_resample_nan,
     "latest_price": latest_price,
     "parse_tickers": parse_tickers,
     "list_overview": list_overview,
@@ -459,6 +515,7 @@ QUERIES: dict[str, Query] = {
     "cik_dim": cik_dim,
     "facts_flatten": facts_flatten,
     "facts_named": facts_named,
+    "facts_unparsed": facts_unparsed,
     "names_normalized": names_normalized,
     "close_diff": close_diff,
     "simple_returns": simple_returns,
@@ -475,6 +532,7 @@ QUERIES: dict[str, Query] = {
     "ci_distance": ci_distance,
     "penny_filter": penny_filter,
     "beta": beta,
+    "beta_intraday": beta_intraday,
     "return_overlap": return_overlap,
     "facts_dedup": facts_dedup,
     "latest_annual": latest_annual,
@@ -487,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "ratio_inv": ratio("inv", False),
     "factor_record": _factors,
     "snapshot": snapshot,
+    "snapshot_minute_price": snapshot_minute_price,
     "snapshot_rejects": snapshot_rejects,
     "run_counts": run_counts,
     "ticker_lookup": ticker_lookup,
@@ -511,4 +570,6 @@ QUERIES: dict[str, Query] = {
     "universe_refresh": universe_refresh,
     "universe_add": universe_add,
     "universe_remove": universe_remove,
+    "store_round_trip": store_round_trip,
+    "store_reset": store_reset,
 }

@@ -15,6 +15,7 @@ from tickerloom.operators import ordering, screening
 from tickerloom.operators import universe as uni
 from tickerloom.params import DEFAULTS, ScreenParams
 from tickerloom.schemas import UNIVERSE
+from tickerloom.sources.bars import BarReader
 from tickerloom.sources.universes import SEQ_STRIDE, UniverseStore
 
 LISTING = "ticker STRING, ordinal BIGINT"
@@ -27,19 +28,21 @@ def universe_name(text: str) -> str:
 class Screener:
     """Operations on universes stored under ``root``.
 
-    ``bars`` are daily bars, ``price_bars`` minute bars for current prices (the daily bars
-    if not given), ``facts`` and ``cik_map`` the filings. A maintenance call evaluates its
-    tickers in one job, saves a new version of the universe and returns the version.
+    ``bars`` reads daily bars and ``price_bars`` minute bars for current prices (the daily
+    bars if not given): functions ``(as_of, days_back)``, such as ``bar_reader`` makes. Each
+    call reads the lookback of its own ``as_of``, so that no result depends on what an
+    earlier one has read. ``facts`` and ``cik_map`` are the filings. A maintenance call
+    evaluates its tickers in one job, saves a new version and returns its number.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         root: str,
-        bars: DataFrame,
+        bars: BarReader,
         facts: DataFrame | None = None,
         cik_map: DataFrame | None = None,
-        price_bars: DataFrame | None = None,
+        price_bars: BarReader | None = None,
         params: ScreenParams = DEFAULTS,
     ) -> None:
         self.spark = spark
@@ -50,15 +53,25 @@ class Screener:
         self.price_bars = price_bars
         self.params = params
 
-    def evaluate(self, universe: DataFrame | None, as_of: datetime) -> DataFrame:
+    def _bars(self, as_of: datetime) -> DataFrame:
+        p = self.params
+        return self.bars(as_of, max(p.rsi_days, p.beta_days, p.band_days, p.price_days))
+
+    def _price_bars(self, as_of: datetime) -> DataFrame | None:
+        return None if self.price_bars is None else self.price_bars(as_of, self.params.price_days)
+
+    def evaluate(
+        self, universe: DataFrame | None, as_of: datetime, complete: bool = True
+    ) -> DataFrame:
         return ev.evaluate(
-            self.bars,
+            self._bars(as_of),
             as_of,
             facts=self.facts,
             cik_map=self.cik_map,
             universe=universe,
-            price_bars=self.price_bars,
+            price_bars=self._price_bars(as_of),
             params=self.params,
+            complete=complete,
         )
 
     def _listing(self, tickers: DataFrame | Sequence[str]) -> DataFrame:
@@ -74,16 +87,12 @@ class Screener:
         """Status and measures of one ticker, from its own bars and the market's."""
         name = ticker.strip().upper()
         wanted = F.col("ticker").isin(name, self.params.market)
-        prices = self.price_bars
-        facts, cik_map = self.facts, self.cik_map
-        if facts is not None and cik_map is not None:
-            cik_map = cik_map.where(F.col("ticker") == name)
-            facts = facts.join(cik_map, "cik", "left_semi")
+        prices = self._price_bars(as_of)
         evaluated = ev.evaluate(
-            self.bars.where(wanted),
+            self._bars(as_of).where(wanted),
             as_of,
-            facts=facts,
-            cik_map=cik_map,
+            facts=self.facts,
+            cik_map=self.cik_map,
             universe=self.spark.createDataFrame([(name,)], "ticker STRING"),
             price_bars=None if prices is None else prices.where(wanted),
             params=self.params,
@@ -158,7 +167,7 @@ class Screener:
     def coverage(self, dbname: str, as_of: datetime, days_back: float = 5) -> DataFrame:
         """Which tickers of a universe have recent bars."""
         rows = self.store.load(universe_name(dbname))
-        return ev.coverage(rows, self.bars, as_of, days_back)
+        return ev.coverage(rows, self.bars(as_of, days_back), as_of, days_back)
 
     def _seq_base(self, name: str) -> int:
         return self.store.next_version(name) * SEQ_STRIDE

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.functions.moments import bucket_start
 from tickerloom.params import DEFAULTS
 
 AS_OF = datetime(2001, 11, 4)
@@ -20,7 +21,8 @@ MARKET = "MKT"
 PARAMS = replace(DEFAULTS, market=MARKET)
 
 TABLE_SCHEMAS = {
-    "lineitem": "l_suppkey BIGINT, l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_suppkey BIGINT,"
+    " l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING,"
     " o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
@@ -63,12 +65,9 @@ def market_bars(
     suppliers = supplier_bars(spark, sf_dir) if suppliers is None else suppliers
     mean = "rint(sum(cast(rint(close * 10000) as bigint)) / count(*)) / 10000D"
     # not a plain literal: a join on a constant key has no key to hash by
-    name = f"max(if(close is null, null, '{MARKET}'))"
-    return (
-        suppliers.groupBy("ts")
-        .agg(F.expr(name).alias("ticker"), F.expr(mean).alias("close"))
-        .select("ticker", "ts", "close")
-    )
+    name = f"if(close is null, null, '{MARKET}') as ticker"
+    daily = suppliers.groupBy("ts").agg(F.expr(mean).alias("close"))
+    return daily.selectExpr(name, "ts", "close")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +92,33 @@ def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).selectExpr("ticker", "ts", "price as close")
 
 
+#: After the last tick.
+TICKS_END = datetime(2024, 2, 1)
+
+
+def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last tick of every hour, and the mean of these under the market ticker."""
+    hours = ticks(spark, sf_dir).withColumn("ts", bucket_start(F.col("ts"), "1H"))
+    closes = hours.groupBy("ticker", "ts").agg(F.max_by("price", "seq").alias("close"))
+    mean = "rint(sum(cast(rint(close * 10000) as bigint)) / count(*)) / 10000D as close"
+    market = closes.groupBy("ts").agg(F.expr(mean))
+    return closes.unionByName(
+        market.selectExpr(f"if(close is null, null, '{MARKET}') as ticker", "ts", "close")
+    )
+
+
+def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a tick of its supplier, at the level of the daily bars."""
+    factor = "if(l_suppkey % 10 = 7, 0.03D, 1D)"
+    level = f"(100 + rint(l_extendedprice * 100) / 100000D) * {factor}"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('S', l_suppkey) as ticker",
+        "l_shipdate as ts",
+        f"cast(rint({level} * 10000) as bigint) / 10000D as price",
+        "l_orderkey * 10 + l_linenumber as seq",
+    )
+
+
 CONCEPT = """
 case o_orderpriority
   when '1-URGENT' then 'StockholdersEquity'
@@ -171,6 +197,16 @@ def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filings with some cut short, emptied, without facts or without a number."""
+    return fact_documents(spark, sf_dir).selectExpr(
+        "doc",
+        """case doc % 10 when 3 then left(json, 60) when 4 then null
+           when 5 then '{"cik": 5}' when 6 then regexp_replace(json, '"cik":[0-9]+,', '')
+           else json end as json""",
+    )
+
+
 def cik_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document per supplier: its own ticker, and one its nation shares."""
     own = "named_struct('cik_str', s_suppkey, 'ticker', concat('s', s_suppkey))"

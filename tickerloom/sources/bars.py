@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,23 @@ def read_bars(
     return bars.select(*schemas.BARS.fieldNames())
 
 
+BarReader = Callable[[datetime, float], DataFrame]
+
+
+def bar_reader(spark: SparkSession, path: str, frequency: str) -> BarReader:
+    """A function ``(as_of, days_back)`` that reads stored bars of one frequency.
+
+    Each call prunes to its own months and to the folder of the frequency.
+    """
+    name = canonical_frequency(frequency)
+
+    def read(as_of: datetime, days_back: float) -> DataFrame:
+        stored = read_bars(spark, path, as_of, days_back)
+        return stored.where(F.col("freq") == name).drop("freq")
+
+    return read
+
+
 def read_raw_bars(
     spark: SparkSession, path: str, file_format: str, frequency: str, **options: str
 ) -> DataFrame:

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom import schemas
 from tickerloom.functions.text import pad_cik
 
 CIK_MAP_JSON = "MAP<STRING, STRUCT<cik_str: STRING, ticker: STRING>>"
 
+#: A company's number in the name of its document.
+FILE_NAME = "(?i)cik0*([0-9]+)[^/]*$"
+#: Where the parser puts text it cannot read.
+BROKEN = "_broken"
 ENTRY = "STRUCT<end: STRING, filed: STRING, form: STRING, val: DOUBLE>"
 UNITS = f"STRUCT<units: MAP<STRING, ARRAY<{ENTRY}>>>"
-FACTS_JSON = f"STRUCT<facts: MAP<STRING, MAP<STRING, {UNITS}>>>"
+FACTS_JSON = f"STRUCT<cik: STRING, facts: MAP<STRING, MAP<STRING, {UNITS}>>>"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -47,10 +52,13 @@ def flatten_facts(
     documents: DataFrame,
     taxonomy: str | None = None,
     concepts: Sequence[str] | None = None,
-    keep: Sequence[str] = ("cik",),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Long facts table from JSON documents, one row per reported value.
 
+    ``cik`` is the document's own number, or the one in its file name, in ten characters.
+    Documents that cannot be read have no facts; ``unparsed_documents`` lists them.
+
     With ``taxonomy`` and ``concepts`` the parse schema names just those, so the JSON
     reader skips everything else. ``keep`` columns pass through. ``pos`` is the place of
     the value within its unit's array, which later breaks ties between filings.
@@ -62,15 +70,17 @@ def flatten_facts(
     else:
         rows = _explode_named(documents, taxonomy or "us-gaap", concepts, keep)
     by_unit = rows.select(
-        *keep, "taxonomy", "concept", F.explode("units").alias("unit", "entries")
+        "cik", *keep, "taxonomy", "concept", F.explode("units").alias("unit", "entries")
     )
     return by_unit.select(
+        "cik",
         *keep,
         "taxonomy",
         "concept",
         "unit",
         F.posexplode("entries").alias("pos", "entry"),
     ).select(
+        "cik",
         *keep,
         "taxonomy",
         "concept",
@@ -83,24 +93,68 @@ def flatten_facts(
     )
 
 
+def _company(parsed: str) -> Column:
+    """The padded number inside a parsed document, or else in its name."""
+    named = F.nullif(F.regexp_extract(F.col("doc").cast("string"), FILE_NAME, 1), F.lit(""))
+    return pad_cik(F.coalesce(F.col(f"{parsed}.cik"), named)).alias("cik")
+
+
+def unparsed_documents(documents: DataFrame) -> DataFrame:
+    """``(doc, reason)`` of documents that give no facts.
+
+    ``empty``: no text; ``malformed``: no complete JSON; ``no_facts``: JSON without facts;
+    ``no_cik``: facts of no known company.
+    """
+    schema = FACTS_JSON.removesuffix(">") + f", {BROKEN}: STRING>"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    parsed = documents.select("doc", "json", F.from_json("json", schema, options).alias("parsed"))
+    reason = (
+        F.when(F.coalesce(F.trim("json"), F.lit("")) == "", "empty")
+        .when(F.col("parsed").isNull() | F.col(f"parsed.{BROKEN}").isNotNull(), "malformed")
+        .when(F.col("parsed.facts").isNull(), "no_facts")
+        .when(_company("parsed").isNull(), "no_cik")
+    )
+    return parsed.select("doc", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def write_facts(facts: DataFrame, path: str, mode: str = "error") -> None:
+    """Store facts sorted by company, so that file statistics prune to the companies read.
+
+    The range includes the concept and the period: one company's facts may span files.
+    """
+    order = ["cik", "taxonomy", "concept", "end"]
+    columns = schemas.FACTS.fieldNames()
+    sorted_rows = facts.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows.write.mode(mode).parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.FACTS).parquet(path)
+
+
+def _others(keep: Sequence[str]) -> list[str]:
+    return [name for name in keep if name != "doc"]
+
+
 def _explode_all(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
-    parsed = documents.select(*keep, F.from_json("json", FACTS_JSON).alias("parsed"))
+    parsed = documents.select("doc", *_others(keep), F.from_json("json", FACTS_JSON).alias("parsed"))
     by_taxonomy = parsed.select(
-        *keep, F.explode("parsed.facts").alias("taxonomy", "concepts")
+        _company("parsed"), *keep, F.explode("parsed.facts").alias("taxonomy", "concepts")
     )
     by_concept = by_taxonomy.select(
-        *keep, "taxonomy", F.explode("concepts").alias("concept", "body")
+        "cik", *keep, "taxonomy", F.explode("concepts").alias("concept", "body")
     )
-    return by_concept.select(*keep, "taxonomy", "concept", "body.units")
+    return by_concept.select("cik", *keep, "taxonomy", "concept", "body.units")
 
 
 def _explode_named(
     documents: DataFrame, taxonomy: str, concepts: Sequence[str], keep: Sequence[str]
 ) -> DataFrame:
     fields = ", ".join(f"`{name}`: {UNITS}" for name in concepts)
-    schema = f"STRUCT<facts: STRUCT<`{taxonomy}`: STRUCT<{fields}>>>"
-    parsed = documents.select(
-        *keep, F.from_json("json", schema)["facts"][taxonomy].alias("named")
+    schema = f"STRUCT<cik: STRING, facts: STRUCT<`{taxonomy}`: STRUCT<{fields}>>>"
+    document = documents.select("doc", *_others(keep), F.from_json("json", schema).alias("parsed"))
+    parsed = document.select(
+        _company("parsed"), *keep, F.col("parsed.facts")[taxonomy].alias("named")
     )
     pairs = F.array(
         *[
@@ -111,7 +165,7 @@ def _explode_named(
             for name in concepts
         ]
     )
-    by_concept = parsed.select(*keep, F.explode(pairs).alias("pair"))
+    by_concept = parsed.select("cik", *keep, F.explode(pairs).alias("pair"))
     return by_concept.select(
-        *keep, F.lit(taxonomy).alias("taxonomy"), "pair.concept", "pair.units"
+        "cik", *keep, F.lit(taxonomy).alias("taxonomy"), "pair.concept", "pair.units"
     )

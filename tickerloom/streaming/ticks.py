@@ -12,13 +12,17 @@ from tickerloom.functions.moments import (
     utc_instant,
     utc_wall_clock,
 )
+from tickerloom.operators.resample import has_price
 
 
 def stream_bars(
-    ticks: DataFrame, frequency: str, delay: str = "20 minutes", price: str = "price"
+    ticks: DataFrame, frequency: str, delay: str, price: str = "price"
 ) -> DataFrame:
     """Bars of closed buckets; ticks more than ``delay`` behind the newest are dropped.
 
+    How late a tick may be is the caller's choice. The drop shows only in the stream's
+    progress, as ``numRowsDroppedByWatermark``. Ticks without a price do not count.
+
     State per ticker is the open buckets only. Append mode emits each bar once. Watermarks
     need TIMESTAMP, so wall-clock times pass through it and come back as TIMESTAMP_NTZ.
     """
@@ -27,7 +31,7 @@ def stream_bars(
         ticks = ticks.withColumn("ts", utc_instant("ts"))
     bars = (
         ticks.withWatermark("ts", delay)
-        .where(F.col(price).isNotNull())
+        .where(has_price(price))
         .groupBy(F.window("ts", BUCKETS[name]).alias("bucket"), "ticker")
         .agg(
             F.min_by(price, "ts").alias("open"),
@@ -52,7 +56,7 @@ def stream_bars(
 def stream_latest_price(ticks: DataFrame, price: str = "price") -> DataFrame:
     """Latest price and its time per ticker, one state row each; for update mode."""
     return (
-        ticks.where(F.col(price).isNotNull())
+        ticks.where(has_price(price))
         .groupBy("ticker")
         .agg(F.max_by(price, "ts").alias("price"), F.max("ts").alias("ts"))
     )
