@@ -56,13 +56,15 @@ def test_bad_hosts_are_found_and_small_ones_shrunk(spark):
 
 def test_one_soft_failure_goes_only_from_a_bad_host(spark):
     plain = " ".join(f"word{i}" for i in range(60))
-    marked = " ".join(f"word{i}$$" for i in range(60))
+    marked = " ".join(f"word{i:06d}$" for i in range(60))
+    gross = " ".join(f"word{i}$$$" for i in range(60))
     rows = [(i, plain, f"h{i % 30}") for i in range(3000)]
     rows += [(10_000 + i, marked if i < 60 else plain, "junk") for i in range(100)]
-    rows += [(20_000, marked, "h1")]
+    rows += [(20_000, marked, "h1"), (20_001, gross, "h1"), (20_002, plain.upper(), "h1")]
     frame = spark.createDataFrame(rows, "doc_id int, text string, source string")
     kept = {r.doc_id for r in host_rules.judge(frame).where("kept").collect()}
     assert 20_000 in kept and 10_000 not in kept and 10_099 in kept
+    assert kept.isdisjoint({20_001, 20_002})
     assert len(kept) == 3000 + 40 + 1
 
 

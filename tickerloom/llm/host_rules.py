@@ -5,8 +5,8 @@ by host; for each rule a beta prior is fitted to the hosts' failure rates by the
 moments, and each host's rate is shrunk to it, so that a host with few documents is judged by
 what is usual and one with many by its own record. A host is bad in a rule if its shrunk rate is
 far above the usual one. The verdicts are joined back: a document goes if it fails two soft
-rules, or a single one in which its host is bad. A document that fails none stays, wherever it
-comes from.
+rules, or a single one in which its host is bad, or one so grossly that the host does not
+matter. A document that fails none stays, wherever it comes from.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ LEAST_BAD = 0.2
 #: Bounds of a prior's weight in documents; the upper one also serves hosts without spread.
 PRIOR_WEIGHT = (2.0, 1000.0)
 SYMBOLS = "#*$%&|<>"
-RULES = ["symbols", "dup_lines", "repeats", "word_length"]
+RULES = ["symbols", "capitals", "dup_lines", "repeats", "word_length"]
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def measured(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
@@ -40,6 +41,7 @@ def measured(docs: DataFrame, keep: list[str], text_column: str = "text") -> Dat
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).cast("bigint").alias("n_capitals"),
         F.size("_l").cast("bigint").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
@@ -73,13 +75,20 @@ def _soft_failures() -> dict[str, Column]:
     """The soft rules over the measures; none fails for a text without words."""
     w, c = F.col("n_words"), F.col("word_chars")
     return {
-        "symbols": 10 * F.col("n_symbols") > c,
+        "symbols": 100 * F.col("n_symbols") > 6 * c,
+        "capitals": 10 * F.col("n_capitals") > 3 * c,
         "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
         "repeats": 4 * F.col("n_repeat_words") > w,
         "word_length": (w > 0) & ((c < 2 * w) | (c > 15 * w)),
     }
 
 
+def _gross() -> Column:
+    """Twice the limit of symbols or capitals."""
+    c = F.col("word_chars")
+    return (100 * F.col("n_symbols") > 12 * c) | (10 * F.col("n_capitals") > 6 * c)
+
+
 def host_verdicts(flagged: DataFrame) -> DataFrame:
     """``(host, bad_rules)`` from ``flagged(host, failures)``; both are arrays of rule names.
 
@@ -136,14 +145,14 @@ def judge(
     )
     verdicts = host_verdicts(facts.select("host", "failures")).withColumnRenamed("host", "_host")
     joined = facts.join(verdicts, facts.host.eqNullSafe(F.col("_host")), "left").drop("_host")
-    worst = (F.size("failures") >= 2) | F.arrays_overlap("failures", "bad_rules")
+    worst = (F.size("failures") >= 2) | F.arrays_overlap("failures", "bad_rules") | _gross()
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(worst, F.lit(False)))
 
 
 def op3_host_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "host", "n_lines",
+        "base_failed", "kept", "host", "n_lines", "n_capitals",
         F.array_join("failures", ",").alias("failures"),
         F.array_join("bad_rules", ",").alias("bad_rules"),
     )
