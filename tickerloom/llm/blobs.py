@@ -2,7 +2,7 @@
 
 Files are written under a temporary name and then renamed, so a repeated or speculative task
 leaves one whole file. A folder on a mounted file system is mapped in place; from any other
-store a worker fetches a file once, maps it and unlinks its copy.
+store a worker fetches a file once, maps it and unlinks its copy, which is its own alone.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 Every document is measured, and soft rules flag what looks wrong with it. Failures are added up
 by host; for each rule a beta prior is fitted to the hosts' failure rates by their first two
-moments, and each host's rate is shrunk to it, so that a host with few documents is judged by
+moments, less the spread that counting alone gives, and each host's rate is shrunk to it, so that a host with few documents is judged by
 what is usual and one with many by its own record. A host is bad in a rule if its shrunk rate is
 far above the usual one. The verdicts are joined back: a document goes if it fails two soft
 rules, or a single one in which its host is bad, or one so grossly that the host does not
@@ -107,9 +107,13 @@ def host_verdicts(flagged: DataFrame) -> DataFrame:
         ).alias("r"),
     ).select("host", "n", "r.rule", "r.failed")
     rate = F.col("failed") / F.col("n")
-    moments = by_rule.groupBy("rule").agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
+    moments = by_rule.groupBy("rule").agg(
+        F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n")).alias("noise")
+    )
     low, high = PRIOR_WEIGHT
-    weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(high)
+    even = F.col("m") * (1 - F.col("m"))
+    spread = F.col("v") - even * F.col("noise")
+    weight = F.when(spread > 0, even / spread - 1).otherwise(high)
     prior = moments.select("rule", "m", F.least(F.greatest(weight, F.lit(low)), F.lit(high)).alias("k"))
     shrunk = (F.col("failed") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))
     bad = shrunk >= F.greatest(TIMES_USUAL * F.col("m"), F.lit(LEAST_BAD))
@@ -167,4 +171,4 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(docs.doc_id, F.xxhash64(docs.text).alias("text"), docs.source)
     keyed = docs.select(key.alias("doc_id"), "text", "source")
     kept = judge(keyed).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(kept, key == F.col("_key"), "left_semi")
+    return docs.join(kept, key == kept["_key"], "left_semi")

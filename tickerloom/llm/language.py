@@ -41,8 +41,8 @@ class _Table(dict):
     """For str.translate: other characters than letters to spaces, worked out once each."""
 
     def __missing__(self, code: int) -> str:
-        char = chr(code).lower()
-        self[code] = char if char.isalpha() else " "
+        char = chr(code)
+        self[code] = char.lower()[0] if char.isalpha() else " "
         return self[code]
 
 
@@ -219,7 +219,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the languages the documents come with.
     """
-    judged = predict(docs, fit(docs), docs.columns)
-    return (
-        judged.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
-    )
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    judged = predict(whole, fit(docs), ["row"]).where("not rejected")
+    names = {c: "lang_pred" if c == "lang" else f"row.`{c}`" for c in docs.columns}
+    return judged.select(*(F.col(place).alias(c) for c, place in names.items()))
