@@ -225,3 +225,13 @@ def test_screener_life_cycle(spark, tmp_path):
     assert all(found[c] == kept[c] for c in SNAPSHOT_COLUMNS)
     screener.reset(name)
     assert screener.load(name).isEmpty() and screener.universes().count() == 1
+
+
+def test_vacuum_keeps_the_latest(spark, tmp_path):
+    store = UniverseStore(spark, str(tmp_path))
+    for name in "ABC":
+        store.save(stored(spark, row(name)), "u1")
+    assert store.vacuum("u1", keep=2) == [1] and store.vacuum("u1", keep=2) == []
+    assert set(values(store.load("u1", 2))) == {"B"} and set(values(store.load("u1"))) == {"C"}
+    with pytest.raises(ValueError):
+        store.vacuum("u1", keep=0)

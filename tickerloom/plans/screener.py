@@ -107,42 +107,46 @@ class Screener:
         listing = self._listing(tickers)
         if listing.isEmpty():
             raise ValueError("no tickers given")
-        stored = self.store.load(name) if self.store.exists(name) else self._no_rows()
+        old = self.store.version(name)
+        stored = self._no_rows() if old is None else self.store.load(name, old)
+        new = (old or 0) + 1
         wanted = uni.tickers_to_evaluate(stored, listing)
-        fresh = self.store.stage_evaluation(self.evaluate(wanted, as_of), name)
-        return self.store.save(
-            uni.create(stored, listing, fresh, as_of, self._seq_base(name)), name
-        )
+        fresh = self.store.stage_evaluation(self.evaluate(wanted, as_of), name, new)
+        rows = uni.create(stored, listing, fresh, as_of, new * SEQ_STRIDE)
+        return self.store.save(rows, name, new)
 
     def update(self, dbname: str, as_of: datetime) -> int:
         """Recompute every row of a universe."""
         name = universe_name(dbname)
-        stored = self.store.load(name)
-        fresh = self.store.stage_evaluation(self.evaluate(stored, as_of), name)
-        return self.store.save(uni.refresh(stored, fresh, as_of), name)
+        old = self.store.latest(name)
+        stored = self.store.load(name, old)
+        fresh = self.store.stage_evaluation(self.evaluate(stored, as_of), name, old + 1)
+        return self.store.save(uni.refresh(stored, fresh, as_of), name, old + 1)
 
     def add(
         self, dbname: str, tickers: str | DataFrame | Sequence[str], as_of: datetime
     ) -> int:
         """Add tickers that are not there yet; what is there stays as it is."""
         name = universe_name(dbname)
-        stored = self.store.load(name)
+        old = self.store.latest(name)
+        stored = self.store.load(name, old)
         candidates = self._listing([tickers] if isinstance(tickers, str) else tickers)
         new = candidates.join(stored, "ticker", "left_anti")
-        fresh = self.store.stage_evaluation(self.evaluate(new, as_of), name)
-        return self.store.save(
-            uni.add(stored, candidates, fresh, as_of, self._seq_base(name)), name
-        )
+        fresh = self.store.stage_evaluation(self.evaluate(new, as_of), name, old + 1)
+        rows = uni.add(stored, candidates, fresh, as_of, (old + 1) * SEQ_STRIDE)
+        return self.store.save(rows, name, old + 1)
 
     def remove(self, dbname: str, tickers: str | DataFrame | Sequence[str]) -> int:
         name = universe_name(dbname)
         gone = self._listing([tickers] if isinstance(tickers, str) else tickers)
-        return self.store.save(uni.remove(self.store.load(name), gone), name)
+        old = self.store.latest(name)
+        return self.store.save(uni.remove(self.store.load(name, old), gone), name, old + 1)
 
     def reset(self, dbname: str) -> int:
         """Empty a universe but keep its name."""
         name = universe_name(dbname)
-        return self.store.save(uni.reset(self.store.load(name)), name)
+        old = self.store.latest(name)
+        return self.store.save(uni.reset(self.store.load(name, old)), name, old + 1)
 
     def load(self, dbname: str, sort: str = "normal", limit: int | None = None) -> DataFrame:
         """Rows of a universe in one of the sort orders, or the first ``limit`` of them."""
@@ -169,8 +173,5 @@ class Screener:
         rows = self.store.load(universe_name(dbname))
         return ev.coverage(rows, self.bars(as_of, days_back), as_of, days_back)
 
-    def _seq_base(self, name: str) -> int:
-        return self.store.next_version(name) * SEQ_STRIDE
-
     def _no_rows(self) -> DataFrame:
         return self.spark.createDataFrame([], UNIVERSE)

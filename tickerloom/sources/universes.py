@@ -69,30 +69,35 @@ class UniverseStore:
             .withColumn("is_portfolio", F.col("dbname").rlike(PORTFOLIO_NAME))
         )
 
-    def load(self, dbname: str) -> DataFrame:
-        """The latest rows of a universe; empty if it was saved empty."""
+    def latest(self, dbname: str) -> int:
+        """Latest saved version of a universe that must exist."""
         version = self.version(dbname)
         if version is None:
             raise UnknownUniverse(dbname)
+        return version
+
+    def load(self, dbname: str, version: int | None = None) -> DataFrame:
+        """The rows of a version, by default the latest; empty if it was saved empty."""
+        version = self.latest(dbname) if version is None else version
         return self.spark.read.schema(schemas.UNIVERSE).parquet(
             self._version_path("universes", dbname, version)
         )
 
-    def stage_evaluation(self, evaluated: DataFrame, dbname: str) -> DataFrame:
-        """Write the evaluation for the next version and return it as a table.
+    def stage_evaluation(
+        self, evaluated: DataFrame, dbname: str, version: int | None = None
+    ) -> DataFrame:
+        """Write the evaluation for a version, by default the next, and return it as a table.
 
         The rows, the rejects and the counts of a run then share one computation.
         """
-        path = self._version_path("evaluations", dbname, self.next_version(dbname))
+        version = self.next_version(dbname) if version is None else version
+        path = self._version_path("evaluations", dbname, version)
         evaluated.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schemas.EVALUATION).parquet(path)
 
     def evaluation(self, dbname: str) -> DataFrame:
         """The evaluation the latest version was made from; empty if it needed none."""
-        version = self.version(dbname)
-        if version is None:
-            raise UnknownUniverse(dbname)
-        path = self._version_path("evaluations", dbname, version)
+        path = self._version_path("evaluations", dbname, self.latest(dbname))
         try:
             return self.spark.read.schema(schemas.EVALUATION).parquet(path)
         except AnalysisException as missing:
@@ -100,9 +105,9 @@ class UniverseStore:
                 raise
             return self.spark.createDataFrame([], schemas.EVALUATION)
 
-    def save(self, rows: DataFrame, dbname: str) -> int:
-        """Replace a universe by ``rows`` and return the new version."""
-        version = self.next_version(dbname)
+    def save(self, rows: DataFrame, dbname: str, version: int | None = None) -> int:
+        """Replace a universe by ``rows`` and return the new version, by default the next."""
+        version = self.next_version(dbname) if version is None else version
         columns = [
             F.col(field.name).cast(field.dataType).alias(field.name)
             for field in schemas.UNIVERSE.fields
@@ -113,3 +118,21 @@ class UniverseStore:
         commit = self.spark.createDataFrame([(dbname, version)], COMMIT_SCHEMA)
         commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return version
+
+    def vacuum(self, dbname: str, keep: int = 1) -> list[int]:
+        """Delete all but the last ``keep`` versions of a universe; returns those deleted.
+
+        Readers of an old version fail from then on, so this is for the one writer to call.
+        """
+        if keep < 1:
+            raise ValueError("the latest version must stay")
+        log = self._commits().where(F.col("dbname") == dbname).select("version").distinct()
+        old = [r["version"] for r in log.where(F.col("version") <= self.latest(dbname) - keep).collect()]
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        deleted = set()
+        for version in old:
+            for kind in ("universes", "evaluations"):
+                path = jvm.org.apache.hadoop.fs.Path(self._version_path(kind, dbname, version))
+                if path.getFileSystem(conf).delete(path, True):
+                    deleted.add(version)
+        return sorted(deleted)
