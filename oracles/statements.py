@@ -230,6 +230,10 @@ WITH {BARS}, {UNIVERSE}
 SELECT ticker, ts, close FROM bars
 WHERE ts BETWEEN {AS_OF} - INTERVAL 90 DAY AND {AS_OF}
   AND ticker IN (SELECT ticker FROM universe)""",
+    "bars_delayed": f"""
+WITH {BARS}
+SELECT ticker, ts, close FROM bars
+WHERE ts BETWEEN {AS_OF} - INTERVAL 10 MINUTE - INTERVAL 5 DAY AND {AS_OF} - INTERVAL 10 MINUTE""",
     "bar_keys": """
 SELECT 'S' || l_suppkey AS ticker, l_shipdate AS ts, count(*) AS n
 FROM lineitem GROUP BY l_suppkey, l_shipdate HAVING count(*) > 1""",
@@ -472,6 +476,10 @@ FROM snap""",
     "search_list": f"""
 WITH {TICKS}
 SELECT ticker, seq, ts, price FROM ticks
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY seq DESC) = 1""",
+    "search_remove": f"""
+WITH {TICKS}
+SELECT ticker, seq, ts, price FROM ticks WHERE ticker <> 'U1'
 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY seq DESC) = 1""",
     "universe_create": f"""
 WITH {OLD_STORE},

@@ -7,13 +7,13 @@ half to even at nine decimals, to be comparable.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.functions.moments import moment_literal
+from tickerloom.functions.moments import delayed_as_of, moment_literal
 from tickerloom.functions.numeric import half_even
 from tickerloom.functions.text import (
     is_portfolio,
@@ -59,6 +59,12 @@ def bars_scan(spark, sf_dir):
     return scanned.select("ticker", "ts", "close")
 
 
+def bars_delayed(spark, sf_dir):
+    """What a run at ten past the last bar may read of a feed that is twenty minutes late."""
+    as_of = delayed_as_of(AS_OF + timedelta(minutes=10))
+    return bar_source.scan_bars(views.bars(spark, sf_dir), as_of, 5).select("ticker", "ts", "close")
+
+
 def bar_keys(spark, sf_dir):
     """Rows per bar key of the raw lines: the keys a raw load would have to merge."""
     raw = views.table(spark, sf_dir, "lineitem").select(
@@ -425,6 +431,11 @@ def search_list(spark, sf_dir):
     return screening.search_list(results)
 
 
+def search_remove(spark, sf_dir):
+    """The search list without one of its tickers."""
+    return screening.remove_result(search_list(spark, sf_dir), "U1")
+
+
 # --- universes ---------------------------------------------------------------------
 
 
@@ -502,6 +513,7 @@ def flagship(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "bars_scan": bars_scan,
+    "bars_delayed": bars_delayed,
     "bar_keys": bar_keys,
     "bars_resample_day": bars_resample("daily"),
     "bars_resample_hour": bars_resample("1H"),
@@ -566,6 +578,7 @@ QUERIES: dict[str, Query] = {
     "report_view": report_view,
     "export_json": export_json,
     "search_list": search_list,
+    "search_remove": search_remove,
     "universe_create": universe_create,
     "universe_refresh": universe_refresh,
     "universe_add": universe_add,
