@@ -2,11 +2,12 @@
 
 Every document is measured, and soft rules flag what looks wrong with it. Failures are added up
 by host; for each rule a beta prior is fitted to the hosts' failure rates by their first two
-moments, less the spread that counting alone gives, and each host's rate is shrunk to it, so that a host with few documents is judged by
-what is usual and one with many by its own record. A host is bad in a rule if its shrunk rate is
-far above the usual one. The verdicts are joined back: a document goes if it fails two soft
-rules, or a single one in which its host is bad, or one so grossly that the host does not
-matter. A document that fails none stays, wherever it comes from.
+moments, less the spread that counting alone gives, and each host's rate is shrunk to it, so
+that a host with few documents is judged by what is usual and one with many by its own record. A
+host is bad in a rule if its shrunk rate is far above the usual one. The verdicts are joined
+back: a document goes if it fails two soft rules, or a single one in which its host is bad, or
+one so grossly that the host does not matter. A document that fails none stays, wherever it
+comes from.
 """
 
 from __future__ import annotations

@@ -178,9 +178,9 @@ def classify(
                 scores.append(1 / (1 + np.exp(-(learned[slots] @ x + learned[-1]))))
             believed = np.array([chances.get(c, prior) for c in cast], float)
             scores = np.array(scores, float)
+            found = [pa.array(cast, pa.string()), *map(pa.array, (believed, scores, believed + scores >= 1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cast, pa.string()), pa.array(believed), pa.array(scores), pa.array(believed + scores >= 1)],
-                names=["doc_id", "votes", "posterior", "score", "kept"],
+                [batch.column(0), *found], names=["doc_id", "votes", "posterior", "score", "kept"]
             )
 
     return rows.mapInArrow(judge, f"doc_id {kind}, votes string, posterior double, score double, kept boolean")
