@@ -1,10 +1,11 @@
 import re
 from collections import Counter
 
+import compare
 from pyspark.sql import functions as F
 
 from tickerloom.llm import host_rules
-from tickerloom.llm.queries import QUERIES
+from tickerloom.llm.queries import ORACLES, QUERIES
 
 
 def plain_measures(text):
@@ -79,3 +80,10 @@ def test_empty_table_and_clashing_names(no_docs, odd_docs):
     assert host_rules.judge(no_docs).count() == 0
     named = odd_docs.withColumnRenamed("fingerprint", "host").withColumn("n_words", F.lit(-1))
     assert host_rules.judge(named).where("n_words >= 0").count() == odd_docs.count()
+
+
+def test_query_matches_sql(spark, sf_dir):
+    columns, _, rows = compare.oracle_rows(compare.connect(sf_dir), ORACLES["op3_host_quality_rules"])
+    frame = QUERIES["op3_host_quality_rules"](spark, sf_dir)
+    mine = compare.canonical(frame.columns, frame.collect())
+    assert compare.differences(mine, compare.canonical(columns, rows)) == []

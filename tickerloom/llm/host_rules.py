@@ -173,3 +173,64 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(key.alias("doc_id"), "text", "source")
     kept = judge(keyed).where("kept").select(F.col("doc_id").alias("_key")).distinct()
     return docs.join(kept, key == kept["_key"], "left_semi")
+
+
+ORACLE_OP3 = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source AS host, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                     lambda w: w <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+windows AS (
+  SELECT row_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS said
+  FROM (SELECT row_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM split WHERE len(ws) > 2)),
+again AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY row_id, said) AS times FROM windows),
+covered AS (
+  SELECT row_id, count(DISTINCT p) AS n
+  FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS p FROM again WHERE times > 1)
+  GROUP BY row_id),
+measured AS (
+  SELECT s.row_id, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+         CAST(len(ls) AS BIGINT) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM split s LEFT JOIN covered c USING (row_id)),
+flagged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         list_filter([
+           CASE WHEN 100 * n_symbols > 6 * word_chars THEN 'symbols' END,
+           CASE WHEN 10 * n_capitals > 3 * word_chars THEN 'capitals' END,
+           CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 'dup_lines' END,
+           CASE WHEN 4 * n_repeat_words > n_words THEN 'repeats' END,
+           CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)
+                THEN 'word_length' END], lambda f: f IS NOT NULL) AS failed
+  FROM measured),
+hosts AS (
+  SELECT host, count(*)::DOUBLE AS n, r.rule,
+         sum(CASE WHEN list_contains(failed, r.rule) THEN 1 ELSE 0 END)::DOUBLE AS f
+  FROM flagged, (SELECT unnest(['symbols', 'capitals', 'dup_lines', 'repeats', 'word_length'])
+                   AS rule) r
+  GROUP BY host, r.rule),
+priors AS (
+  SELECT rule, m, CASE WHEN spread > 0
+                       THEN least(greatest(m * (1 - m) / spread - 1, 2), 1000) ELSE 1000 END AS k
+  FROM (SELECT rule, avg(f / n) AS m,
+               var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS spread
+        FROM hosts GROUP BY rule)),
+verdicts AS (
+  SELECT host, list(rule ORDER BY rule) FILTER ((f + m * k) / (n + k) >= greatest(3 * m, 0.2))
+           AS bad
+  FROM hosts JOIN priors USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (len(failed) > 1 OR coalesce(list_has_any(failed, bad), false)
+         OR 100 * n_symbols > 12 * word_chars OR 10 * n_capitals > 6 * word_chars) AS kept,
+       f.host, n_lines, n_capitals, array_to_string(failed, ',') AS failures,
+       coalesce(array_to_string(bad, ','), '') AS bad_rules
+FROM flagged f LEFT JOIN verdicts v ON f.host IS NOT DISTINCT FROM v.host
+"""

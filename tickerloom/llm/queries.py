@@ -27,4 +27,7 @@ QUERIES = {
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
 }
-ORACLES = {"op1_chat_perspectives": chat.ORACLE_OP1}
+ORACLES = {
+    "op1_chat_perspectives": chat.ORACLE_OP1,
+    "op3_host_quality_rules": host_rules.ORACLE_OP3,
+}
