@@ -20,8 +20,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,9 @@ from tickerloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose pieces a task remembers; texts handled at once.
+#: Words whose pieces a worker remembers; texts handled at once.
 KNOWN_WORDS = 400_000
-STEP = 256
+STEP = 1024
 #: Kinds of pieces in a vocabulary file.
 NORMAL, BYTE = 1, 6
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -48,10 +52,16 @@ class Vocabulary:
         self.pieces = [p.piece for p in model.pieces]
         usable = [(i, p) for i, p in enumerate(model.pieces) if p.type == NORMAL]
         self.scored = {p.piece: (p.score, i) for i, p in usable}
-        self.longest = max(len(p.piece) for _, p in usable)
+        #: What a piece can end with, so that a search backwards knows when to stop.
+        self.endings = dict.fromkeys(p.piece[k:] for _, p in usable for k in range(len(p.piece)))
+        self.endings.update(self.scored)
         self.unknown = min(p.score for _, p in usable) - 10
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: Pieces as they stand in a text, in UTF-8.
+        whole = [p.piece.replace(MARK, " ").encode("utf-8") for p in model.pieces]
+        single = [bytes([self.byte_of[i]]) if i in self.byte_of else w for i, w in enumerate(whole)]
+        self.shown = pa.array(single, pa.binary())
 
 
 class Encoder:
@@ -63,7 +73,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> int:
         """Segment words; the number of characters whose forward scores were worked out."""
-        scored, longest, unknown = self.vocabulary.scored, self.vocabulary.longest, self.vocabulary.unknown
+        look, unknown, nothing = self.vocabulary.endings.get, self.vocabulary.unknown, (0.0, -2)
         best, back = [0.0], [(0, -1)]
         before, steps = "", 0
         for word in sorted(words):
@@ -74,14 +84,22 @@ class Encoder:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, at, piece = best[end - 1] + unknown, end - 1, -1
-                if (found := scored.get(word[end - 1 : end])) is not None:
-                    top, piece = best[end - 1] + found[0], found[1]
-                # from short to long: of equal sums the longest last piece stays
-                for begin in range(end - 2, max(0, end - longest) - 1, -1):
-                    found = scored.get(word[begin:end])
-                    if found is not None and best[begin] + found[0] >= top:
-                        top, at, piece = best[begin] + found[0], begin, found[1]
+                found = look(word[end - 1], nothing)
+                if found is None or found is nothing:
+                    top, at, piece = best[end - 1] + unknown, end - 1, -1
+                else:
+                    top, at, piece = best[end - 1] + found[0], end - 1, found[1]
+                if found is not nothing:
+                    # from short to long: of equal sums the longest last piece stays
+                    for begin in range(end - 2, -1, -1):
+                        found = look(word[begin:end], nothing)
+                        if found is None:
+                            continue
+                        if found is nothing:
+                            break
+                        score = best[begin] + found[0]
+                        if score >= top:
+                            top, at, piece = score, begin, found[1]
                 best.append(top)
                 back.append((at, piece))
             steps += len(word) - shared
@@ -108,18 +126,23 @@ class Encoder:
             self.known.clear()
         self.learn(distinct - self.known.keys())
         known = self.known
-        return [[i for w in found for i in known[w]] for found in marked]
+        return [list(chain.from_iterable(map(known.__getitem__, found))) for found in marked]
 
 
-def decoded(ids: list[int], vocabulary: Vocabulary) -> str:
-    """The text of a sequence of pieces; bytes that are no UTF-8 become U+FFFD."""
-    pieces, byte_of = vocabulary.pieces, vocabulary.byte_of
-    if byte_of.keys().isdisjoint(ids):
-        whole = "".join([pieces[i] for i in ids])
-    else:
-        parts = [bytes([byte_of[i]]) if i in byte_of else pieces[i].encode("utf-8") for i in ids]
-        whole = b"".join(parts).decode("utf-8", "replace")
-    return whole.replace(MARK, " ").removeprefix(" ")
+def decoded(lists: pa.ListArray, vocabulary: Vocabulary) -> list[str | None]:
+    """The texts of sequences of pieces; bytes that are no UTF-8 become U+FFFD."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    bounds = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    parts = pa.ListArray.from_arrays(bounds, vocabulary.shown.take(lists.flatten()))
+    whole = pc.binary_join(parts, pa.scalar(b"")).to_pylist()
+    texts = [w.decode("utf-8", "replace").removeprefix(" ") for w in whole]
+    return [t if v else None for t, v in zip(texts, lists.is_valid().to_pylist(), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _encoder(data: bytes) -> Encoder:
+    """One for all tasks of a worker, with the words it knows."""
+    return Encoder(Vocabulary(data))
 
 
 def _vocabulary_bytes(path: str) -> bytes:
@@ -136,7 +159,7 @@ def encode(docs: DataFrame, keep: list[str], text_column: str = "text", model: s
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(shared.value))
+        encoder = _encoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
@@ -154,12 +177,11 @@ def decode(rows: DataFrame, keep: list[str], ids_column: str = "ids", model: str
     shared = rows.sparkSession.sparkContext.broadcast(_vocabulary_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = _encoder(shared.value).vocabulary
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                lists = part.column(part.num_columns - 1).to_pylist()
-                texts = [None if ids is None else decoded(ids, vocabulary) for ids in lists]
+                texts = decoded(part.column(part.num_columns - 1), vocabulary)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"]
                 )
