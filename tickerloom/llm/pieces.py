@@ -34,8 +34,8 @@ from tickerloom.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose pieces a worker remembers; texts handled at once.
-KNOWN_WORDS = 400_000
-STEP = 1024
+KNOWN_WORDS = 300_000
+STEP = 512
 #: Kinds of pieces in a vocabulary file.
 NORMAL, BYTE = 1, 6
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
