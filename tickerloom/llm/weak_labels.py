@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from tickerloom.llm.common import table
 
 GOOD, BAD, NONE = "g", "b", "-"
 SYMBOLS = "#*$%&|<>"
+SYMBOL_SET = frozenset(SYMBOLS)
+#: For each bit of a word's kind, the kinds that have it.
+KIND_BITS = [[k for k in range(16) if k >> b & 1] for b in range(4)]
 #: Rounds of expectation-maximisation, where accuracies begin, and their bounds: labellers are
 #: taken to be better than chance, which settles which class is the good one.
 EM_ROUNDS, START, ACCURACY = 50, 0.8, (0.6, 0.99)
@@ -43,6 +47,20 @@ def _clean(word: str) -> bool:
     return bare.isalpha() and not (bare.isupper() and len(bare) > 1)
 
 
+class _Kinds(dict):
+    """What is to be known of a word, in bits: clean, with a symbol, capitals, ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        symbol = not SYMBOL_SET.isdisjoint(word)
+        self[word] = kind = _clean(word) + 2 * symbol + 4 * word.isupper() + 8 * (word[-1] in ".?!")
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def votes(text: str) -> str:
     """One letter for each labeller."""
     found = text.split()
@@ -51,14 +69,15 @@ def votes(text: str) -> str:
         return BAD * LABELLERS
     chars = sum(map(len, found))
     times = Counter(found)
-    clean = sum(k for w, k in times.items() if _clean(w)) / n
-    ends = sum(k for w, k in times.items() if w[-1] in ".?!") / n
-    again = sum(a == b for a, b in zip(found, found[1:], strict=False))
+    kinds = np.bincount(np.fromiter(map(_KINDS.__getitem__, found), np.int64, n), minlength=16)
+    clean, with_symbol, capital, ends = (int(kinds[bits].sum()) for bits in KIND_BITS)
+    clean, ends = clean / n, ends / n
+    again = sum(map(eq, found, found[1:]))
     plain = clean >= 0.9 and again < 0.1 * n
     bad = [
         sum(map(text.count, SYMBOLS)) >= 0.05 * chars,
-        sum(k for w, k in times.items() if any(c in w for c in SYMBOLS)) >= 0.2 * n,
-        sum(k for w, k in times.items() if w.isupper()) >= 0.4 * n,
+        with_symbol >= 0.2 * n,
+        capital >= 0.4 * n,
         text.count("!") >= 0.2 * n,
         n >= 30 and len(times) <= 0.15 * n,
         n >= 30 and max(times.values()) >= 0.2 * n,
@@ -89,20 +108,42 @@ def fit_labellers(patterns: dict[str, int]) -> tuple[dict[str, float], np.ndarra
     return dict(zip(names, good.tolist(), strict=True)), accuracy, prior
 
 
-def _shape(word: str) -> str:
-    """Capitals as A, other letters as a, digits as 0, the rest as it is; runs shortened."""
-    coded = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return re.sub(r"(.)\1+", r"\1\1", coded)[:12]
+class _Classes(dict):
+    """For str.translate: capitals as A, other letters as a, digits as 0, the rest as it is."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return self[code]
+
+
+_CLASSES = _Classes()
+
+
+def _shape(classes: str) -> str:
+    """The classes of a word's characters with runs shortened."""
+    return re.sub(r"(.)\1+", r"\1\1", classes)[:12]
+
+
+def _slot(text: str) -> int:
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "replace")) % SLOTS
 
 
 class _Slots(dict):
-    """The two slots of a word; forgets all when full."""
+    """The two slots of a word; forgets all when full. Shapes are few and worked out once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.shapes: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        slot = lambda s: xxhash.xxh32_intdigest(s.encode("utf-8", "replace")) % SLOTS
-        self[word] = both = slot("w" + word.lower()) * SLOTS + slot("s" + _shape(word))
+            self.shapes.clear()
+        classes = word.translate(_CLASSES)
+        if (shape := self.shapes.get(classes)) is None:
+            self.shapes[classes] = shape = _slot("s" + _shape(classes))
+        self[word] = both = _slot("w" + word.lower()) * SLOTS + shape
         return both
 
 
