@@ -40,7 +40,9 @@ START, UNKNOWN = (1 << 31) - 1, (1 << 31) - 2
 #: What a task holds before it adds up and hands on.
 HELD_TOKENS = 2_000_000
 #: Characters of training text for a shard, and bounds of the number of shards.
-SHARD_CHARS, SHARDS = 8_000_000, (8, 1 << 14)
+SHARD_CHARS, SHARDS = 8_000_000, (8, 1 << 17)
+#: Arrays that a worker keeps mapped at once.
+MAPPED = 8192
 #: What a context's array files have: all that follows, and what follows once, twice, more often.
 SUMS = ("total", "once", "twice", "more")
 MASK = (1 << 32) - 1
@@ -95,7 +97,8 @@ def _rows(*columns: np.ndarray | list, names: list[str]) -> pa.RecordBatch:
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each shard in a task, once all have come; the first column is the shard.
 
-    The number of shards follows the corpus, so a task holds a few million rows at most."""
+    Shards are dealt by their number, one a task, and their number follows the corpus, so a task
+    holds a few million rows at most."""
     parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if parts:
         whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -163,6 +166,8 @@ class Mapped:
     def array(self, name: str, shard: int) -> np.ndarray:
         key = f"{name}-{shard}"
         if key not in self.opened:
+            if len(self.opened) >= MAPPED:
+                self.opened.clear()
             self.opened[key] = map_array(self.model.folder, key)
         return self.opened[key]
 
@@ -249,7 +254,7 @@ def _count_tokens(texts: DataFrame, model: Model) -> None:
             yield _rows([shard], [len(keys)], [times.sum()], names=["shard", "size", "n"])
 
     dealt = texts.mapInArrow(count, "shard int, hash bigint, n bigint")
-    written = dealt.repartition(model.shards, "shard").mapInArrow(write, "shard bigint, size bigint, n bigint")
+    written = dealt.repartitionById(model.shards, F.col("shard")).mapInArrow(write, "shard bigint, size bigint, n bigint")
     found = {r.shard: r for r in written.collect()}  # one row a shard
     sizes = [found[s].size if s in found else 0 for s in range(model.shards)]
     model.offsets = [0, *np.cumsum(sizes).tolist()]
@@ -319,7 +324,7 @@ def _count_bigrams(texts: DataFrame, model: Model) -> DataFrame:
     )
     dealt = texts.mapInArrow(count, "shard int, key bigint, n int").union(none)
     schema = "kind int, home int, id bigint, total bigint, once bigint, twice bigint, more bigint"
-    return dealt.repartition(model.shards, "shard").mapInArrow(write, schema)
+    return dealt.repartitionById(model.shards, F.col("shard")).mapInArrow(write, schema)
 
 
 def _finish(sums: DataFrame, model: Model) -> None:
@@ -339,7 +344,7 @@ def _finish(sums: DataFrame, model: Model) -> None:
     model.hot |= {r.id: tuple(r[c] for c in SUMS) for r in rows if r.kind == 0}
     seen = {r.id: r.total for r in rows if r.kind == 2}
     model.bigram_discounts = _discounts([seen.get(k, 0) for k in (1, 2, 3, 4)])
-    dealt = sums.where("kind = 1").select("home", "id", "total").repartition(model.shards, "home")
+    dealt = sums.where("kind = 1").select("home", "id", "total").repartitionById(model.shards, F.col("home"))
     schema = "total bigint, a bigint, b bigint, c bigint, d bigint, e bigint"
     lefts = dealt.mapInArrow(write, schema).collect()  # one row a shard
     total, a, b, c, d, e = (sum(r[i] for r in lefts) for i in range(6))
