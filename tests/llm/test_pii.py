@@ -96,3 +96,35 @@ def test_stage_masks_and_keeps_columns(spark, both):
 
 def test_empty_table(no_docs):
     assert pii.with_spans(no_docs).count() == 0
+
+
+def test_one_context_word_serves_a_list(spark):
+    numbers = [f"{i}-45-6789" for i in (123, 234, 345, 456)]
+    texts = [
+        "SSN: " + ", ".join(numbers),
+        ", ".join(numbers) + " ssn",
+        "token: " + "0f" * 16 + " " + "1e" * 16,
+        "ssn " + "." * 36 + "123-45-6789",
+        "ssn " + "." * 37 + "123-45-6789",
+        "\U0001f600ssn 123-45-6789,\U0001f600234-56-7890" + "." * 60 + "345-67-8901",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in pii.with_spans(rows).collect()}
+    for i, text in enumerate(texts):
+        expected = []
+        for kind in pii.ADDED[1:]:
+            for m in re.finditer(kind.pattern, text):
+                around = text[max(0, m.start() - 40) : m.start()] + "\n" + text[m.end() : m.end() + 40]
+                if re.search(rf"(?i)\b(?:{'|'.join(kind.words)})", around):
+                    expected.append(m.span())
+        assert found[i] == expected
+    assert [len(found[i]) for i in range(6)] == [3, 3, 2, 1, 0, 2]
+
+
+def test_context_reaches_over_short_matches(spark):
+    # card numbers, and the short numbers before them, are matches of one pattern
+    card = "4111111111111111"
+    texts = ["visa" + "".join(f",{i}" for i in range(10, 21)) + "," + card, "visa" + ",1" * 19 + "," + card, card + ",12" * 9 + " visa"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = pii.with_spans(rows).orderBy("doc_id").collect()
+    assert [[s.score for s in r.spans] for r in found] == [[1.0], [0.7], [1.0]]

@@ -3,13 +3,14 @@
 Each kind has a pattern, an optional validator and context words. Matches are leftmost and do
 not overlap within a kind; one that its validator refuses is dropped and the search goes on after
 it. A confirmed match starts with its kind's score and gains for a context word among the
-``CONTEXT`` characters on either side, up to the neighbouring matches of the pattern; spans from
-``THRESHOLD`` on are reported.
+``CONTEXT`` characters on either side, other matches among them; spans from ``THRESHOLD`` on are
+reported.
 
 All of it are array functions of the JVM. The places of matches come from the text between them:
 the start of a match is the length of all pieces and matches before it. Sums over the matches of
 a text are taken in blocks, so a text with very many matches costs a small multiple of their
-number.
+number. The characters around a match are joined from as many neighbouring matches, and the pieces
+between them, as ``CONTEXT`` characters can hold.
 
 The patterns are written so that no text makes them slow. Where a match cannot begin inside a run
 of its first characters, a look-behind keeps it from trying, and possessive quantifiers stand
@@ -34,11 +35,13 @@ BLOCK = 64
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. ``within`` is a cheap test of whole texts that cannot match."""
+    """A kind of personal data. ``within`` is a cheap test of whole texts that cannot match, and
+    no match is shorter than ``least``."""
 
     name: str
     pattern: str
     within: str
+    least: int
     score: float
     words: list[str] = field(default_factory=list)
 
@@ -51,12 +54,13 @@ BASE = [
         # after a match, \G lets the next begin right behind it
         rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         "@",
+        5,
         0.9,
         ["mail", "contact"],
     ),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, ["ip", "host"]),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 0.7, ["card", "visa", "credit"]),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, ["phone", "call", "tel"]),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 7, 0.6, ["ip", "host"]),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 2, 0.7, ["card", "visa", "credit"]),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 4, 0.6, ["phone", "call", "tel"]),
 ]
 #: Further kinds. Those below the threshold need a context word.
 ADDED = [
@@ -64,6 +68,7 @@ ADDED = [
         "iban",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         "[A-Z]{2}[0-9]{2}",
+        12,
         0.7,
         ["iban", "account", "bank"],
     ),
@@ -71,6 +76,7 @@ ADDED = [
         "ssn",
         r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
         "[0-9]-[0-9]",
+        11,
         0.4,
         ["ssn", "social security"],
     ),
@@ -78,6 +84,7 @@ ADDED = [
         "secret",
         r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
         "[0-9a-f]{32}",
+        32,
         0.4,
         ["token", "key", "secret", "password"],
     ),
@@ -133,7 +140,8 @@ def _total(lengths: Column) -> Column:
 
 
 def _with_matches(rows: DataFrame, kind: Kind) -> DataFrame:
-    """``rows(_text, ...)`` with ``_<kind>``: an array of (start, value) of the pattern's matches."""
+    """``rows(_text, ...)`` with ``_<kind>``: an array of (start, value, around) of the pattern's
+    matches that are confirmed."""
     within = F.col("_text").rlike(kind.within)
     pattern = F.lit(kind.pattern)
     found = F.regexp_extract_all("_text", pattern, 0)
@@ -154,23 +162,43 @@ def _with_matches(rows: DataFrame, kind: Kind) -> DataFrame:
         + _total(F.slice("_steps", F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
         + F.get("_before", i)
     )
-    placed = F.transform(
-        "_m",
-        lambda m, i: F.struct(
-            start(i).alias("start"),
-            m.alias("value"),
+    placed = F.transform("_m", lambda m, i: F.struct(start(i).alias("start"), m.alias("value"), i.alias("i")))
+    rows = rows.withColumn("_placed", F.filter(placed, lambda m: confirmed(kind.name, m["value"])))
+    # a piece and the match after it, a match and the piece after it; a cut one fills the context
+    ends = F.transform("_m", lambda m, i: F.right(F.concat(F.get("_b", i), m), F.lit(CONTEXT)))
+    begins = F.transform("_m", lambda m, i: F.left(F.concat(m, F.get("_b", i + 1)), F.lit(CONTEXT)))
+    some = F.size("_placed") > 0
+    rows = rows.withColumns(
+        {"_ends": F.when(some, ends).otherwise(nothing), "_begins": F.when(some, begins).otherwise(nothing)}
+    )
+    near = -(-CONTEXT // kind.least)
+    around = lambda i: F.concat(
+        F.right(
             F.concat(
+                F.array_join(F.slice("_ends", F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), ""),
                 F.right(F.get("_b", i), F.lit(CONTEXT)),
-                F.lit("\n"),
+            ),
+            F.lit(CONTEXT),
+        ),
+        F.lit("\n"),
+        F.left(
+            F.concat(
                 F.left(F.get("_b", i + 1), F.lit(CONTEXT)),
-            ).alias("around"),
+                F.array_join(F.slice("_begins", i + 2, F.lit(near)), ""),
+            ),
+            F.lit(CONTEXT),
         ),
     )
-    return rows.withColumn(f"_{kind.name}", placed).drop("_m", "_b", "_before", "_steps", "_blocks")
+    found = F.transform(
+        "_placed", lambda m: F.struct(m["start"], m["value"], around(m["i"]).alias("around"))
+    )
+    return rows.withColumn(f"_{kind.name}", found).drop(
+        "_m", "_b", "_before", "_steps", "_blocks", "_placed", "_ends", "_begins"
+    )
 
 
 def _scored(kind: Kind) -> Column:
-    """Confirmed matches of a kind as (kind, start, end, value, score) in the order of the text."""
+    """The matches of a kind as (kind, start, end, value, score) in the order of the text."""
     near = rf"(?i)\b(?:{'|'.join(kind.words)})"
 
     def span(m: Column) -> Column:
@@ -184,8 +212,7 @@ def _scored(kind: Kind) -> Column:
             F.least(F.lit(1.0), kind.score + gain).alias("score"),
         )
 
-    confirmed_matches = F.filter(f"_{kind.name}", lambda m: confirmed(kind.name, m["value"]))
-    return F.transform(confirmed_matches, span)
+    return F.transform(f"_{kind.name}", span)
 
 
 def with_spans(docs: DataFrame, text_column: str = "text", into: str = "spans") -> DataFrame:
