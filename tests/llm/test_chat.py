@@ -51,3 +51,28 @@ def test_query_matches_sql(spark, sf_dir):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.perspectives(frame).count() == 0
+
+
+def test_segments_count_turns_and_carry_instructions(spark):
+    # one turn number, none at all, and a whole conversation without a number
+    rows = [(7, t, "system" if t == 0 else "ab"[t % 2], f"t{t:03d}") for t in range(150)]
+    rows += [(8, None, "ab"[i % 2], f"{i:03d}") for i in range(200)]
+    rows += [(None, i % 3, "a", f"{i:03d}") for i in range(200)]
+    rows += [(9, i, "system", f"s{i:03d}") for i in range(100)] + [(9, 200, "a", "end")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = {}
+    for r in chat.perspectives(frame).collect():
+        found[r.conv_id, r.speaker, r.segment] = r
+    assert {s for c, _, s in found if c == 7} == {0, 1, 2}
+    for s in (0, 1, 2):
+        text = found[7, "a", s].text
+        assert text.startswith("<|system|>\nt000\n<|end|>\n<|") and text.count("<|system|>") == 1
+    assert [found[7, "a", s].n_turns for s in range(3)] == [64, 65, 23]
+    for conv in (8, None):
+        assert [found[conv, "a", s].n_turns for s in range(4)] == [64, 64, 64, 8]
+    # instructions given before are bounded, those of the segment itself are all there
+    assert [found[9, "a", s].n_turns for s in range(2)] == [64, 37 + chat.SETTINGS]
+    assert found[9, "a", 1].text.startswith("<|system|>\ns000\n")
+    for r in found.values():
+        for start, end in (map(int, m.split(":")) for m in r.mask.split(",") if m):
+            assert r.text[:start].endswith("<|assistant|>\n") and r.text[end:].startswith("\n<|end|>")

@@ -6,7 +6,10 @@ learns. Instructions of the roles in ``SETTING`` set the scene: they stay what t
 view and are no participants.
 
 A dialogue is cut into segments of ``SEGMENT`` turns, each a training text of its own, so that
-a dialogue of any length is spread over many groups. Segments are assembled once and then turned
+a dialogue of any length is spread over many groups. Turns are counted, not taken at their
+numbers: a range-partitioned sort gives every turn its place, as one count for each partition is
+added to the places inside it, so that no task sees all turns of a dialogue. A segment opens with
+the first ``SETTINGS`` instructions given before it. Segments are assembled once and then turned
 for each participant, and nothing is shuffled again for that.
 """
 
@@ -15,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import table
+from tickerloom.llm.common import stored, table
 
 SEGMENT = 64
+#: Instructions of the dialogue that a later segment repeats.
+SETTINGS = 16
 SETTING = ["system"]
 ASSISTANT = "assistant"
 OPEN, CLOSE = "<|", "|>\n"
@@ -34,6 +39,29 @@ def _header(speaker: Column, view: Column) -> Column:
     return F.concat(F.lit(OPEN), name, F.lit(CLOSE))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Distinct ``rows(conv_id, turn, speaker, said)`` with their ``place`` in the conversation.
+
+    The sort is written, so that partitions stay as they are; what is kept of them is a row for
+    each partition and one for each conversation.
+    """
+    order = ["conv_id", "turn", "speaker", "said"]
+    spread = rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = spread.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    spread = stored(spread.withColumn("_id", F.col("_id").bitwiseAND((1 << 33) - 1)), "turns")
+    counts = sorted(spread.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    offsets, before = [], 0
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    # one row a partition
+    known = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part int, _before bigint"))
+    sorted_ = spread.join(known, "_part").withColumn("_at", F.col("_before") + F.col("_id"))
+    first = sorted_.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("_at").alias("_first"))
+    joined = sorted_.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    return joined.select(*order, (F.col("_at") - F.col("_first")).alias("place"))
+
+
 def perspectives(
     turns: DataFrame,
     conv_column: str = "conv_id",
@@ -44,8 +72,8 @@ def perspectives(
     """``(conv_id, speaker, segment, n_turns, text, mask)`` for each participant and segment.
 
     ``mask`` has ``start:end`` of the speaker's own words, comma-joined, in code points of
-    ``text``, the end exclusive; it is empty where the speaker has no turn. Equal rows are one
-    turn; different rows of one turn number follow in the order of speaker and text. A NULL or
+    ``text``, the end exclusive; it is empty where the speaker has no turn. ``n_turns`` counts
+    all turns of the text, repeated instructions included. Equal rows are one turn; different rows of one turn number follow in the order of speaker and text. A NULL or
     empty speaker is ``unknown``, a NULL text empty; rows with a NULL conversation are one
     conversation, and a NULL turn number comes before all others. Other columns are not read.
     """
@@ -56,9 +84,24 @@ def perspectives(
         role.alias("speaker"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("said"),
     )
-    segment = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / SEGMENT).alias("segment")
-    ordered = F.sort_array(F.collect_set(F.struct("turn", "speaker", "said")))
-    segments = rows.groupBy("conv_id", segment).agg(ordered.alias("turns"))
+    turn = F.struct("turn", "speaker", "said")
+    placed = stored(_placed(rows), "places").withColumn("segment", F.floor(F.col("place") / SEGMENT))
+    segments = placed.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # at most SETTINGS a conversation, since instructions are counted like turns
+    given = placed.where(F.col("speaker").isin(SETTING)).select("conv_id", "turn", "speaker", "said", "segment")
+    counted = _placed(given.drop("segment")).where(F.col("place") < SETTINGS).drop("place")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("conv_id", "turn", "speaker", "said")]
+    chosen = given.alias("g").join(counted.alias("c"), same, "left_semi")
+    settings = chosen.groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "speaker", "said", "segment"))).alias("settings")
+    )
+    earlier = F.transform(
+        F.filter(F.coalesce("settings", F.array()), lambda g: g["segment"] < F.col("segment")),
+        lambda g: F.struct(g["turn"], g["speaker"], g["said"]),
+    )
+    segments = segments.join(settings, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", "segment", F.concat(earlier, "turns").alias("turns")
+    )
     voices = rows.where(~F.col("speaker").isin(SETTING)).select("conv_id", F.col("speaker").alias("view"))
     voices = voices.distinct().withColumnRenamed("conv_id", "conv")
     seen = segments.join(voices, F.col("conv_id").eqNullSafe(F.col("conv")))
