@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -56,3 +57,29 @@ def test_stage(spark, both):
     out = language.language_stage(spark, both, "")
     assert out.columns == both.columns
     assert {r.doc_id for r in out.collect()}.isdisjoint({900001, 900002, 900003})
+
+
+UNSEEN = [
+    "La mattina presto il mercato della piazza si riempie di persone che cercano frutta fresca, verdura e "
+    "pane appena sfornato. I venditori gridano i prezzi mentre i bambini corrono tra le bancarelle. ",
+    "Varhain aamulla torilla on paljon ihmisiä, jotka etsivät tuoreita hedelmiä, vihanneksia ja leipää. "
+    "Myyjät huutavat hintoja, lapset juoksevat kojujen välissä ja vanhukset keskustelevat säästä. ",
+    "Sabahın erken saatlerinde pazar yeri taze meyve, sebze ve yeni pişmiş ekmek arayan insanlarla dolar. "
+    "Satıcılar fiyatları bağırırken çocuklar tezgahların arasında koşar. ",
+    "Wczesnym rankiem rynek wypełnia się ludźmi, którzy szukają świeżych owoców, warzyw i chleba. "
+    "Sprzedawcy wykrzykują ceny, dzieci biegają między straganami, a starsi rozmawiają o pogodzie. ",
+    "Sáng sớm, khu chợ đầy những người đi tìm trái cây tươi, rau và bánh mì vừa mới nướng. "
+    "Người bán hàng rao giá, trẻ em chạy giữa các gian hàng và những người già nói chuyện. ",
+]
+
+
+def test_unseen_languages_and_gibberish_go_and_clean_texts_stay(spark, docs):
+    rng = random.Random(5)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"]
+    noise = [" ".join("".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(1000)) for a in letters]
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language.fit(docs.where(~held))
+    rows = spark.createDataFrame([(i, 3 * t) for i, t in enumerate(UNSEEN)] + list(enumerate(noise, 10)), "doc_id int, text string")
+    found = language.predict(rows, model, ["doc_id"]).collect()
+    assert [r.doc_id for r in found if not r.rejected] == []
+    assert language.predict(docs.where(held), model, ["doc_id"]).where("rejected").count() == 0

@@ -7,8 +7,9 @@ takes the language of the centroid with the greatest cosine.
 
 Document frequencies are counted over all labelled texts. Clusters are fitted on at most about
 ``FIT_ROWS`` labelled texts of a language, chosen by a hash of the text alone; the share kept is
-the bound over that language's count. The spread of cosines in a language's sample sets the
-distance from which a text is rejected as none of the known languages.
+the bound over that language's count. Half of a language's sample is held against clusters of the
+other half; the low cosines of these held-out texts, of all languages and by the length of the
+text, set the distance from which a text is rejected as none of the known languages.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import crc_fold, table
 
 UNDETERMINED = "und"
-SLOTS = 4096
+SLOTS = 16384
 CENTROIDS = 4
 ROUNDS = 8
 FIT_ROWS = 2000
-#: A text is rejected below this share of its language's low cosine (the 1st percentile).
-REJECT = 0.3
+#: A text is rejected below this share of the low cosine (the 1st percentile) of its length.
+REJECT = 0.5
+#: Bounds of lengths, in n-grams; a letter makes a little over three.
+BANDS = (100, 350, 700, 1400, 2800, 5600, 22400)
 #: Texts that are held as vectors at once, and characters that are hashed at once.
 STEP = 128
 CHARS = 1 << 20
@@ -69,21 +72,23 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """Unit vectors of some texts; zero for one without letters."""
+def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of some texts, zero for one without letters, and their bands of length."""
     found = np.zeros((len(texts), SLOTS), np.float32)
     for row, text in zip(found, texts, strict=True):
         row[:] = counts(text)
+    bands = np.searchsorted(BANDS, found.sum(axis=1, dtype=np.float64), side="right")
     seen = found > 0
     found[seen] = 1 + np.log(found[seen])
     found *= idf
     length = np.linalg.norm(found, axis=1, keepdims=True)
-    return found / np.where(length > 0, length, 1)
+    found /= np.where(length > 0, length, 1)
+    return found, bands
 
 
 @dataclass(frozen=True)
 class Model:
-    """Centroids with their languages, the least cosine of each, and the idf of every slot."""
+    """Centroids with their languages, the least cosine of each band, and the idf of every slot."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -107,6 +112,31 @@ def _clusters(points: np.ndarray, wanted: int) -> np.ndarray:
     return fitted
 
 
+def _held_out(points: np.ndarray) -> np.ndarray:
+    """The cosine of every point with the nearest cluster of the half it is not in."""
+    low = np.zeros(len(points))
+    if len(points) < 2:
+        return low + 1
+    for half in (0, 1):
+        low[half::2] = (points[half::2] @ _clusters(points[1 - half :: 2], CENTROIDS).T).max(axis=1)
+    return low
+
+
+def _floors(bands: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine of each band: never above that of a longer one, and that of the next
+    shorter one where no text was held out."""
+    floors = np.full(len(BANDS) + 1, np.nan)
+    for band in np.unique(bands):
+        floors[band] = REJECT * np.quantile(cosines[bands == band], 0.01)
+    known = np.flatnonzero(~np.isnan(floors))
+    if not len(known):
+        return np.zeros(len(floors))
+    for band in range(len(floors)):
+        if np.isnan(floors[band]):
+            floors[band] = floors[band - 1] if band > known[0] else floors[known[0]]
+    return np.minimum.accumulate(floors[::-1])[::-1]
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model of ``labelled(text, lang)``; rows without either teach nothing.
 
@@ -136,7 +166,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     sizes = {r.lang: r.n for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros((0, SLOTS), np.float32), np.zeros(0), idf)
+        return Model([], np.zeros((0, SLOTS), np.float32), np.zeros(len(BANDS) + 1), idf)
     # places of the hash range that a language keeps; all of it where it has few rows
     share = F.coalesce(
         *(F.when(F.col("lang") == k, F.lit(min(1.0, fit_rows / n))) for k, n in sizes.items())
@@ -146,25 +176,41 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     def cluster(key: tuple, found: pa.Table) -> pa.Table:
         # equal texts share a hash, so copies count once
         texts = sorted(set(found.column("text").to_pylist()))
-        points = vectors(texts, idf)
-        points = points[points.any(axis=1)]
+        points, bands = vectors(texts, idf)
+        some = points.any(axis=1)
+        points, bands = points[some], bands[some]
         if not len(points):
-            return pa.table({"lang": [], "centroid": [], "low": []}, schema=out)
+            return pa.table({c: [] for c in out.names}, schema=out)
         centres = _clusters(points, CENTROIDS)
-        low = float(np.quantile((points @ centres.T).max(axis=1), 0.01))
+        # held-out cosines stand in the first row of a language only
+        rest = [[]] * (len(centres) - 1)
         return pa.table(
-            {"lang": [key[0].as_py()] * len(centres), "centroid": centres.tolist(), "low": [low] * len(centres)},
+            {
+                "lang": [key[0].as_py()] * len(centres),
+                "centroid": centres.tolist(),
+                "bands": [bands.tolist(), *rest],
+                "cosines": [_held_out(points).tolist(), *rest],
+            },
             schema=out,
         )
 
-    out = pa.schema([("lang", pa.string()), ("centroid", pa.list_(pa.float32())), ("low", pa.float64())])
+    out = pa.schema(
+        [
+            ("lang", pa.string()),
+            ("centroid", pa.list_(pa.float32())),
+            ("bands", pa.list_(pa.int32())),
+            ("cosines", pa.list_(pa.float64())),
+        ]
+    )
     sample = taught.where(chosen).distinct()
-    fitted = sample.groupBy("lang").applyInArrow(cluster, "lang string, centroid array<float>, low double")
+    fitted = sample.groupBy("lang").applyInArrow(cluster, "lang string, centroid array<float>, bands array<int>, cosines array<double>")
     found = sorted(fitted.collect(), key=lambda r: (r.lang, r.centroid))
     return Model(
         [r.lang for r in found],
         np.array([r.centroid for r in found], np.float32).reshape(-1, SLOTS),
-        np.array([REJECT * r.low for r in found]),
+        _floors(
+            np.array([x for r in found for x in r.bands], int), np.array([x for r in found for x in r.cosines])
+        ),
         idf,
     )
 
@@ -183,14 +229,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_column: str = "
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                points = vectors(texts, known.idf)
+                points, bands = vectors(texts, known.idf)
                 blank = ~points.any(axis=1)
                 if known.languages:
                     cosines = points @ known.centroids.T
                     best = cosines.argmax(axis=1)
                     score = np.clip(cosines.max(axis=1), 0, 1).astype(np.float64)
                     names = [UNDETERMINED if b else known.languages[k] for b, k in zip(blank, best, strict=True)]
-                    rejected = blank | (score < known.floors[best])
+                    rejected = blank | (score < known.floors[bands])
                 else:
                     names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                     rejected = np.ones(len(texts), bool)
