@@ -71,3 +71,21 @@ def test_duplicates_never_share_a_bin(spark):
 
 def test_empty_table(no_docs):
     assert packing.packed(no_docs).count() == 0
+
+
+def test_edited_copies_never_share_a_bin(spark):
+    rng = random.Random(6)
+    said = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+    rows = [(0, " ".join(said), "s0"), (1, " ".join([*said, "more"]), "s1")]
+    for i in range(2, 12):
+        edited = list(said)
+        edited[rng.randrange(len(said))] = f"new{i}"
+        rows.append((i, " ".join(edited), f"s{i}"))
+    rows += [(i, " ".join(f"x{rng.randint(0, 5000)}" for _ in range(120)), f"s{i}") for i in range(12, 24)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    bins = {}
+    for r in packing.packed(frame, capacity=1000).collect():
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    assert sorted(i for found in bins.values() for i in found) == list(range(24))
+    assert max(sum(i < 12 for i in found) for found in bins.values()) == 1
+    assert len(bins) == 12
