@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tickerloom.llm import (
     chat,
+    count_tree,
     host_rules,
     kneser_ney,
     language,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_centroid_language": language.op8_centroid_language,
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
+    "op12_count_vector_rtree": count_tree.op12_count_vector_rtree,
 }
 ORACLES = {
     "op1_chat_perspectives": chat.ORACLE_OP1,
