@@ -11,6 +11,7 @@ from tickerloom.llm import (
     packing,
     pieces,
     pii,
+    prefix_trie,
     simhash,
     weak_labels,
     weighted_prints,
@@ -28,8 +29,10 @@ QUERIES = {
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
     "op12_count_vector_rtree": count_tree.op12_count_vector_rtree,
+    "op13_time_forward_trie": prefix_trie.op13_time_forward_trie,
 }
 ORACLES = {
     "op1_chat_perspectives": chat.ORACLE_OP1,
     "op3_host_quality_rules": host_rules.ORACLE_OP3,
+    "op13_time_forward_trie": prefix_trie.ORACLE_OP13,
 }
