@@ -9,6 +9,7 @@ from tickerloom.llm import (
     kneser_ney,
     language,
     packing,
+    phrases,
     pieces,
     pii,
     prefix_trie,
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_centroid_language": language.op8_centroid_language,
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_cws_fingerprints": weighted_prints.op10_cws_fingerprints,
+    "op11_prefix_free_phrases": phrases.op11_prefix_free_phrases,
     "op12_count_vector_rtree": count_tree.op12_count_vector_rtree,
     "op13_time_forward_trie": prefix_trie.op13_time_forward_trie,
 }
 ORACLES = {
     "op1_chat_perspectives": chat.ORACLE_OP1,
     "op3_host_quality_rules": host_rules.ORACLE_OP3,
+    "op11_prefix_free_phrases": phrases.ORACLE_OP11,
     "op13_time_forward_trie": prefix_trie.ORACLE_OP13,
 }
