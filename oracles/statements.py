@@ -27,8 +27,10 @@ from oracles.views import (
     UNIVERSE,
     band_rows,
     beta_rows,
+    company_at,
     even,
     evaluation,
+    known_at,
     rsi_rows,
 )
 
@@ -224,6 +226,16 @@ WHERE renewed
        AND coalesce(s.rsi, 0) <> 0)"""
 
 
+def snapshot_at(moment: str) -> str:
+    """The snapshot at a moment, from what had been filed by then."""
+    return f"""
+SELECT * FROM (
+  WITH {SNAPSHOT.replace(AS_OF, moment).replace("FROM orders)", f"FROM orders WHERE o_orderdate <= {moment})")}
+  SELECT *, {moment} AS as_of FROM snap)"""
+
+
+HISTORY = ("1997-03-31", "1998-09-01", "2000-06-30", "2001-11-04")
+
 ORACLES = {
     "bars_scan": f"""
 WITH {BARS}, {UNIVERSE}
@@ -404,6 +416,28 @@ SELECT ticker, time_bucket(INTERVAL '1 day', ts) AS ts,
        arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
        arg_max(price, ts) AS close, count(*) AS n_ticks, 'day' AS freq
 FROM ticks WHERE seq % 7 <> 0 GROUP BY ALL""",
+    "snapshot_as_of": "UNION ALL".join(snapshot_at(f"TIMESTAMP '{day}'") for day in HISTORY),
+    "filing_intervals": f"""
+WITH {FACTS},
+days AS (
+  SELECT * FROM annual
+  QUALIFY row_number() OVER (PARTITION BY cik, taxonomy, concept, unit, "end", filed ORDER BY pos) = 1)
+SELECT cik, taxonomy, concept, unit, "end", pos, filed, form, val, filed AS known_from,
+       lead(filed) OVER (PARTITION BY cik, taxonomy, concept, unit, "end" ORDER BY filed) AS known_to
+FROM days""",
+    "facts_as_of": f"""
+WITH {FACTS},
+days AS (SELECT DISTINCT strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS as_of FROM orders),
+{known_at("known", "days")}
+SELECT as_of, cik, taxonomy, concept, unit, "end", pos, filed, form, val FROM known""",
+    "company_values_as_of": f"""
+WITH {FACTS},
+days AS (
+  SELECT DISTINCT lpad(CAST(o_custkey % 100 AS VARCHAR), 10, '0') AS cik,
+         strftime(make_date(year(o_orderdate), o_custkey % 100 % 12 + 1, 15), '%Y-%m-%d') AS as_of
+  FROM orders),
+{known_at("known", "days", "f.cik = d.cik")}, {company_at("values_then", "known")}
+SELECT as_of, cik, equity, shares, op_income, assets, prior_assets FROM values_then""",
     "snapshot_rejects": f"""
 WITH {SNAPSHOT} SELECT ticker, reason FROM evaluated WHERE reason IS NOT NULL""",
     "run_counts": f"""

@@ -119,6 +119,48 @@ company AS (
          a.curr AS assets, a.prev AS prior_assets
   FROM wide w LEFT JOIN two_assets a USING (cik))"""
 
+
+
+def company_at(name: str, known: str) -> str:
+    """CTE with company values per day ``as_of`` from the CTE ``known`` of facts known then."""
+    return f"""
+{name}_latest AS (
+  SELECT as_of, cik, concept, "end", val
+  FROM (SELECT *, min(unit_rank) OVER (PARTITION BY as_of, cik, concept) AS best FROM {known})
+  WHERE unit_rank = best
+  QUALIFY row_number() OVER (PARTITION BY as_of, cik, concept ORDER BY "end" DESC) = 1),
+{name}_assets AS (
+  SELECT as_of, cik, val, row_number() OVER (PARTITION BY as_of, cik ORDER BY "end" DESC) AS place,
+         count(*) OVER (PARTITION BY as_of, cik) AS n
+  FROM {known} WHERE concept = 'Assets' AND unit = 'USD'),
+{name}_growth AS (
+  SELECT as_of, cik, max(CASE WHEN place = 1 AND n > 1 THEN val END) AS assets,
+         max(CASE WHEN place = 2 THEN val END) AS prior_assets
+  FROM {name}_assets GROUP BY as_of, cik),
+{name}_wide AS (
+  SELECT as_of, cik,
+    max(CASE WHEN concept = 'StockholdersEquity' THEN val END) AS equity1,
+    max(CASE WHEN concept =
+      'StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest'
+      THEN val END) AS equity2,
+    max(CASE WHEN concept = 'CommonStockSharesOutstanding' THEN val END) AS shares1,
+    max(CASE WHEN concept = 'OperatingIncomeLoss' THEN val END) AS income1
+  FROM {name}_latest GROUP BY as_of, cik),
+{name} AS (
+  SELECT w.as_of, w.cik, coalesce(nullif(equity1, 0), equity2) AS equity,
+         nullif(shares1, 0) AS shares, nullif(income1, 0) AS op_income, assets, prior_assets
+  FROM {name}_wide w LEFT JOIN {name}_growth g USING (as_of, cik))"""
+
+
+def known_at(name: str, days: str, on: str = "true") -> str:
+    """CTE with the value of every period known at each ``as_of`` of the CTE ``days``."""
+    return f"""
+{name} AS (
+  SELECT d.as_of, f.* FROM annual f JOIN {days} d ON f.filed <= d.as_of AND {on}
+  QUALIFY row_number() OVER (PARTITION BY d.as_of, f.cik, taxonomy, concept, unit, "end"
+                             ORDER BY filed DESC, pos) = 1)"""
+
+
 CIK_MAP = """
 cik_map AS (
   SELECT 'S' || s_suppkey AS ticker, lpad(CAST(s_suppkey % 100 AS VARCHAR), 10, '0') AS cik

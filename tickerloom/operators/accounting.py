@@ -9,10 +9,12 @@ is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions.moments import naive_utc
 from tickerloom.functions.numeric import null_if_zero, safe_round
 
 # Form types of annual reports, units in order of preference, and the
@@ -52,6 +54,12 @@ def annual_facts(facts: DataFrame, concepts: Sequence[str] | None = None) -> Dat
     return annual
 
 
+def filed_by(facts: DataFrame, as_of: datetime) -> DataFrame:
+    """Values whose filing was in by the day of ``as_of``; those without a date always were."""
+    day = f"{naive_utc(as_of):%Y-%m-%d}"
+    return facts.where(F.col("filed").isNull() | (F.col("filed") <= day))
+
+
 def _filing_order() -> Column:
     """Later filings win; among equal dates the first value of the document."""
     return F.struct(F.coalesce("filed", F.lit("")), -F.col("pos"))
@@ -135,21 +143,22 @@ def _first_nonzero(concepts: Sequence[str]) -> Column:
     return F.coalesce(*[null_if_zero(c) for c in columns[:-1]], columns[-1])
 
 
-def company_values(facts: DataFrame) -> DataFrame:
+def company_values(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
     """Equity, shares, operating income and the two latest assets per company.
 
     One scan; one shuffle of the partially aggregated periods on their full key, then one
     of the few remaining rows by company that serves the window and the final aggregate.
+    ``keys`` with ``as_of`` keeps the facts known at different times apart.
     """
     periods = (
         annual_facts(facts, ACCOUNTING_CONCEPTS)
         .withColumn("unit_rank", unit_rank())
-        .groupBy("cik", "concept", "unit_rank", "end")
+        .groupBy(*keys, "concept", "unit_rank", "end")
         .agg(F.max_by("val", _filing_order()).alias("val"))
     )
-    by_period = Window.partitionBy("cik", "concept", "unit_rank").orderBy("end")
+    by_period = Window.partitionBy(*keys, "concept", "unit_rank").orderBy("end")
     steps = (
-        periods.repartition("cik")
+        periods.repartition(*keys)
         .withColumn("before", F.lag("val").over(by_period))
         .withColumn("n_before", F.lag("end").over(by_period).isNotNull())
     )
@@ -165,9 +174,9 @@ def company_values(facts: DataFrame) -> DataFrame:
         F.when(assets, F.struct("val", "before", "n_before")),
         F.when(assets, F.col("end")),
     )
-    wide = steps.groupBy("cik").agg(*latest, step.alias("step"))
+    wide = steps.groupBy(*keys).agg(*latest, step.alias("step"))
     return wide.select(
-        "cik",
+        *keys,
         _first_nonzero(EQUITY).alias("equity"),
         _first_nonzero(SHARES).alias("shares"),
         _first_nonzero(OPERATING_INCOME).alias("op_income"),

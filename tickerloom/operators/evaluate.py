@@ -90,7 +90,8 @@ def evaluate(
     current price is taken from; without them the daily bars serve. ``market_bars`` are
     where the market ticker's daily bars are, if not in ``bars``. Tickers of the universe
     without bars have a row unless ``complete`` is False, which spares a join where the
-    caller knows what is missing.
+    caller knows what is missing. Neither bars nor filings from after ``as_of`` count, so what
+    comes in later never changes an earlier evaluation.
     """
     scanned = bars
     if universe is not None:
@@ -109,6 +110,7 @@ def evaluate(
         }
         factored = measured.withColumns(nothing)
     else:
+        facts = accounting.filed_by(facts, as_of)
         if universe is not None:
             values = accounting.values_of(universe, facts, cik_map)
             joined = measured.join(values, "ticker", "left")

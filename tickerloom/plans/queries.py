@@ -25,6 +25,7 @@ from tickerloom.operators import (
     accounting,
     daily,
     evaluate as ev,
+    history,
     indicators,
     ordering,
     resample as rs,
@@ -41,6 +42,8 @@ from tickerloom.sources.universes import UniverseStore
 Query = Callable[[SparkSession, str], DataFrame]
 
 RSI_DATE = datetime(2001, 10, 15)
+#: Moments of the snapshots over time.
+HISTORY = [datetime(1997, 3, 31), datetime(1998, 9, 1), datetime(2000, 6, 30), AS_OF]
 SEQ_BASE = 1 << 32
 TOP_K = 25
 
@@ -297,6 +300,22 @@ def concept_fallback(spark, sf_dir):
     return accounting.company_values(views.facts(spark, sf_dir))
 
 
+def filing_intervals(spark, sf_dir):
+    annual = accounting.annual_facts(views.facts(spark, sf_dir))
+    return history.filing_intervals(annual)
+
+
+def facts_as_of(spark, sf_dir):
+    """The filings known at the start of every quarter."""
+    annual = accounting.annual_facts(views.facts(spark, sf_dir))
+    return history.facts_as_of(history.filing_intervals(annual), views.filing_quarters(spark, sf_dir))
+
+
+def company_values_as_of(spark, sf_dir):
+    """Company values on days that each company asks for itself."""
+    return history.company_values_as_of(views.facts(spark, sf_dir), views.company_years(spark, sf_dir))
+
+
 def _factors(spark, sf_dir):
     return accounting.factor_record(
         _betas(spark, sf_dir),
@@ -352,6 +371,11 @@ def snapshot_minute_price(spark, sf_dir):
     return ev.snapshot(evaluated(spark, sf_dir, price_bars=minutes))
 
 
+def snapshot_as_of(spark, sf_dir):
+    """Snapshots at four moments, three of them before the last filings came in."""
+    return history.snapshots_as_of(lambda moment: evaluated(spark, sf_dir, moment), HISTORY)
+
+
 def snapshot_rejects(spark, sf_dir):
     return ev.rejects(evaluated(spark, sf_dir))
 
@@ -551,6 +575,9 @@ QUERIES: dict[str, Query] = {
     "unit_preference": unit_preference,
     "two_annual": two_annual,
     "concept_fallback": concept_fallback,
+    "filing_intervals": filing_intervals,
+    "facts_as_of": facts_as_of,
+    "company_values_as_of": company_values_as_of,
     "ratio_bm": ratio("bm", True),
     "ratio_mcap": ratio("mcap", True),
     "ratio_op": ratio("op", False),
@@ -558,6 +585,7 @@ QUERIES: dict[str, Query] = {
     "factor_record": _factors,
     "snapshot": snapshot,
     "snapshot_minute_price": snapshot_minute_price,
+    "snapshot_as_of": snapshot_as_of,
     "snapshot_rejects": snapshot_rejects,
     "run_counts": run_counts,
     "ticker_lookup": ticker_lookup,

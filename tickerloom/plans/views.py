@@ -157,6 +157,20 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filing_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first day of every quarter in which anything was filed."""
+    day = "date_format(trunc(o_orderdate, 'quarter'), 'yyyy-MM-dd') as as_of"
+    return table(spark, sf_dir, "orders").selectExpr(day).distinct()
+
+
+def company_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every company with a day of its own in each year it filed in."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "lpad(cast(o_custkey % 100 as string), 10, '0') as cik",
+        "date_format(make_date(year(o_orderdate), o_custkey % 100 % 12 + 1, 15), 'yyyy-MM-dd') as as_of",
+    ).distinct()
+
+
 def cik_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers under a hundred companies; those with a negative balance have no CIK."""
     registered = table(spark, sf_dir, "supplier").where("s_acctbal >= 0")
