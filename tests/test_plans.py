@@ -70,10 +70,17 @@ def test_latest_price_pushes_the_window(spark, tables):
     assert len(exchanges(plan)) == 1
 
 
-def test_slices_are_reduced_before_the_hand_over(spark, tables):
+def test_slices_are_cut_to_their_last_bars_before_the_shuffle(spark, tables):
     plan = plan_of(indicators.rsi_series(tables["bars"], slice_every="1 day"), spark)
-    assert "partial_collect_list" in plan
-    assert any("slice" in keys for keys in exchanges(plan))
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
+    assert any("Partial" in line for line in limits) and any("Final" in line for line in limits)
+    partial = next(i for i, line in enumerate(plan.splitlines()) if "WindowGroupLimit" in line and "Partial" in line)
+    final = next(i for i, line in enumerate(plan.splitlines()) if "WindowGroupLimit" in line and "Final" in line)
+    # the partial limit stands below the exchange that the final one reads from
+    assert any("Exchange" in line for line in plan.splitlines()[final:partial])
+    # lists are windows over one row a slice, and none is an aggregate that gathers bars
+    lists = [line for line in plan.splitlines() if "collect_list" in line]
+    assert all("Window [collect_list(_w0" in line for line in lists) and "close#" not in "".join(lists)
 
 
 def test_company_values_scan_facts_once(spark, tables):

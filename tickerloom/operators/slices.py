@@ -20,39 +20,32 @@ LEAD_IN = "lead_in"
 def with_lead_in(bars: DataFrame, rows: int, every: str) -> DataFrame:
     """Bars with their time slice, plus up to ``rows`` earlier bars marked ``lead_in``.
 
-    Each slice is reduced to one row: how many bars it has, and its last ``rows`` bars. The
-    only windows per ticker are over these rows, of which a ticker has as many as its time
-    span has slices, however many bars it has. They tell a slice which later slices are near
-    enough to need some of its bars, and those bars are copied there.
+    Two small tables say what goes where. The counts have one row a slice; the only window over a
+    ticker is over these, and it tells a slice which later slices are near enough to need some of
+    its bars. The tails are the last ``rows`` bars of each slice by a limited row number, which Spark
+    applies in every task before the shuffle, so that a busy slice sends no more than ``rows`` bars
+    from a task and is never gathered. Both meet on the slice, and the bars needed are copied.
     """
     columns = list(bars.columns)
     sliced = bars.withColumn(SLICE, F.window("ts", every)["start"])
-
-    place = [F.col("ts"), *[F.col(name) for name in columns if name != "ts"]]
-    ordered = F.sort_array(F.collect_list(F.struct(*place)))
-    tails = (
-        sliced.groupBy("ticker", SLICE)
-        .agg(F.count("*").alias("n"), ordered.alias("tail"))
-        .withColumn("tail", F.slice("tail", F.greatest(F.col("n") - rows, F.lit(0)).cast("int") + 1, F.lit(rows)))
-    )
+    counts = sliced.groupBy("ticker", SLICE).agg(F.count("*").alias("_n"))
     by_slice = Window.partitionBy("ticker").orderBy(SLICE)
-    so_far = F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.collect_list(F.struct(SLICE, (F.col("so_far") - F.col("n")).alias("before")))
+    so_far = F.sum("_n").over(by_slice.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.collect_list(F.struct(SLICE, (F.col("_so_far") - F.col("_n")).alias("before")))
     near = (
-        tails.withColumn("so_far", so_far)
-        .withColumn("later", later.over(by_slice.rowsBetween(1, rows)))
+        counts.withColumn("_so_far", so_far)
+        .withColumn("_later", later.over(by_slice.rowsBetween(1, rows)))
         # between the end of this slice and a later one lie before - so_far bars
-        .select("tail", "so_far", F.explode("later").alias("target"))
-        .withColumn("gap", F.col("target.before") - F.col("so_far"))
-        .where(F.col("gap") < rows)
-    )
-    needed = F.slice(
-        "tail",
-        F.greatest(F.size("tail") - (rows - F.col("gap")), F.lit(0)).cast("int") + 1,
-        F.lit(rows),
+        .select("ticker", SLICE, "_so_far", F.explode("_later").alias("_target"))
+        .select("ticker", SLICE, "_target", (F.col("_target.before") - F.col("_so_far")).alias("_gap"))
+        .where(F.col("_gap") < rows)
     )
-    handed_over = near.select(F.col(f"target.{SLICE}"), F.explode(needed).alias("bar")).select(
-        *[F.col(f"bar.{name}").alias(name) for name in columns], SLICE
+    latest_first = Window.partitionBy("ticker", SLICE).orderBy(F.col("ts").desc())
+    tails = sliced.withColumn("_back", F.row_number().over(latest_first)).where(F.col("_back") <= rows)
+    handed_over = (
+        tails.join(near, ["ticker", SLICE])
+        .where(F.col("_back") <= rows - F.col("_gap"))
+        .select(*columns, F.col(f"_target.{SLICE}").alias(SLICE))
     )
     return sliced.withColumn(LEAD_IN, F.lit(False)).unionByName(
         handed_over.withColumn(LEAD_IN, F.lit(True))
