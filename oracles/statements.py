@@ -544,3 +544,4 @@ WHERE (reason IS NULL OR reason = 'rsi_zero')
 WITH {OLD_STORE}
 SELECT * FROM stored WHERE ticker NOT IN (SELECT ticker FROM listing)""",
 }
+ORACLES["refresh_incremental"] = ORACLES["universe_refresh"]

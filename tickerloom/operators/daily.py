@@ -148,19 +148,12 @@ def rsi_latest(
     )
 
 
-def market_returns(
-    bars: DataFrame, as_of: datetime, params: ScreenParams = DEFAULTS
-) -> DataFrame:
-    """Returns ``(ts, m_ret)`` of the market ticker's daily bars over the beta lookback.
+def market_days(market: DataFrame, params: ScreenParams = DEFAULTS) -> DataFrame:
+    """The market's bars ``(ticker, close, ts)``, one a day.
 
-    One bar a day bounds the result by the days of the lookback, so it may be broadcast. A
-    day with more bars fails the job, since leaving any of them out would change every beta;
+    A day with more bars fails the job, since leaving any of them out would change every beta;
     ``bar_key_violations`` on the days, or ``intraday_beta``, is for such tables.
     """
-    market = bars.where(
-        (F.col("ticker") == params.market)
-        & in_lookback(F.col("ts"), as_of, params.beta_days)
-    )
     several = F.raise_error(
         F.concat(
             F.lit(f"{params.market} has more than one bar on "),
@@ -168,10 +161,24 @@ def market_returns(
             F.lit("; daily measures need daily bars, intraday_beta takes others"),
         )
     ).cast("double")
-    daily = market.groupBy("ticker", F.to_date("ts").alias("day")).agg(
+    return market.groupBy("ticker", F.to_date("ts").alias("day")).agg(
         F.when(F.count("*") > 1, several).otherwise(F.max("close")).alias("close"),
         F.max("ts").alias("ts"),
     )
+
+
+def market_returns(
+    bars: DataFrame, as_of: datetime, params: ScreenParams = DEFAULTS
+) -> DataFrame:
+    """Returns ``(ts, m_ret)`` of the market ticker's daily bars over the beta lookback.
+
+    One bar a day bounds the result by the days of the lookback, so it may be broadcast.
+    """
+    market = bars.where(
+        (F.col("ticker") == params.market)
+        & in_lookback(F.col("ts"), as_of, params.beta_days)
+    )
+    daily = market_days(market, params)
     return daily.select("ts", beta_return(as_of, params).alias("m_ret")).where(
         F.col("m_ret").isNotNull()
     )

@@ -68,7 +68,6 @@ def _measures(
             *rsi_aggregates(),
             *beta_aggregates(),
         )
-        .withColumn("rsi", rsi_value(params))
     )
 
 
@@ -102,8 +101,21 @@ def evaluate(
     if price_bars is not None:
         prices = latest_price(price_bars, as_of, params.price_days)
         measured = measured.drop("price").join(prices, "ticker", "left")
+    return from_measures(measured, as_of, facts, cik_map, universe, params, complete)
+
+
+def from_measures(
+    measured: DataFrame,
+    as_of: datetime,
+    facts: DataFrame | None = None,
+    cik_map: DataFrame | None = None,
+    universe: DataFrame | None = None,
+    params: ScreenParams = DEFAULTS,
+    complete: bool = True,
+) -> DataFrame:
+    """What ``evaluate`` makes of a ticker's measures: factors, distance, beta and reason."""
     if universe is not None and complete:
-        measured = universe.join(measured, "ticker", "left")
+        measured = universe.select("ticker").distinct().join(measured, "ticker", "left")
     if facts is None or cik_map is None:
         nothing = {
             name: F.lit(None).cast("double") for name in FACTOR_COLUMNS if name != "beta"
@@ -121,7 +133,7 @@ def evaluate(
                 values, F.upper("ticker") == F.col("listed_ticker"), "left"
             )
         factored = joined.withColumns(accounting.factor_columns())
-    return factored.withColumns(
+    return factored.withColumn("rsi", rsi_value(params)).withColumns(
         {
             "pct_below_ci": pct_below_band(params),
             "beta": beta_value(params),

@@ -26,6 +26,7 @@ from tickerloom.operators import (
     daily,
     evaluate as ev,
     history,
+    incremental,
     indicators,
     ordering,
     resample as rs,
@@ -488,6 +489,31 @@ def universe_refresh(spark, sf_dir):
     return uni.refresh(stored, fresh, AS_OF)
 
 
+def refresh_incremental(spark, sf_dir):
+    """The refresh from summaries of the months before, and bars of the others.
+
+    Bars and summaries are stored as a run at the earlier time would have left them.
+    """
+    stored = old_universe(spark, sf_dir)
+    root = _folder(spark, "refresh")
+    bar_source.write_bars(views.bars(spark, sf_dir).withColumn("freq", F.lit("day")), f"{root}/bars")
+
+    def read(months):
+        return bar_source.read_months(spark, f"{root}/bars", months, "day")
+
+    last = incremental.month_of(OLD_AS_OF - timedelta(days=1))
+    past, _ = incremental.lookback_months(AS_OF, last, PARAMS)
+    summaries = incremental.SummaryStore(spark, f"{root}/summaries")
+    earlier = read(past)
+    summaries.write(incremental.month_summaries(earlier, earlier, PARAMS))
+    measured = incremental.measures_from_summaries(
+        summaries.read(past), read, last, AS_OF, PARAMS, universe=stored
+    )
+    facts, cik_map = views.facts(spark, sf_dir), views.cik_map(spark, sf_dir)
+    fresh = ev.from_measures(measured, AS_OF, facts, cik_map, stored, PARAMS, complete=False)
+    return uni.refresh(stored, fresh, AS_OF)
+
+
 def universe_add(spark, sf_dir):
     stored = old_universe(spark, sf_dir)
     candidates = views.listing(spark, sf_dir)
@@ -499,10 +525,15 @@ def universe_remove(spark, sf_dir):
     return uni.remove(earlier_universe(spark, sf_dir), views.listing(spark, sf_dir))
 
 
-def _store(spark):
-    """A universe store of its own below the session's warehouse."""
+def _folder(spark, name):
+    """A folder of its own below the session's warehouse, which a cluster shares."""
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return UniverseStore(spark, f"{root}/universe-store-{uuid4().hex}")
+    return f"{root}/{name}-{uuid4().hex}"
+
+
+def _store(spark):
+    """A universe store of its own."""
+    return UniverseStore(spark, _folder(spark, "universe-store"))
 
 
 def store_round_trip(spark, sf_dir):
@@ -609,6 +640,7 @@ QUERIES: dict[str, Query] = {
     "search_remove": search_remove,
     "universe_create": universe_create,
     "universe_refresh": universe_refresh,
+    "refresh_incremental": refresh_incremental,
     "universe_add": universe_add,
     "universe_remove": universe_remove,
     "store_round_trip": store_round_trip,

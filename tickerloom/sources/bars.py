@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +97,7 @@ def read_bars(
     path: str,
     as_of: datetime | None = None,
     days_back: float | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Read what ``write_bars`` stored, pruned to the months of the lookback."""
     schema = T.StructType(
@@ -109,7 +110,16 @@ def read_bars(
         if days_back is not None:
             first = lookback_start(as_of, days_back)
             bars = bars.where(F.col("month") >= f"{first:%Y-%m}")
-    return bars.select(*schemas.BARS.fieldNames())
+    return bars.select(*(columns or schemas.BARS.fieldNames()))
+
+
+def read_months(
+    spark: SparkSession, path: str, months: Sequence[str], frequency: str
+) -> DataFrame:
+    """Stored bars of some months, given as yyyy-MM; no other folder is read."""
+    stored = read_bars(spark, path, columns=[*schemas.BARS.fieldNames(), "month"])
+    chosen = stored.where(F.col("month").isin(list(months)) & (F.col("freq") == canonical_frequency(frequency)))
+    return chosen.drop("month", "freq")
 
 
 BarReader = Callable[[datetime, float], DataFrame]
