@@ -256,6 +256,25 @@ FROM lineitem GROUP BY l_suppkey, l_shipdate HAVING count(*) > 1""",
     "latest_price": f"""
 WITH {BARS}, {band_rows("band", AS_OF)}
 SELECT ticker, price FROM band_price""",
+    "price_widening": f"""
+WITH {BARS}, {UNIVERSE}
+SELECT ticker, arg_max(close, ts) AS price,
+       CASE WHEN max(ts) >= {AS_OF} - INTERVAL 5 MINUTE THEN 5::DOUBLE / 1440::DOUBLE
+            WHEN max(ts) >= {AS_OF} - INTERVAL 1 DAY THEN 1::DOUBLE
+            WHEN max(ts) >= {AS_OF} - INTERVAL 3 DAY THEN 3::DOUBLE ELSE 5::DOUBLE END AS "window"
+FROM bars WHERE ts BETWEEN {AS_OF} - INTERVAL 5 DAY AND {AS_OF}
+  AND ticker IN (SELECT ticker FROM universe) GROUP BY ticker""",
+    "bars_merge": f"""
+WITH {BARS},
+numbered AS (SELECT *, TRY_CAST(substr(ticker, 2) AS BIGINT) AS number FROM bars),
+settled AS (
+  SELECT ticker, ts,
+         CASE WHEN ts >= TIMESTAMP '2001-10-01' AND number % 4 = 0 THEN NULL
+              WHEN ts >= TIMESTAMP '2001-06-01' AND number % 3 = 0 THEN close + 2::DOUBLE
+              ELSE close END AS close
+  FROM numbered)
+SELECT ticker, 'day' AS freq, ts, close FROM settled WHERE close IS NOT NULL""",
+    "list_lines": f"WITH {TOKENS} SELECT list, ordinal, ticker FROM tokens",
     "parse_tickers": f"WITH {TOKENS} SELECT list, ordinal, ticker FROM tokens",
     "list_overview": f"""
 WITH {TOKENS}
@@ -324,6 +343,13 @@ WITH {BARS},
 {rsi_rows("r", "bars", f"ts BETWEEN {AS_OF} - INTERVAL 720 DAY AND {AS_OF}")}
 SELECT ticker, ts, CAST(round_even(rsi, 0) AS INTEGER) AS rsi FROM r
 WHERE ts = TIMESTAMP '2001-10-15'""",
+    "rsi_at_requests": f"""
+WITH {BARS}, {rsi_rows("r", "bars")},
+asked AS (SELECT DISTINCT 'S' || (o_custkey % 10 + 1) AS ticker, o_orderdate AS ts FROM orders)
+SELECT a.ticker, a.ts,
+       CASE WHEN r.ts = a.ts THEN CAST(round_even(r.rsi, 0) AS INTEGER) END AS rsi_exact,
+       r.ts AS bar_ts, CAST(round_even(r.rsi, 0) AS INTEGER) AS rsi_as_of
+FROM asked a ASOF LEFT JOIN r ON a.ticker = r.ticker AND a.ts >= r.ts""",
     "ma_cross": f"""
 WITH {BARS}, {MOVING}
 SELECT ticker, ts, {r9("s20")} AS sma_20, {r9("s50")} AS sma_50, {r9("s200")} AS sma_200,

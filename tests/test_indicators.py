@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -227,3 +228,57 @@ def test_latest_rsi_is_the_last_of_the_series(spark):
         series = indicators.rsi_series(frame).orderBy(F.col("ts").desc()).first()["rsi"]
         latest_rsi = values(measures.rsi_latest(frame, AS_OF))["A"]["rsi"]
         assert latest_rsi == (None if series is None else np.rint(series))
+
+
+def test_wider_price_windows_are_read_only_for_tickers_without_a_price(spark):
+    last = AS_OF
+    rows = [("NOW", last, 1.0), ("DAY", last - timedelta(hours=20), 2.0), ("DAY", last - timedelta(days=2), 9.0)]
+    old = [("OLD", last - timedelta(days=4), 3.0), ("OLD", last - timedelta(days=5), 4.0), ("GONE", last - timedelta(days=6), 5.0)]
+    table = bars(spark, rows, old)
+    tickers = spark.createDataFrame([(t,) for t in ("NOW", "DAY", "OLD", "GONE", "NONE", "NOW")], "ticker STRING")
+    found = {r.ticker: (r.price, r.window) for r in resample.widening_price(table, AS_OF, tickers).collect()}
+    assert found == {"NOW": (1.0, 5 / 1440), "DAY": (2.0, 1.0), "OLD": (3.0, 5.0)}
+    latest = {r.ticker: r.price for r in resample.latest_price(table, AS_OF).collect()}
+    assert {t: p for t, (p, _) in found.items()} == latest
+    # reading anything older than a day fails
+    young = F.when(F.col("ts") >= F.lit(AS_OF - timedelta(days=1)).cast("timestamp_ntz"), F.col("close"))
+    strict = table.withColumn("close", young.otherwise(F.raise_error(F.lit("read"))))
+    asked = tickers.where("ticker in ('NOW', 'DAY')")
+    assert resample.widening_price(strict, AS_OF, asked).count() == 2
+    with pytest.raises(Exception, match="read"):
+        resample.widening_price(strict, AS_OF, tickers).collect()
+    assert resample.widening_price(table, AS_OF, tickers.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("every", ["2 days", "40 days"])
+def test_rsi_at_requests_against_brute_force(spark, every):
+    rng = np.random.default_rng(21)
+    table, closes = [], {}
+    for ticker in ("HOT", "A", "FLAT"):
+        for i in range(120 if ticker == "HOT" else 40):
+            ts = AS_OF - timedelta(days=int(i * (1 if ticker == "HOT" else 2.9)), hours=6)
+            close = 5.0 if ticker == "FLAT" else float(round(50 + rng.normal(), 3))
+            table.append((ticker, ts, close))
+            closes.setdefault(ticker, []).append((ts, close))
+    asked = [(t, AS_OF - timedelta(days=int(d), hours=int(h))) for t in ("HOT", "A", "FLAT", "NONE") for d, h in zip(rng.integers(-5, 140, 60), rng.choice([0, 6, 7], 60), strict=True)]
+    requests = spark.createDataFrame(asked + asked[:5], "ticker STRING, ts TIMESTAMP_NTZ")
+    found = indicators.rsi_at_requests(bars(spark, table), requests, slice_every=every).collect()
+    assert len(found) == len(set(asked))
+    for r in found:
+        known = sorted(x for x in closes.get(r.ticker, []) if x[0] <= r.ts)
+        assert r.bar_ts == (known[-1][0] if known else None)
+        changes = np.diff([c for _, c in known])[-14:]
+        total = np.abs(changes).sum()
+        rsi = None
+        if len(changes) == 14 and total:
+            rsi = round(100 * changes[changes > 0].sum() / total)
+        assert r.rsi_as_of == rsi
+        assert r.rsi_exact == (rsi if known and known[-1][0] == r.ts else None)
+
+
+def test_requests_spread_a_hot_ticker(spark):
+    requests = spark.createDataFrame([("A", AS_OF)], "ticker STRING, ts TIMESTAMP_NTZ")
+    frame = indicators.rsi_at_requests(bars(spark, daily("A", range(40))), requests, slice_every="5 days")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "last(bar" in line]
+    assert windows and all(re.search(r"\[ticker#\d+, piece#\d+\]", line) for line in windows)

@@ -2,7 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
-from builders import AS_OF, bars, daily
+from builders import AS_OF, BAR, bars, daily
 from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import delayed_as_of, lookback_start, utc_instant
@@ -184,3 +184,75 @@ def test_each_call_prunes_to_its_own_months(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "month#" in plan and f"2024-0{month})" in plan.split("PartitionFilters")[1]
         assert {r["close"] for r in found.collect()} == {float(month), float(month - 1)}
+
+
+def test_lists_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "tech.txt").write_text(f"{folder}x\n{folder}y")
+    everything = lists.read_ticker_lists(spark, str(tmp_path))
+    assert lists.list_names(everything).count() == 2
+    by_path = {}
+    for r in lists.parse_tickers(everything).collect():
+        by_path.setdefault(r["path"][-10:], []).append((r["ordinal"], r["ticker"]))
+    assert by_path == {"a/tech.txt": [(0, "AX"), (1, "AY")], "b/tech.txt": [(0, "BX"), (1, "BY")]}
+    lines = lists.parse_lines(lists.read_list_lines(spark, str(tmp_path)), ["list", "path"])
+    assert sorted(lines.select("path", "ordinal", "ticker").collect()) == sorted(
+        lists.parse_tickers(everything).select("path", "ordinal", "ticker").collect()
+    )
+
+
+def test_one_large_file_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "large.txt").write_text("\n".join(f"t{chr(97 + i % 26)};{'x' * (i % 7)}, , {i}" for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        lines = lists.read_list_lines(spark, str(tmp_path))
+        assert lines.select("block").distinct().count() > 5
+        mine = {(r.ordinal, r.ticker) for r in lists.parse_lines(lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = lists.parse_tickers(lists.read_ticker_lists(spark, str(tmp_path)))
+    assert mine == {(r.ordinal, r.ticker) for r in whole.collect()} and len(mine) > 70_000
+
+
+def merge_table(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    first = [("A", datetime(2024, m, d), float(d)) for m in (1, 2, 3) for d in (1, 2, 3)]
+    frame = spark.createDataFrame(first, BAR).withColumn("freq", F.lit("day"))
+    bar_source.write_bars(frame, path)
+    return path, {(t, ts): close for t, ts, close in first}
+
+
+CHANGE = "ticker STRING, ts TIMESTAMP_NTZ, close DOUBLE, load INT"
+
+
+def merged_rows(spark, path):
+    return {(r.ticker, r.ts): r.close for r in bar_source.read_bars(spark, path).collect()}
+
+
+def test_merge_rewrites_touched_months_only(spark, tmp_path):
+    path, expected = merge_table(spark, tmp_path)
+    files = {m: sorted(str(f) for f in (tmp_path / "bars" / "freq=day" / f"month=2024-{m}").glob("*.parquet")) for m in ("01", "02", "03")}
+    changes = [
+        ("A", datetime(2024, 2, 2), 20.0, 1), ("A", datetime(2024, 2, 2), 21.0, 3), ("A", datetime(2024, 2, 2), 22.0, 2),
+        ("A", datetime(2024, 2, 3), None, 1), ("B", datetime(2024, 2, 9), 9.0, 1), ("C", datetime(2024, 4, 1), 4.0, 1),
+        ("Z", datetime(2024, 4, 2), None, 1),
+    ]
+    frame = spark.createDataFrame(changes, CHANGE).withColumn("freq", F.lit("day"))
+    expected |= {("A", datetime(2024, 2, 2)): 21.0, ("B", datetime(2024, 2, 9)): 9.0, ("C", datetime(2024, 4, 1)): 4.0}
+    del expected["A", datetime(2024, 2, 3)]
+    for _ in range(2):  # a repeated merge changes nothing
+        assert bar_source.merge_bars(spark, path, frame) == ["2024-02", "2024-04"]
+        assert merged_rows(spark, path) == expected
+    after = {m: sorted(str(f) for f in (tmp_path / "bars" / "freq=day" / f"month=2024-{m}").glob("*.parquet")) for m in files}
+    assert after["01"] == files["01"] and after["03"] == files["03"] and after["02"] != files["02"]
+
+
+def test_merge_may_empty_a_month_or_do_nothing(spark, tmp_path):
+    path, expected = merge_table(spark, tmp_path)
+    gone = [("A", datetime(2024, 1, d), None, 1) for d in (1, 2, 3)]
+    frame = spark.createDataFrame(gone, CHANGE).withColumn("freq", F.lit("day"))
+    assert bar_source.merge_bars(spark, path, frame.where("false")) == []
+    assert bar_source.merge_bars(spark, path, frame) == ["2024-01"]
+    assert merged_rows(spark, path) == {k: v for k, v in expected.items() if k[1].month != 1}

@@ -123,6 +123,45 @@ def rsi_at(
     return at.select("ticker", "ts", half_even(F.col("rsi")).cast("int").alias("rsi"))
 
 
+def rsi_at_requests(
+    bars: DataFrame,
+    requests: DataFrame,
+    bars_back: int = DEFAULTS.rsi_bars,
+    slice_every: str = "180 days",
+) -> DataFrame:
+    """``(ticker, ts, rsi_exact, bar_ts, rsi_as_of)`` for every ``(ticker, ts)`` of ``requests``.
+
+    ``rsi_exact`` is the RSI of the bar at exactly that moment. ``bar_ts`` and ``rsi_as_of`` are those
+    of the last bar up to then; both are NULL before the first bar, and the RSI is NULL where that of
+    the bar is. Series and requests are united and each request takes the last bar above it, in
+    slices of time, so that a ticker with most of the bars or of the requests spreads over tasks. A
+    slice begins with the last bar before it, which comes from a table of one row a slice.
+    """
+    asked = requests.select("ticker", "ts").distinct()
+    piece = F.window("ts", slice_every)["start"].alias("piece")
+    valued = rsi_series(bars, bars_back, slice_every).select("ticker", "ts", piece, F.struct("ts", "rsi").alias("bar"))
+    wanted = asked.select("ticker", "ts", piece, F.lit(None).cast(valued.schema["bar"].dataType).alias("bar"))
+    ends = valued.groupBy("ticker", "piece").agg(F.max_by("bar", "ts").alias("end"))
+    pieces = ends.unionByName(
+        wanted.select("ticker", "piece").distinct().withColumn("end", F.lit(None).cast(valued.schema["bar"].dataType))
+    )
+    pieces = pieces.groupBy("ticker", "piece").agg(F.max("end").alias("end"))
+    earlier = Window.partitionBy("ticker").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    opened = pieces.select("ticker", "piece", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    # of equal moments the bar comes before the request
+    ordered = Window.partitionBy("ticker", "piece").orderBy("ts", F.col("bar").isNull())
+    united = valued.unionByName(wanted).withColumn("latest", F.last("bar", ignorenulls=True).over(ordered))
+    answered = united.where(F.col("bar").isNull()).join(opened, ["ticker", "piece"], "left")
+    latest = F.coalesce("latest", "before")
+    return answered.withColumn("latest", latest).select(
+        "ticker",
+        "ts",
+        F.when(F.col("latest.ts") == F.col("ts"), half_even(F.col("latest.rsi")).cast("int")).alias("rsi_exact"),
+        F.col("latest.ts").alias("bar_ts"),
+        half_even(F.col("latest.rsi")).cast("int").alias("rsi_as_of"),
+    )
+
+
 def moving_average_signals(
     bars: DataFrame,
     short: int = 20,

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.moments import bucket_start, canonical_frequency, in_lookback
+from tickerloom.functions.moments import (
+    bucket_start,
+    canonical_frequency,
+    in_lookback,
+    lookback_start,
+    moment_literal,
+)
+from tickerloom.operators.checkpoints import checkpointed
 from tickerloom.params import DEFAULTS
 
+# The days of the windows in which a current price is looked for, one after another.
+PRICE_WINDOWS = [5 / 1440, 1, 3, 5]
+
 
 def has_price(price: str) -> Column:
     """True for a price that is a number; NaN sorts above all others and is none."""
@@ -60,3 +72,30 @@ def latest_price(
     """
     recent = bars.where(in_lookback(F.col("ts"), as_of, days_back))
     return recent.groupBy("ticker").agg(F.max_by("close", "ts").alias("price"))
+
+
+def widening_price(
+    bars: DataFrame, as_of: datetime, tickers: DataFrame, windows: Sequence[float] = PRICE_WINDOWS
+) -> DataFrame:
+    """``(ticker, price, window)``: last closes, and the days of the first window that has one.
+
+    Same prices as ``latest_price`` over the widest window, with less read. Each window reads the
+    stretch of time that the one before did not, for the tickers still without a price; when none is
+    left, the wider ones are never read. What the driver learns is whether any are left.
+    """
+    left = checkpointed(tickers.select("ticker").distinct())
+    found = []
+    newer = None
+    for days in windows:
+        if left.isEmpty():
+            break
+        stretch = bars.where(in_lookback(F.col("ts"), as_of, days))
+        if newer is not None:
+            stretch = stretch.where(F.col("ts") < moment_literal(lookback_start(as_of, newer)))
+        last = stretch.join(left, "ticker", "left_semi").groupBy("ticker").agg(F.max_by("close", "ts").alias("price"))
+        found.append(checkpointed(last.withColumn("window", F.lit(float(days)))))
+        left = checkpointed(left.join(found[-1], "ticker", "left_anti"))
+        newer = days
+    if not found:
+        return bars.select("ticker", F.col("close").alias("price"), F.lit(0.0).alias("window")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, found)

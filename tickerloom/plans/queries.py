@@ -106,6 +106,24 @@ def latest_price(spark, sf_dir):
     return rs.latest_price(views.bars(spark, sf_dir), AS_OF)
 
 
+def price_widening(spark, sf_dir):
+    """Current prices with the window each was found in."""
+    return rs.widening_price(views.bars(spark, sf_dir), AS_OF, views.universe(spark, sf_dir))
+
+
+def bars_merge(spark, sf_dir):
+    """Bars stored by month, after late, corrected and withdrawn ones came in."""
+    path = f"{_folder(spark, 'merge')}/bars"
+    bar_source.write_bars(views.first_load(spark, sf_dir), path)
+    bar_source.merge_bars(spark, path, views.bar_changes(spark, sf_dir))
+    return bar_source.read_bars(spark, path)
+
+
+def list_lines(spark, sf_dir):
+    """As ``parse_tickers``, from the lines of the lists."""
+    return lists.parse_lines(views.ticker_lines(spark, sf_dir))
+
+
 def parse_tickers(spark, sf_dir):
     return lists.parse_tickers(views.ticker_texts(spark, sf_dir))
 
@@ -215,6 +233,10 @@ def rsi_at_date(spark, sf_dir):
     return indicators.rsi_at(views.bars(spark, sf_dir), RSI_DATE, AS_OF)
 
 
+def rsi_at_requests(spark, sf_dir):
+    return indicators.rsi_at_requests(views.bars(spark, sf_dir), views.rsi_requests(spark, sf_dir))
+
+
 def ma_cross(spark, sf_dir):
     signals = indicators.moving_average_signals(views.bars(spark, sf_dir))
     return signals.select(
@@ -576,6 +598,9 @@ QUERIES: dict[str, Query] = {
     "bars_resample_ties": bars_resample_ties,
     "bars_resample_nan": bars_resample_nan,
     "latest_price": latest_price,
+    "price_widening": price_widening,
+    "bars_merge": bars_merge,
+    "list_lines": list_lines,
     "parse_tickers": parse_tickers,
     "list_overview": list_overview,
     "list_names": list_names,
@@ -593,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "rsi_series_intraday": rsi_series_intraday,
     "rsi_latest": rsi_latest,
     "rsi_at_date": rsi_at_date,
+    "rsi_at_requests": rsi_at_requests,
     "ma_cross": ma_cross,
     "rsi_accuracy": rsi_accuracy,
     "rsi_turnover": rsi_turnover,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,6 +238,43 @@ def ticker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ticker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every document line by line."""
+    lines = F.posexplode(F.split("content", "\n")).alias("line_no", "line")
+    return ticker_texts(spark, sf_dir).select("list", lines)
+
+
+def rsi_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every order: the RSI of one of ten suppliers on the day."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('S', o_custkey % 10 + 1) as ticker", "o_orderdate as ts"
+    )
+
+
+def first_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars as first loaded: those of every fifth supplier are late from autumn 2001 on."""
+    late = "ts >= timestamp_ntz'2001-09-01' and try_cast(substring(ticker, 2) as bigint) % 5 = 0"
+    return bars(spark, sf_dir).where(f"not coalesce({late}, false)").withColumn("freq", F.lit("day"))
+
+
+def bar_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late bars, two corrections for some, and bars withdrawn later."""
+    number = "try_cast(substring(ticker, 2) as bigint)"
+    given = bars(spark, sf_dir).withColumn("freq", F.lit("day"))
+
+    def load(at: int, where: str, close: str) -> DataFrame:
+        rows = given.where(where)
+        return rows.selectExpr("ticker", "freq", "ts", f"cast({close} as double) as close", f"{at} as load")
+
+    loads = [
+        load(2, f"ts >= timestamp_ntz'2001-09-01' and {number} % 5 = 0", "close"),
+        load(4, f"ts >= timestamp_ntz'2001-06-01' and {number} % 3 = 0", "close + 2"),
+        load(3, f"ts >= timestamp_ntz'2001-06-01' and {number} % 3 = 0", "close + 1"),
+        load(5, f"ts >= timestamp_ntz'2001-10-01' and {number} % 4 = 0", "null"),
+    ]
+    return reduce(DataFrame.unionByName, loads)
+
+
 def with_insertion_order(rows: DataFrame) -> DataFrame:
     """Number stored rows by supplier; the market comes first."""
     number = F.expr("coalesce(try_cast(substring(ticker, 2) as bigint), -1)")

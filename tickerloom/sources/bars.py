@@ -17,6 +17,7 @@ from tickerloom.functions.moments import (
     naive_utc,
     utc_wall_clock,
 )
+from tickerloom.operators.checkpoints import checkpointed
 
 BAR_PARTITIONS = ["freq", "month"]
 
@@ -76,10 +77,11 @@ def _month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "error") -> None:
+def write_bars(bars: DataFrame, path: str, mode: str = "error", dynamic: bool = False) -> None:
     """Store bars by frequency and month, sorted by ticker and time within the files.
 
-    The range includes ``ts``, so one busy ticker spreads over several tasks and files.
+    The range includes ``ts``, so one busy ticker spreads over several tasks and files. A
+    ``dynamic`` overwrite replaces the folders it has bars for and leaves the others.
     """
     order = [*BAR_PARTITIONS, "ticker", "ts"]
     (
@@ -87,6 +89,7 @@ def write_bars(bars: DataFrame, path: str, mode: str = "error") -> None:
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy(*BAR_PARTITIONS)
         .parquet(path)
     )
@@ -122,6 +125,48 @@ def read_months(
     return chosen.drop("month", "freq")
 
 
+def merge_bars(spark: SparkSession, path: str, changes: DataFrame) -> list[str]:
+    """Put corrected, late and withdrawn bars into what ``write_bars`` stored.
+
+    ``changes`` has ``(ticker, freq, ts, close, load)``. Of several for one bar that of the highest
+    ``load`` counts, and it counts over the stored bar; a NULL close takes the bar away. Only the
+    months that have changes are read and written again, those of other months keep their files. The
+    merged months are checkpointed before any file is replaced, and merging the same changes again
+    changes nothing, so that a run that broke off is repeated. Returns the months written.
+    """
+    keys = ["ticker", "freq", "ts"]
+    newest = (
+        changes.groupBy(*keys)
+        .agg(F.max_by(F.struct("close"), "load").alias("new"))
+        .withColumn("month", _month(F.col("ts")))
+    )
+    newest = checkpointed(newest)
+    # one row a month and frequency
+    touched = [tuple(row) for row in newest.select(*BAR_PARTITIONS).distinct().collect()]
+    if not touched:
+        return []
+    stored = read_bars(spark, path, columns=[*schemas.BARS.fieldNames(), "month"])
+    there = F.lit(False)
+    for freq, month in touched:
+        there = there | ((F.col("freq") == freq) & (F.col("month") == month))
+    both = stored.where(there).join(newest, [*keys, "month"], "full_outer")
+    merged = both.withColumn("close", F.when(F.col("new").isNull(), F.col("close")).otherwise(F.col("new.close")))
+    merged = merged.where(F.col("close").isNotNull()).select(*schemas.BARS.fieldNames())
+    # a month that loses all its bars has nothing to overwrite its folder with
+    left = checkpointed(merged)
+    write_bars(left, path, "overwrite", dynamic=True)
+    kept = {tuple(row) for row in left.select("freq", _month(F.col("ts"))).distinct().collect()}
+    for freq, month in set(touched) - kept:
+        _drop_folder(spark, f"{path}/freq={freq}/month={month}")
+    return sorted({month for _, month in touched})
+
+
+def _drop_folder(spark: SparkSession, folder: str) -> None:
+    """Empty one folder of a table: an empty file replaces what was there."""
+    nothing = spark.createDataFrame([], "ticker STRING, ts TIMESTAMP_NTZ, close DOUBLE")
+    nothing.write.mode("overwrite").parquet(folder)
+
+
 BarReader = Callable[[datetime, float], DataFrame]
 
 
