@@ -15,13 +15,13 @@ SPARSE = 16
 LEAST, MOST = 16, 27
 
 
-def bitmap(hashes: DataFrame, most: int = MOST) -> np.ndarray:
+def bitmap(hashes: DataFrame, sparse: int = SPARSE, most: int = MOST) -> np.ndarray:
     """The bitmap of the one BIGINT column of ``hashes``, as 64-bit words.
 
-    Bits are set by Spark; the driver gets the words that are not zero, a bounded number.
+    It has ``sparse`` bits for each row, up to ``2 ** most`` bits. Bits are set by Spark; the driver gets the words that are not zero, a bounded number.
     """
     (column,) = hashes.columns
-    wanted = max(1, hashes.count() * SPARSE)
+    wanted = max(1, hashes.count() * sparse)
     bits = min(max((wanted - 1).bit_length(), LEAST), most)
     slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     words = (

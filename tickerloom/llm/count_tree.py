@@ -12,13 +12,15 @@ sets are high. So there are many trees: sets that link share one of the first
 that have it there. The order is that of the hashes, but with frequent ones last, which keeps
 passages common to many documents from making large trees.
 
-1. Prefix hashes are counted over all documents; the frequent ones become a bitmap.
-2. Points, prefixes and set keys are written once. Equal sets share a key and are one point, and
-   of prefix hashes with the same members one is kept.
+1. Points, prefixes in the order of hashes, and set keys are written once; equal sets share a key
+   and are one point. Prefix hashes are counted over all documents, and sets with frequent ones get
+   their prefix in the final order.
+2. Of hashes that several sets have in their prefix, those with the same sets are one tree.
 3. Each tree is searched by its points, and a spanning forest of the surviving pairs is kept. Its
    components, the classes, hold all links.
-4. The sets of each class are built again from the texts. Its tree proposes pairs, their sets
-   are compared exactly, and a forest of the links is kept; its components are the result.
+4. The texts of each class come together and their sets are built again. The class has a tree
+   that proposes pairs, sets are compared exactly, and a forest of the links is kept; its components
+   are the result.
 
 Groups of more than ``BLOCK`` sets are dealt out to blocks, each with one set in common, the pivot;
 then sets that are not connected to the pivot, in blocks of their own, meet all blocks. So a group of near copies
@@ -28,7 +30,7 @@ costs as much as its rows, and no pair is lost.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.bitmaps import among, bitmap
 from tickerloom.llm.common import stored, table
 from tickerloom.llm.components import connected_components
+from tickerloom.llm.hashing import Powers, shingle_sets
 
 WIDTH = 5
 GROUPS = 128
@@ -49,61 +52,34 @@ BLOCK = 2048
 #: Hashes of a set that a block counts on; larger sets make smaller blocks.
 MEAN = 512
 LEAF, FAN = 32, 8
-#: A count that a point's 16 bits cannot hold; it bounds nothing.
-FULL = 65535
-#: Words and sets that a task remembers; longer words are not kept.
-KNOWN_WORDS, KNOWN_LENGTH, KNOWN_SETS = 200_000, 40, 500_000
-C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class WordHashes(dict):
-    """Hashes of words, with a bounded memory of short ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= KNOWN_LENGTH:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(32))) * C1
-    return values ^ (values >> np.uint64(29))
-
-
-def shingles(text: bytes | None, known: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """The ascending distinct hashes of the shingles of UTF-8 text."""
-    said = (text or b"").lower().split()
-    if not said:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, said), np.uint64, len(said))
-    with np.errstate(over="ignore"):
-        taken = min(width, len(said))
-        found = np.full(len(said) - taken + 1, taken, np.uint64) * C2
-        for k in range(taken):
-            found = _mixed(found ^ hashes[k : k + len(found)])
-        found = _mixed(found)
-    return np.unique(found)
+#: A count that a point's 8 bits cannot hold; it bounds nothing.
+FULL = 255
+#: Rows of sorted groups that are taken up at once.
+STEP = 512
+#: Bits for each frequent hash: few sets are to be taken for affected that are not.
+SPARSE_FREQUENT = 4096
+#: Keys of sets that a task remembers, so as not to describe a copy again.
+KNOWN_SETS = 500_000
 
 
 def point(found: np.ndarray) -> np.ndarray:
     counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, FULL).astype(np.uint16)
+    return np.minimum(counts, FULL).astype(np.uint8)
 
 
 def _points(packed: list[bytes]) -> np.ndarray:
-    found = np.frombuffer(b"".join(packed), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    found = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS).astype(np.int32)
     found[found == FULL] = 1 << 22
     return found
 
 
-def prefix(found: np.ndarray, late: np.ndarray | None) -> np.ndarray:
-    """The hashes of a set of which every linked set's prefix has one as well."""
-    size = len(found) - -(-8 * len(found) // 10) + 1
-    if late is None:
-        return found[:size]
+def prefix_size(size: int) -> int:
+    return size - -(-8 * size // 10) + 1
+
+
+def prefix(found: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the order that has ``late`` ones last."""
+    size = prefix_size(len(found))
     last = among(late, found)
     first = found[~last][:size]
     return first if len(first) == size else np.concatenate([first, found[last][: size - len(first)]])
@@ -205,13 +181,21 @@ def crossing(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | Non
 
 
 def _by_group(exact: bool, probing: bool):
-    """Links within runs of equal (g, salt) of sorted rows (g, salt, key, size, point[, hashes][, part, probe])."""
+    """Links within runs of equal (g, salt) of sorted rows (g, salt, key, then size and point, or text if
+    ``exact``, then part and probe if ``probing``)."""
+    powers = Powers()
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         keys = rows.column("key").to_numpy()
-        sizes = rows.column("size").to_numpy()
-        points = _points(rows.column("point").to_pylist())
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()] if exact else None
+        sets = None
+        if exact:
+            texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(texts, WIDTH, powers)[0]
+            sizes = np.array([len(x) for x in sets])
+            points = _points([point(x).tobytes() for x in sets])
+        else:
+            sizes = rows.column("size").to_numpy()
+            points = _points(rows.column("point").to_pylist())
         g, salt = rows.column("g").to_numpy(), rows.column("salt").to_numpy()
         new = np.flatnonzero((g[1:] != g[:-1]) | (salt[1:] != salt[:-1])) + 1
         starts = np.concatenate([[0], new]).astype(np.int64)
@@ -221,14 +205,15 @@ def _by_group(exact: bool, probing: bool):
         if not probing:
             two = starts[ends - starts == 2]  # most groups are pairs
             bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
-            two = two[9 * bound >= 4 * (sizes[two] + sizes[two + 1])]
+            two = two[9 * bound >= 4 * (sizes[two] + sizes[two + 1])].tolist()
             if exact:
-                two = np.array([i for i in two.tolist() if len(_verified(i, np.array([i + 1]), sets))], np.int64)
-            a += two.tolist()
-            b += (two + 1).tolist()
+                two = [i for i in two if len(_verified(i, np.array([i + 1]), sets))]
+            a += two
+            b += [i + 1 for i in two]
         for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
             if probing:
-                parts, probes = rows.column("part").to_numpy()[i:j], rows.column("probe").to_numpy(zero_copy_only=False)[i:j]
+                parts = rows.column("part").to_numpy()[i:j]
+                probes = rows.column("probe").to_numpy(zero_copy_only=False)[i:j]
                 x, y = crossing(points[i:j], sizes[i:j], sets and sets[i:j], parts, probes)
             elif j - i > 2:
                 x, y = forest(points[i:j], sizes[i:j], sets and sets[i:j])
@@ -240,17 +225,19 @@ def _by_group(exact: bool, probing: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            g, salt = batch.column("g").to_numpy(), batch.column("salt").to_numpy()
-            changed = np.flatnonzero((g != g[-1]) | (salt != salt[-1]))
-            first = int(changed[-1]) + 1 if len(changed) else 0
-            if held and (g[0] != held[-1].column("g")[0].as_py() or salt[0] != held[-1].column("salt")[0].as_py()):
-                yield links(pa.Table.from_batches(held))
-                held = []
-            if first:
-                yield links(pa.Table.from_batches([*held, batch.slice(0, first)]))
-                held = []
-            held.append(batch.slice(first))
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                g, salt = batch.column("g").to_numpy(), batch.column("salt").to_numpy()
+                changed = np.flatnonzero((g != g[-1]) | (salt != salt[-1]))
+                first = int(changed[-1]) + 1 if len(changed) else 0
+                if held and (g[0] != held[-1].column("g")[0].as_py() or salt[0] != held[-1].column("salt")[0].as_py()):
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                if first:
+                    yield links(pa.Table.from_batches([*held, batch.slice(0, first)]))
+                    held = []
+                held.append(batch.slice(first))
         if held:
             yield links(pa.Table.from_batches(held))
 
@@ -258,93 +245,189 @@ def _by_group(exact: bool, probing: bool):
 
 
 def _grouped(rows: DataFrame, exact: bool, probing: bool = False) -> DataFrame:
-    columns = ["g", "salt", "key", "size", "point"] + ["hashes"] * exact + ["part", "probe"] * probing
+    columns = ["g", "salt", "key", *(["text"] if exact else ["size", "point"]), *(["part", "probe"] if probing else [])]
     sorted_ = rows.select(*columns).repartition("g", "salt").sortWithinPartitions("g", "salt", "key")
-    return sorted_.mapInArrow(_by_group(exact, probing), "a bigint, b bigint").distinct()
+    return stored(sorted_.mapInArrow(_by_group(exact, probing), "a bigint, b bigint").distinct(), "links")
 
 
-def group_links(members: DataFrame, exact: bool, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: forests of the links within the groups of ``members(g, key, size, point[, hashes])``.
+def group_links(members: DataFrame, heads: DataFrame, describe: Callable[[DataFrame], DataFrame], exact: bool) -> DataFrame:
+    """``(a, b)``: forests of the links within the groups of ``members(g, key)``.
 
-    Their components are those of all links within groups.
+    Their components are those of all links within groups. ``heads(g, pivot, salts)`` has the
+    groups of two or more, a key of each, and in how many blocks it is dealt out. ``describe`` adds
+    what is compared, points or texts, to rows with the columns of ``members`` and others; all
+    dealing is done before, with keys only.
     """
-    heads = members.groupBy("g").agg(
-        F.count("*").alias("n"), F.sum("size").alias("hashes"), F.min("key").alias("pivot")
-    ).where("n > 1")
-    share = F.greatest(F.col("n") / block, F.col("hashes") / (block * MEAN))
-    heads = stored(heads.select("g", "pivot", F.ceil(share).cast("bigint").alias("salts")), "groups")
-    salted = members.join(heads, "g").withColumn("salt", F.pmod(F.xxhash64("key"), "salts"))
-    large = heads.agg(F.max("salts")).first()[0]
+    salt = F.pmod(F.xxhash64("key"), "salts")
+    salted = stored(members.join(heads, "g").withColumn("salt", salt), "dealt")
+    large = salted.agg(F.max("salts")).first()[0]
     if large is None or large == 1:
-        return stored(_grouped(salted, exact), "links")
+        return _grouped(describe(salted), exact)
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("other")
-    pivots = salted.where("key = pivot and salts > 1").select("*", every).where("other != salt").withColumn("salt", F.col("other"))
-    within = stored(_grouped(salted.unionByName(pivots.drop("other")), exact), "links")
+    pivots = salted.where("key = pivot and salts > 1").select("*", every).where("other != salt")
+    pivots = pivots.withColumn("salt", F.col("other")).drop("other")
+    within = _grouped(describe(stored(salted.unionByName(pivots), "dealt")), exact)
     parts = connected_components(within)
     several = salted.where("salts > 1").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    several = several.join(
-        parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivots_part")), "pivot", "left"
-    ).withColumn("part", F.coalesce("component", "key"))
+    of_pivots = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivots_part"))
+    several = several.join(of_pivots, "pivot", "left").withColumn("part", F.coalesce("component", "key"))
     several = stored(several.withColumn("probe", F.col("part") != F.coalesce("pivots_part", "pivot")), "blocks")
     # blocks of probes meet all blocks
     probes = several.where("probe")
-    lots = probes.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("sum"))
-    lots = lots.select("g", F.ceil(F.greatest(F.col("n") / block, F.col("sum") / (block * MEAN))).cast("bigint").alias("lots"))
+    lots = several.groupBy("g", "salts").agg(F.count("*").alias("of"), F.count_if("probe").alias("n")).where("n > 0")
+    lots = lots.select("g", F.ceil(F.col("salts") * F.col("n") / F.col("of")).cast("bigint").alias("lots"))
     pair = (F.col("salt") * F.col("lots") + F.col("lot")).alias("pair")
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot")
-    members = several.join(lots, "g").withColumn("probe", F.lit(False)).select("*", each).select("*", pair)
+    held = several.join(lots, "g").withColumn("probe", F.lit(False)).select("*", each).select("*", pair)
     sent = probes.join(lots, "g").withColumn("lot", F.pmod(F.xxhash64("key", F.lit(1)), "lots")).select("*", every)
     sent = sent.withColumn("salt", F.col("other")).drop("other").select("*", pair)
-    met = members.unionByName(sent).withColumn("salt", F.col("pair"))
-    return within.unionByName(stored(_grouped(met, exact, probing=True), "links"))
+    met = stored(held.unionByName(sent).withColumn("salt", F.col("pair")), "dealt")
+    return within.unionByName(_grouped(describe(met), exact, probing=True))
+
+
+def set_key(found: np.ndarray) -> int | None:
+    """A signed number for a set, the same for equal sets; None for the empty one."""
+    if not len(found):
+        return None
+    key = xxhash.xxh64_intdigest(found.tobytes())
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of lists, and the row of each."""
+    values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return values, np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], chosen: np.ndarray | None = None):
+    """Lots of ids, sets and texts of rows (doc_id, text), of those whose id is ``chosen``."""
+    powers = Powers()
+    for whole in batches:
+        if chosen is not None:
+            ids = whole.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            whole = whole.filter(pa.array(among(chosen, ids) & ~whole.column(0).is_null().to_numpy(zero_copy_only=False)))
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield batch.column(0), shingle_sets(texts, WIDTH, powers)[0], batch.column(1)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, size, prefix, point) of all rows; prefix and point once for a set."""
+    seen: set[int] = set()
+    for ids, sets, _ in _parts(batches):
+        keys = [set_key(x) for x in sets]
+        fresh = []
+        for i, key in zip(ids.to_pylist(), keys, strict=True):
+            fresh.append(i is not None and key is not None and key not in seen)
+            if fresh[-1]:
+                if len(seen) >= KNOWN_SETS:
+                    seen.clear()
+                seen.add(key)
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array(keys, pa.int64()),
+                pa.array([len(x) for x in sets], pa.int64()),
+                _lists([x[: prefix_size(len(x))] if new else x[:0] for x, new in zip(sets, fresh, strict=True)]),
+                pa.array([point(x).tobytes() if new else None for x, new in zip(sets, fresh, strict=True)], pa.binary()),
+            ],
+            names=["doc_id", "key", "size", "prefix", "point"],
+        )
+
+
+def _affected(late: np.ndarray):
+    """The ids of rows (doc_id, prefix) that have a late hash in their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, rows = _flat(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(rows[among(late, hashes)])))], names=["doc_id"])
+
+    return run
 
 
-def _described(late: np.ndarray | None, wanted: np.ndarray | None, full: bool):
-    """Rows of (doc_id, text): (key, size, prefix, point), or with ``wanted`` (key, hashes)."""
+def _again(late: np.ndarray, chosen: np.ndarray):
+    """(key, prefix, added) of affected sets: their prefix in the order of ``late``, and what that added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                keys, sizes, prefixes, points, sets = [], [], [], [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    found = shingles(text, known)
-                    # as a signed number
-                    key = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
-                    new = key is not None and key not in seen and i is not None
-                    if new and wanted is not None:
-                        new = bool(among(wanted, np.array([key + (1 << 64) if key < 0 else key], np.uint64))[0])
-                    if new:
-                        if len(seen) >= KNOWN_SETS:
-                            seen.clear()
-                        seen.add(key)
-                    if not new and (not full or wanted is not None):
-                        continue
-                    keys.append(key)
-                    if wanted is not None:
-                        sets.append(found.tobytes())
-                        continue
-                    sizes.append(len(found))
-                    prefixes.append(prefix(found, late).view(np.int64) if new else None)
-                    points.append(point(found).tobytes() if new else None)
-                if wanted is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "hashes"]
-                    )
-                    continue
-                prefixed = pa.array(prefixes, pa.list_(pa.int64()))
-                if not full:
-                    yield pa.RecordBatch.from_arrays([prefixed.flatten()], names=["hash"])
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), prefixed, pa.array(points, pa.binary())],
-                    names=["doc_id", "key", "size", "prefix", "point"],
-                )
+        for _, sets, _ in _parts(batches, chosen):
+            sets = [x for x in sets if among(late, x[: prefix_size(len(x))]).any()]
+            prefixes = [prefix(x, late) for x in sets]
+            added = [np.setdiff1d(p, x[: len(p)], assume_unique=True) for p, x in zip(prefixes, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(x) for x in sets], pa.int64()), _lists(prefixes), _lists(added)],
+                names=["key", "prefix", "added"],
+            )
+
+    return run
+
+
+def _entries(shared: np.ndarray, late: np.ndarray | None):
+    """(hash, key) of rows (key, prefix): hashes that may be shared, of sets without a late one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, rows = _flat(batch.column(1))
+            kept = among(shared, hashes)
+            if late is not None:
+                affected = np.zeros(batch.num_rows, bool)
+                affected[rows[among(late, hashes)]] = True
+                kept &= ~affected[rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes[kept].view(np.int64)), batch.column(0).take(pa.array(rows[kept]))], names=["hash", "key"]
+            )
+
+    return run
+
+
+def _keys(chosen: np.ndarray):
+    """(doc_id, key, text) of the rows that are chosen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets, texts in _parts(batches, chosen):
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([set_key(x) for x in sets], pa.int64()), texts], names=["doc_id", "key", "text"]
+            )
 
     return run
 
 
+def shared_prefixes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(hash, key)``: the prefix hashes of sets that more than one set may have there.
+
+    Prefixes in the order of hashes are counted. Sets with a frequent hash among them get another
+    prefix, from their texts again; the others have none in the order with frequent ones last
+    either. What is in no two prefixes is left out, as far as a bitmap tells.
+    """
+    given = sets.where(F.size("prefix") > 0)
+    counts = given.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    counts = stored(counts.where("n > 1"), "counts")
+    late = bitmap(counts.where(F.col("n") >= FREQUENT).select("hash"), SPARSE_FREQUENT)
+    affected = bitmap(stored(given.select("doc_id", "prefix").mapInArrow(_affected(late), "doc_id bigint"), "affected"))
+    again = rows.mapInArrow(_again(late, affected), "key bigint, prefix array<bigint>, added array<bigint>")
+    again = stored(again, "prefixes")
+    added = again.select(F.explode("added").alias("hash"))
+    shared = bitmap(counts.select("hash").unionByName(added))
+    schema = "hash bigint, key bigint"
+    kept = given.select("key", "prefix").mapInArrow(_entries(shared, late), schema)
+    return kept.unionByName(again.select("key", "prefix").mapInArrow(_entries(shared, None), schema))
+
+
+def distinct_groups(entries: DataFrame) -> DataFrame:
+    """``(g, key)``: the groups of two or more keys of distinct ``entries(hash, key)``, each set of keys once."""
+    same = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same")
+    groups = entries.groupBy("hash").agg(F.count("*").alias("n"), same).where("n > 1")
+    groups = groups.groupBy("n", "same").agg(F.min("hash").alias("hash")).select("hash")
+    return entries.join(groups, "hash").select(F.col("hash").alias("g"), "key")
+
+
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
 
@@ -352,31 +435,37 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     text, have no shingles and link with nothing. An id with several texts connects them. Rows
     without an id connect nothing; they have the component of an equal set, or NULL. Repeated
     rows stay, and columns other than the two named are not read. Texts of any length are taken
-    whole; a set must fit in a task's memory, eight bytes for each word.
+    whole; a text must fit in a task's memory with forty bytes for each of its own.
     """
     rows = docs.select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
-    counted = rows.mapInArrow(_described(None, None, False), "hash bigint").groupBy("hash").count()
-    late = bitmap(stored(counted.where(F.col("count") >= FREQUENT).select("hash"), "frequent"))
-    described = rows.mapInArrow(
-        _described(late, None, True), "doc_id bigint, key bigint, size bigint, prefix array<bigint>, point binary"
-    )
-    sets = stored(described, "sets")
-    entries = sets.where("prefix is not null").select(F.explode("prefix").alias("hash"), "key")
-    entries = entries.repartition("hash").distinct()
-    trees = entries.groupBy("hash").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same"))
-    trees = trees.where("n > 1").groupBy("n", "same").agg(F.min("hash").alias("hash"))
-    placed = stored(entries.join(trees.select("hash"), "hash").select(F.col("hash").alias("g"), "key"), "trees")
-    named = sets.where("prefix is not null").join(placed.select("key").distinct(), "key", "left_semi")
+    schema = "doc_id bigint, key bigint, size bigint, prefix array<bigint>, point binary"
+    sets = stored(rows.mapInArrow(_described, schema), "sets")
+    entries = shared_prefixes(rows, sets).repartition("hash").distinct()
+    placed = stored(distinct_groups(entries), "trees")
+    named = sets.where("point is not null").join(placed.select("key").distinct(), "key", "left_semi")
     points = named.groupBy("key").agg(F.first("size").alias("size"), F.first("point").alias("point"))
-    classes = connected_components(group_links(placed.join(points, "key"), False, block))
+    heads = placed.groupBy("g").agg(
+        F.min("key").alias("pivot"), F.ceil(F.count("*") / block).cast("bigint").alias("salts")
+    )
+    classes = connected_components(group_links(placed, heads, lambda keys: keys.join(points, "key"), False))
     classes = stored(classes.select(F.col("component").alias("g"), F.col("node").alias("key")), "classes")
-    wanted = bitmap(classes.select("key"))
-    hashes = rows.mapInArrow(_described(None, wanted, False), "key bigint, hashes binary")
-    hashes = hashes.join(classes, "key").groupBy("key").agg(F.first("g").alias("g"), F.first("hashes").alias("hashes"))
-    whole = stored(hashes.join(points, "key"), "hashes")
-    links = group_links(whole, True, block)
+    chosen = sets.where("point is not null").join(classes, "key").groupBy("key").agg(
+        F.first("g").alias("g"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size")
+    )
+    chosen = stored(chosen, "chosen")
+    heads = chosen.groupBy("g").agg(
+        F.min("key").alias("pivot"),
+        F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (block * MEAN))).cast("bigint").alias("salts"),
+    )
+
+    def with_texts(keys: DataFrame) -> DataFrame:
+        wanted = bitmap(keys.select("doc_id").distinct())
+        texts = rows.mapInArrow(_keys(wanted), "doc_id bigint, key bigint, text string")
+        return keys.join(texts, ["doc_id", "key"])
+
+    links = group_links(chosen, heads, with_texts, True)
     # texts under one id
     shared = sets.where("doc_id is not null and key is not null").select("doc_id", "key")
     firsts = shared.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b")
