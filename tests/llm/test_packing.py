@@ -1,6 +1,9 @@
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
+from test_count_tree import plain_components, plain_set
 
 from tickerloom.llm import packing
 
@@ -89,3 +92,42 @@ def test_edited_copies_never_share_a_bin(spark):
     assert sorted(i for found in bins.values() for i in found) == list(range(24))
     assert max(sum(i < 12 for i in found) for found in bins.values()) == 1
     assert len(bins) == 12
+
+
+def test_many_copies_are_packed_in_time():
+    """Empty texts, near copies and ordinary pieces, as many as a shard may hold."""
+    began = time.process_time()
+    n = 80_000
+    found = packing.pack(np.zeros(n, int), np.arange(n), np.zeros(n, int), 2048)
+    assert sorted(found.tolist()) == list(range(n))
+    rng = random.Random(8)
+    lengths = np.array(sorted((rng.randint(0, 120) for _ in range(n)), reverse=True))
+    found = packing.pack(lengths, np.arange(n), np.array([rng.choice([0, 0, 1, k]) for k in range(n)]), 2048)
+    assert len(found) == n and time.process_time() - began < 60
+
+
+def test_clusters_against_all_pairs(spark):
+    """Copies with few and with many edits, pages of one template, short texts."""
+    rng = random.Random(12)
+    texts = []
+    for size in (6, 30, 120, 400):
+        said = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(25):
+            edited = list(said)
+            for _ in range(rng.randint(0, size // 15)):
+                edited[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    frame = " ".join(f"t{i}" for i in range(60))
+    texts += [frame + " " + " ".join(f"p{rng.randrange(10**6)}" for _ in range(65)) for _ in range(200)]
+    texts += ["", "one two", "ONE  two", "one two three"]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    rows = docs.select("doc_id", F.xxhash64("source").alias("source"), "text")
+    schema = "doc_id bigint, source bigint, words bigint, cluster bigint, size bigint, buckets array<bigint>, point binary"
+    described = rows.mapInArrow(packing._described, schema)
+    near = {r.cluster: r.near for r in packing.near_clusters(docs.select("text"), described).collect()}
+    of = {r.doc_id: near.get(r.cluster, r.cluster) for r in described.collect()}
+    want = plain_components([(i, plain_set(t)) for i, t in enumerate(texts)])
+    groups = lambda d: sorted(sorted(i for i in d if d[i] == g) for g in set(d.values()))
+    assert groups(of) == groups(want)
+    bins = packing.packed(docs.where("text like 't0 %'"), capacity=2048).select("bin_id").distinct().count()
+    assert bins == -(-200 * 125 // 2000)
