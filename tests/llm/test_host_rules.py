@@ -69,6 +69,37 @@ def test_one_soft_failure_goes_only_from_a_bad_host(spark):
     assert len(kept) == 3000 + 40 + 1
 
 
+def test_own_excess_and_host_rate_decide_together(spark):
+    """The same excess goes or stays by the host, and every rate has an excess that decides."""
+    plain = " ".join(f"word{i}" for i in range(60))
+
+    def marked(n):  # n of sixty words end with a symbol; the limit is 25
+        return " ".join(f"word{i:02d}{'$' if i < n else ''}" for i in range(60))
+
+    rows = [(i, plain, f"h{i % 10}") for i in range(2000)]
+    # a third of every host fails a little: no host stands out, and what is well beyond goes
+    rows += [(5000 + i, marked(24), f"h{i % 10}") for i in range(1000)]
+    rows += [(9000, marked(40), "h1"), (9001, marked(24), "h2")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    found = {r.doc_id: r for r in host_rules.judge(frame).collect()}
+    assert not found[9000].kept and found[9000].bad_rules == ["symbols"]
+    assert found[9001].kept and found[9001].failures == ["symbols"]
+    # with three hosts, one of them bad
+    rows = [(i, plain, f"h{i % 3}") for i in range(300)] + [(1000 + i, marked(24), "h0") for i in range(400)]
+    frame = spark.createDataFrame([*rows, (9001, marked(24), "h2")], "doc_id int, text string, source string")
+    found = {r.doc_id: r.kept for r in host_rules.judge(frame).collect()}
+    assert not found[1000] and found[9001] and found[0]
+
+
+def test_junk_goes_and_good_stays(spark, sf_dir):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    judged = host_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("not base_failed").collect()
+    kept = {q: sum(r.kept for r in judged if labels.get(r.doc_id) == q) for q in (0, 1)}
+    of = {q: sum(labels.get(r.doc_id) == q for r in judged) for q in (0, 1)}
+    assert kept[1] == of[1] and kept[0] <= 0.1 * of[0]
+    assert any(r.bad_rules for r in judged)
+
+
 def test_stage(spark, both):
     out = host_rules.quality_stage(spark, both, "")
     assert out.columns == both.columns

@@ -3,11 +3,14 @@
 Every document is measured, and soft rules flag what looks wrong with it. Failures are added up
 by host; for each rule a beta prior is fitted to the hosts' failure rates by their first two
 moments, less the spread that counting alone gives, and each host's rate is shrunk to it, so
-that a host with few documents is judged by what is usual and one with many by its own record. A
-host is bad in a rule if its shrunk rate is far above the usual one. The verdicts are joined
-back: a document goes if it fails two soft rules, or a single one in which its host is bad, or
-one so grossly that the host does not matter. A document that fails none stays, wherever it
-comes from.
+that a host with few documents is judged by what is usual and one with many by its own record.
+
+The rates are joined back. A document that fails a rule at ``x`` times its limit is held against
+its host's shrunk rate ``s`` by their posterior: the odds ``s / (1 - s)`` of what such a host brings,
+times ``x ** 8`` for its own excess. At even odds it goes. So a host that fails a rule half of the
+time brings down whatever fails it, a usual host only what is well beyond the limit, and there is a
+deciding excess for every rate. A document also goes if it fails two soft rules, or has twice the
+symbols or capitals allowed. A document that fails none stays, wherever it comes from.
 """
 
 from __future__ import annotations
@@ -18,9 +21,8 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import stored, table, words
 
 MIN_WORDS = 50
-#: A shrunk rate is bad from this many times the usual rate, and from this rate on.
-TIMES_USUAL = 3.0
-LEAST_BAD = 0.2
+#: A host of this shrunk rate is bad in a rule: any failure of it suffices.
+BAD_RATE = 0.5
 #: Bounds of a prior's weight in documents; the upper one also serves hosts without spread.
 PRIOR_WEIGHT = (2.0, 1000.0)
 SYMBOLS = "#*$%&|<>"
@@ -72,18 +74,24 @@ def measured(docs: DataFrame, keep: list[str], text_column: str = "text") -> Dat
     return step.withColumn("n_repeat_words", covered).drop("_p")
 
 
-def _soft_failures() -> dict[str, Column]:
-    """The soft rules over the measures; none fails for a text without words."""
-    w, c = F.col("n_words"), F.col("word_chars")
+def _excess() -> dict[str, Column]:
+    """How many times its limit a text has, by rule; over 1 it fails. NULL where nothing is measured."""
+    w, c, n = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
     return {
-        "symbols": 100 * F.col("n_symbols") > 6 * c,
-        "capitals": 10 * F.col("n_capitals") > 3 * c,
-        "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-        "repeats": 4 * F.col("n_repeat_words") > w,
-        "word_length": (w > 0) & ((c < 2 * w) | (c > 15 * w)),
+        "symbols": F.try_divide(100 * F.col("n_symbols"), 6 * c),
+        "capitals": F.try_divide(10 * F.col("n_capitals"), 3 * c),
+        "dup_lines": F.try_divide(10 * F.col("n_dup_lines"), 3 * n),
+        "repeats": F.try_divide(4 * F.col("n_repeat_words"), w),
+        "word_length": F.greatest(F.try_divide(2 * w, c), F.try_divide(c, 15 * w)),
     }
 
 
+def _outweighs(x: Column, rate: Column) -> Column:
+    """Whether a failure at ``x`` times the limit is junk at even odds, from a host of that rate."""
+    four = (x * x) * (x * x)
+    return rate * (four * four) >= 1 - rate
+
+
 def _gross() -> Column:
     """Twice the limit of symbols or capitals."""
     c = F.col("word_chars")
@@ -91,7 +99,9 @@ def _gross() -> Column:
 
 
 def host_verdicts(flagged: DataFrame) -> DataFrame:
-    """``(host, bad_rules)`` from ``flagged(host, failures)``; both are arrays of rule names.
+    """``(host, rates, bad_rules)`` from ``flagged(host, failures)``, an array of rule names.
+
+    ``rates`` has the shrunk rate of each rule, ``bad_rules`` the names of those that are bad.
 
     Hosts are aggregated before the shuffle, so a host with a third of all documents costs one
     row per task. The priors have one row for each rule.
@@ -117,11 +127,13 @@ def host_verdicts(flagged: DataFrame) -> DataFrame:
     weight = F.when(spread > 0, even / spread - 1).otherwise(high)
     prior = moments.select("rule", "m", F.least(F.greatest(weight, F.lit(low)), F.lit(high)).alias("k"))
     shrunk = (F.col("failed") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))
-    bad = shrunk >= F.greatest(TIMES_USUAL * F.col("m"), F.lit(LEAST_BAD))
     return (
         by_rule.join(F.broadcast(prior), "rule")  # one row a rule
         .groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.when(bad, F.col("rule")))).alias("bad_rules"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("rule", shrunk.alias("rate")))).alias("rates"),
+            F.array_sort(F.collect_list(F.when(shrunk >= BAD_RATE, F.col("rule")))).alias("bad_rules"),
+        )
     )
 
 
@@ -133,6 +145,8 @@ def judge(
 ) -> DataFrame:
     """One row per row of ``docs``: id, measures, ``failures``, ``bad_rules``, ``kept``.
 
+    ``bad_rules`` are the failed rules in which the document goes for its host's rate and its excess.
+
     NULL texts count as empty and fail the base rules, as do all texts under 50 words. A NULL
     host is a host of its own. Repeated rows are judged each. Other columns are not read.
     """
@@ -141,20 +155,27 @@ def judge(
         F.col(text_column).alias("text"),
         F.col(host_column).cast("string").alias("host"),
     )
-    soft = _soft_failures()
-    failures = F.array_compact(F.array(*(F.when(soft[r], F.lit(r)) for r in RULES)))
+    excess = _excess()
+    failed = F.array_compact(
+        F.array(*(F.when(excess[r] > 1, F.struct(F.lit(r).alias("rule"), excess[r].alias("x"))) for r in RULES))
+    )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     facts = stored(
-        measured(named, ["doc_id", "host"]).withColumns({"base_failed": base, "failures": failures}),
+        measured(named, ["doc_id", "host"]).withColumns(
+            {"base_failed": base, "failed": failed, "failures": F.transform(failed, lambda f: f["rule"])}
+        ),
         "measures",
     )
-    verdicts = host_verdicts(facts.select("host", "failures")).withColumnRenamed("host", "_host")
+    verdicts = host_verdicts(facts.select("host", "failures")).select(F.col("host").alias("_host"), "rates")
     joined = facts.join(verdicts, facts.host.eqNullSafe(F.col("_host")), "left").drop("_host")
-    worst = (F.size("failures") >= 2) | F.arrays_overlap("failures", "bad_rules") | _gross()
+    junk = F.filter("failed", lambda f: _outweighs(f["x"], F.try_element_at(F.col("rates"), f["rule"])))
+    joined = joined.withColumn("bad_rules", F.transform(junk, lambda f: f["rule"])).drop("failed", "rates")
+    worst = (F.size("failures") >= 2) | (F.size("bad_rules") > 0) | _gross()
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(worst, F.lit(False)))
 
 
 def op3_host_quality_rules(spark, sf_dir):
+    """Every document's measures, its failed rules and whether it is kept."""
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "host", "n_lines", "n_capitals",
@@ -201,16 +222,17 @@ measured AS (
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM split s LEFT JOIN covered c USING (row_id)),
-flagged AS (
+limits AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         list_filter([
-           CASE WHEN 100 * n_symbols > 6 * word_chars THEN 'symbols' END,
-           CASE WHEN 10 * n_capitals > 3 * word_chars THEN 'capitals' END,
-           CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 'dup_lines' END,
-           CASE WHEN 4 * n_repeat_words > n_words THEN 'repeats' END,
-           CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)
-                THEN 'word_length' END], lambda f: f IS NOT NULL) AS failed
+         [{'rule': 'symbols', 'x': (100 * n_symbols)::DOUBLE / nullif(6 * word_chars, 0)::DOUBLE},
+          {'rule': 'capitals', 'x': (10 * n_capitals)::DOUBLE / nullif(3 * word_chars, 0)::DOUBLE},
+          {'rule': 'dup_lines', 'x': (10 * n_dup_lines)::DOUBLE / nullif(3 * n_lines, 0)::DOUBLE},
+          {'rule': 'repeats', 'x': (4 * n_repeat_words)::DOUBLE / nullif(n_words, 0)::DOUBLE},
+          {'rule': 'word_length', 'x': greatest((2 * n_words)::DOUBLE / nullif(word_chars, 0)::DOUBLE,
+             word_chars::DOUBLE / nullif(15 * n_words, 0)::DOUBLE)}] AS excess
   FROM measured),
+flagged AS (
+  SELECT *, list_transform(list_filter(excess, lambda e: e.x > 1), lambda e: e.rule) AS failed FROM limits),
 hosts AS (
   SELECT host, count(*)::DOUBLE AS n, r.rule,
          sum(CASE WHEN list_contains(failed, r.rule) THEN 1 ELSE 0 END)::DOUBLE AS f
@@ -223,14 +245,20 @@ priors AS (
   FROM (SELECT rule, avg(f / n) AS m,
                var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS spread
         FROM hosts GROUP BY rule)),
+rates AS (SELECT host, rule, (f + m * k) / (n + k) AS s FROM hosts JOIN priors USING (rule)),
+-- the place in the list keeps the order of the rules
+failures AS (
+  SELECT row_id, host, place, excess[place].rule AS rule, excess[place].x AS x
+  FROM (SELECT row_id, host, excess, unnest([1, 2, 3, 4, 5]) AS place FROM flagged)
+  WHERE excess[place].x > 1),
 verdicts AS (
-  SELECT host, list(rule ORDER BY rule) FILTER ((f + m * k) / (n + k) >= greatest(3 * m, 0.2))
-           AS bad
-  FROM hosts JOIN priors USING (rule) GROUP BY host)
+  SELECT row_id, string_agg(f.rule, ',' ORDER BY place) AS bad
+  FROM failures f JOIN rates r ON r.host IS NOT DISTINCT FROM f.host AND r.rule = f.rule
+  WHERE s * (((x * x) * (x * x)) * ((x * x) * (x * x))) >= 1 - s
+  GROUP BY row_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (len(failed) > 1 OR coalesce(list_has_any(failed, bad), false)
+       NOT base_failed AND NOT (len(failed) > 1 OR bad IS NOT NULL
          OR 100 * n_symbols > 12 * word_chars OR 10 * n_capitals > 6 * word_chars) AS kept,
-       f.host, n_lines, n_capitals, array_to_string(failed, ',') AS failures,
-       coalesce(array_to_string(bad, ','), '') AS bad_rules
-FROM flagged f LEFT JOIN verdicts v ON f.host IS NOT DISTINCT FROM v.host
+       host, n_lines, n_capitals, array_to_string(failed, ',') AS failures, coalesce(bad, '') AS bad_rules
+FROM flagged LEFT JOIN verdicts USING (row_id)
 """
