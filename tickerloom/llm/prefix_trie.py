@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import crc_fold, stored, table, words
+from tickerloom.llm.common import crc_fold, numbered, stored, table, words
 
 PRIME = (1 << 127) - 1
 BASE = 0x3C6EF372FE94F82BA54FF53A5F1D36F1
@@ -43,27 +43,6 @@ def _label(role: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows(conv_id, turn, label, size)`` with their ``place`` in the conversation, from 0.
-
-    A range-partitioned sort is written; places are counted inside its partitions and shifted by
-    one number a partition, so that no task needs a whole conversation.
-    """
-    order = ["conv_id", "turn", "label"]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    spread = stored(spread.withColumns({"part": F.spark_partition_id(), "at": inside}), "turns")
-    counts = sorted(spread.groupBy("part").agg(F.max("at")).collect())  # a row a partition
-    before, shifts = 0, []
-    for part, last in counts:
-        shifts += [0] * (part - len(shifts)) + [before]
-        before += last + 1
-    shift = F.lit(shifts).cast("array<bigint>") if shifts else F.array(F.lit(0).cast("bigint"))
-    placed = spread.withColumn("at", F.col("at") + F.get(shift, F.col("part")))
-    first = placed.groupBy("conv_id").agg(F.min("at").alias("first"))
-    return placed.join(first, "conv_id").select(*order, "size", (F.col("at") - F.col("first")).alias("place"))
-
-
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All ``conv_id`` and the rows ``(conv_id, d, label, size)`` of the rebuilt conversations."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
@@ -73,7 +52,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         _label(role, text).alias("label"),
         F.size(words(text)).cast("bigint").alias("size"),
     )
-    placed = stored(numbered(rows), "places")
+    placed = stored(numbered(rows, "conv_id", ["turn", "label"]), "places")
     wants = crc_fold(F.col("conv_id"), OPENING).cast("bigint")
     given = placed.where(F.col("place") < OPENING - 1).select(
         F.col("conv_id").alias("giver"), "place", F.col("label").alias("given"), F.col("size").alias("given_size")
