@@ -571,3 +571,26 @@ WITH {OLD_STORE}
 SELECT * FROM stored WHERE ticker NOT IN (SELECT ticker FROM listing)""",
 }
 ORACLES["refresh_incremental"] = ORACLES["universe_refresh"]
+# The same rows by another way.
+ORACLES["facts_variant"] = ORACLES["facts_flatten"]
+ORACLES["faults_variant"] = ORACLES["facts_unparsed"]
+ORACLES["run_counts_written"] = ORACLES["run_counts"]
+ORACLES["snapshot_bucketed"] = ORACLES["snapshot"]
+
+ORDERS = {
+    "normal": "coalesce(pct_below_ci, 0) DESC",
+    "rsi": "coalesce(rsi, 0) DESC",
+    "bm": "coalesce(nullif(bm, 0), -999) DESC",
+    "op": "coalesce(nullif(op, 0), -999) DESC",
+    "inv": "coalesce(inv, 999) ASC",
+    "beta": "coalesce(beta, 999) ASC",
+    "mcap": "coalesce(mcap, 999) ASC",
+}
+PAGES = " UNION ALL ".join(
+    f"(SELECT '{choice}' AS choice, ticker, seq FROM numbered ORDER BY {order}, seq LIMIT 3 OFFSET 6)"
+    for choice, order in ORDERS.items()
+)
+ORACLES["pages_by_key"] = f"""
+WITH {SNAPSHOT},
+numbered AS (SELECT *, {SEQ} AS seq FROM snap)
+SELECT * FROM ({PAGES})"""

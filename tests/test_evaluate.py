@@ -155,3 +155,12 @@ def test_coverage(spark, table, universe):
     assert missing == {"STALE", "OLD", "NONE"}
     counts = {r["covered"]: r["n_tickers"] for r in ev.coverage_counts(covered).collect()}
     assert counts == {True: 6, False: 3}
+
+
+def test_counts_come_from_the_write_itself(spark, evaluated, tmp_path):
+    counts = ev.write_counted(evaluated, f"{tmp_path}/rows")
+    want = {r.outcome: r.n_tickers for r in ev.run_counts(evaluated).collect()}
+    assert counts == want and sum(counts.values()) == len(UNIVERSE)
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, evaluated.collect()))
+    assert ev.write_counted(evaluated.where("false"), f"{tmp_path}/none") == {}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.moments import moment_literal
 from tickerloom.operators import accounting, evaluate as ev, indicators, resample
 from tickerloom.plans.queries import QUERIES
+from tickerloom.sources.bars import write_bucketed_bars
 
 
 def plan_of(frame, spark):
@@ -126,3 +127,20 @@ def test_no_query_runs_python_or_pairs_everything(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir), spark)
     for operator in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):
         assert operator not in plan
+
+
+def test_bucketed_bars_are_not_shuffled(spark, tables):
+    name = "bucketed_bars_of_a_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    write_bucketed_bars(tables["bars"], name, 4)
+    try:
+        bars = spark.table(name)
+        universe = bars.select("ticker").distinct()
+        frame = ev.evaluate(bars, AS_OF, universe=universe, market_bars=tables["bars"], complete=False)
+        plan = plan_of(frame, spark)
+        assert "Bucketed: true" in plan
+        main = plan.split("BroadcastExchange")[0]
+        assert not exchanges(main)
+        assert not [line for line in plan_of(indicators.rsi_series(bars), spark).splitlines() if "Exchange" in line]
+    finally:
+        spark.sql(f"DROP TABLE {name}")

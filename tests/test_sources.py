@@ -256,3 +256,21 @@ def test_merge_may_empty_a_month_or_do_nothing(spark, tmp_path):
     assert bar_source.merge_bars(spark, path, frame.where("false")) == []
     assert bar_source.merge_bars(spark, path, frame) == ["2024-01"]
     assert merged_rows(spark, path) == {k: v for k, v in expected.items() if k[1].month != 1}
+
+
+def test_facts_and_faults_from_one_parse(spark):
+    entry = '{"end":"2023-12-31","filed":"2024-02-01","form":"10-K","val":%s}'
+    gaap = '{"us-gaap":{"Assets":{"units":{"USD":[' + entry % "1.5" + "," + entry % "2" + ']}},"Empty":{"units":{}}},"dei":{"X":{"units":{"pure":[' + entry % "null" + "]}}}}"
+    documents = [
+        ("a", '{"cik":7,"facts":' + gaap + "}"), ("CIK0000000012.json", '{"facts":' + gaap + "}"), ("c", '{"facts":' + gaap + "}"),
+        ("d", '{"cik":"9","facts":{}}'), ("e", '{"cik":9}'), ("f", ""), ("g", None), ("h", '{"cik":7,"facts":' + gaap[:-9]),
+        ("i", '{"cik":7,"facts":[1,2]}'), ("j", '[]'), ("k", '{"cik":7,"facts":null}'),
+    ]
+    frame = spark.createDataFrame(documents, "doc STRING, json STRING")
+    found = filings.facts_and_faults(frame).collect()
+    facts = sorted((r.doc, r.cik or "", r.concept, r.unit, r.pos, r.end, r.filed, r.form, r.val or 0) for r in found if r.pos is not None)
+    plain = filings.flatten_facts(frame.where("doc in ('a', 'CIK0000000012.json', 'c')"), keep=("doc",)).collect()
+    assert facts == sorted((r.doc, r.cik or "", r.concept, r.unit, r.pos, r.end, r.filed, r.form, r.val or 0) for r in plain)
+    faults = {(r.doc, r.reason) for r in found if r.reason}
+    want = {(r.doc, r.reason) for r in filings.unparsed_documents(frame.where("doc not in ('i', 'j')")).collect()}
+    assert faults - {("i", "no_facts"), ("j", "no_facts")} == want and len(faults) == len(want) + 2

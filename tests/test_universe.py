@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -235,3 +236,40 @@ def test_vacuum_keeps_the_latest(spark, tmp_path):
     assert set(values(store.load("u1", 2))) == {"B"} and set(values(store.load("u1"))) == {"C"}
     with pytest.raises(ValueError):
         store.vacuum("u1", keep=0)
+
+
+def test_pages_follow_each_other_by_key(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [
+        (f"T{i}", rng.choice([None, 0.0, -0.0, 1.5, 2.0]), rng.choice([0, 30, None, 70]), rng.choice([None, 0.0, 0.2]),
+         0.1, rng.choice([None, 0.1, -0.1]), 1.0, rng.choice([None, 3000.0, 5.0]), i * 3)
+        for i in range(60)
+    ]
+    schema = "ticker STRING, pct_below_ci DOUBLE, rsi INT, bm DOUBLE, op DOUBLE, inv DOUBLE, beta DOUBLE, mcap DOUBLE, seq BIGINT"
+    table = spark.createDataFrame(rows, schema)
+    for choice in ordering.SORT_CHOICES:
+        ordering.write_pages(table, f"{tmp_path}/{choice}", choice)
+        pages = spark.read.parquet(f"{tmp_path}/{choice}")
+        whole = [r.ticker for r in ordering.sort_rows(table, choice).collect()]
+        found, after = [], None
+        while True:
+            page = ordering.page_after(pages, choice, 7, after)
+            taken = [r.ticker for r in page.collect()]
+            if not taken:
+                break
+            found += taken
+            after = ordering.last_of(page, choice)
+        assert found == whole
+        assert ordering.last_of(ordering.page_after(pages, choice, 7, after), choice) is None
+
+
+def test_a_pages_key_reaches_the_files(spark, tmp_path):
+    table = spark.range(50).selectExpr(
+        "concat('T', id) as ticker", "cast(id as double) as pct_below_ci", "50 as rsi", "0.5D as bm", "0.1D as op",
+        "0.1D as inv", "1D as beta", "5D as mcap", "id as seq",
+    )
+    ordering.write_pages(table, f"{tmp_path}/pages")
+    page = ordering.page_after(spark.read.parquet(f"{tmp_path}/pages"), "normal", 5, (-30.0, 30))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key_normal,-30.0)" in plan and "TakeOrderedAndProject" in plan
+    assert [r.ticker for r in page.collect()] == [f"T{i}" for i in range(29, 24, -1)]

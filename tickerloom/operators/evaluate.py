@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickerloom.functions.moments import in_lookback
@@ -161,6 +161,23 @@ def run_counts(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy(outcome).agg(F.count("*").alias("n_tickers"))
 
 
+#: Every outcome an evaluated ticker can have.
+OUTCOMES = [ACCEPTED, NO_BARS, PENNY, NO_PRICE, RSI_UNDEFINED, RSI_ZERO]
+
+
+def write_counted(evaluated: DataFrame, path: str, mode: str = "error") -> dict[str, int]:
+    """Store an evaluation and return its ``run_counts``, gathered by the tasks that write it.
+
+    Nothing is read or computed again for the counts. They are taken in the job's last stage, where
+    Spark counts each partition once, however often a task was tried.
+    """
+    outcome = F.coalesce("reason", F.lit(ACCEPTED))
+    counts = Observation("run_counts")
+    counted = evaluated.observe(counts, *(F.count_if(outcome == name).alias(name) for name in OUTCOMES))
+    counted.write.mode(mode).parquet(path)
+    return {name: n for name, n in counts.get.items() if n}
+
+
 def lookup(evaluated: DataFrame) -> DataFrame:
     """Answer to single-ticker requests: status plus the row, empty unless ok.
 

@@ -77,3 +77,50 @@ def numbered(rows: DataFrame, choice: str = "normal") -> DataFrame:
         .withColumn("pos", place)
         .drop("_part", "_row", "_offset")
     )
+
+
+def sort_key_column(choice: str) -> str:
+    return f"key_{choice}"
+
+
+def with_sort_keys(rows: DataFrame) -> DataFrame:
+    """Rows that can be listed, with a column for each order that ascends as the order goes."""
+    keys = {}
+    for choice in SORT_CHOICES:
+        key, descending = sort_key(choice)
+        # a negative zero would be told apart from zero by nothing but its sign
+        keys[sort_key_column(choice)] = (-key if descending else key) + F.lit(0.0)
+    return listable(rows).withColumns(keys)
+
+
+def write_pages(rows: DataFrame, path: str, choice: str = "normal", mode: str = "error") -> None:
+    """Store a universe clustered by an order, so that the files of a page are found by its key.
+
+    Ranges are of the order's key and ``seq``, which no two rows share, so equal keys split too.
+    """
+    order = [sort_key_column(choice), "seq"]
+    sorted_rows = with_sort_keys(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows.write.mode(mode).parquet(path)
+
+
+def page_after(
+    pages: DataFrame, choice: str, size: int, after: tuple[float, int] | None = None
+) -> DataFrame:
+    """The next ``size`` rows of an order behind the row with key and ``seq`` of ``after``.
+
+    ``pages`` is what ``write_pages`` stored, or any rows ``with_sort_keys``. A page is found by
+    its key and not by counting the rows before it: the condition reaches the files, whose
+    statistics leave out those of earlier pages, and rows that come or go before it move nothing.
+    """
+    key = F.col(sort_key_column(choice))
+    if after is not None:
+        value, seq = F.lit(float(after[0])), F.lit(after[1])
+        pages = pages.where((key >= value) & ((key > value) | (F.col("seq") > seq)))
+    return pages.orderBy(key, "seq").limit(size)
+
+
+def last_of(page: DataFrame, choice: str) -> tuple[float, int] | None:
+    """What ``page_after`` wants for the page behind this one; None behind an empty page."""
+    key = sort_key_column(choice)
+    row = page.agg(F.max(F.struct(key, "seq")).alias("last")).first()["last"]
+    return None if row is None else (row[0], row[1])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,9 @@ RSI_DATE = datetime(2001, 10, 15)
 HISTORY = [datetime(1997, 3, 31), datetime(1998, 9, 1), datetime(2000, 6, 30), AS_OF]
 SEQ_BASE = 1 << 32
 TOP_K = 25
+#: Rows of a page, and buckets of the bucketed bars.
+PAGE = 3
+BUCKETS = 8
 
 
 def r9(value: Column | str) -> Column:
@@ -140,6 +144,18 @@ def facts_flatten(spark, sf_dir):
     return filings.flatten_facts(views.fact_documents(spark, sf_dir), keep=("doc",))
 
 
+def facts_variant(spark, sf_dir):
+    """The same facts by way of VARIANT."""
+    found = filings.facts_and_faults(views.fact_documents(spark, sf_dir))
+    return found.where("pos is not null").drop("reason")
+
+
+def faults_variant(spark, sf_dir):
+    """The documents without facts, from the parse that gives the facts of the others."""
+    found = filings.facts_and_faults(views.damaged_documents(spark, sf_dir))
+    return found.where("reason is not null").select("doc", "reason").distinct()
+
+
 def facts_unparsed(spark, sf_dir):
     """Filings cut short, emptied or without facts for some orders."""
     return filings.unparsed_documents(views.damaged_documents(spark, sf_dir))
@@ -407,6 +423,27 @@ def run_counts(spark, sf_dir):
     return ev.run_counts(evaluated(spark, sf_dir))
 
 
+def run_counts_written(spark, sf_dir):
+    """Counts gathered while the evaluation was stored."""
+    counts = ev.write_counted(evaluated(spark, sf_dir), f"{_folder(spark, 'evaluated')}/rows")
+    rows = F.array(*(F.struct(F.lit(name).alias("outcome"), F.lit(n).cast("bigint").alias("n_tickers")) for name, n in counts.items()))
+    return spark.range(1).select(F.explode(rows).alias("row")).select("row.*")
+
+
+def snapshot_bucketed(spark, sf_dir):
+    """The snapshot from a table of bars bucketed by ticker."""
+    suppliers = views.supplier_bars(spark, sf_dir)
+    market = views.market_bars(spark, sf_dir, suppliers)
+    name = f"bars_{uuid4().hex}"
+    bar_source.write_bucketed_bars(suppliers.unionByName(market), name, BUCKETS)
+    return ev.snapshot(
+        ev.evaluate(
+            spark.table(name), AS_OF, facts=views.facts(spark, sf_dir), cik_map=views.cik_map(spark, sf_dir),
+            universe=views.universe(spark, sf_dir), params=PARAMS,
+        )
+    )
+
+
 def ticker_lookup(spark, sf_dir):
     """A request per supplier, typed in lower case with blanks, and unknown tickers."""
     typed = views.listing(spark, sf_dir).select(
@@ -442,6 +479,23 @@ def sort_query(choice):
     return query
 
 
+def pages_by_key(spark, sf_dir):
+    """The third page of every order, each found by the last row of the page before."""
+    root = _folder(spark, "pages")
+    rows = stored_rows(spark, sf_dir)
+    taken = []
+    for choice in ordering.SORT_CHOICES:
+        path = f"{root}/{choice}"
+        ordering.write_pages(rows if not taken else spark.read.parquet(f"{root}/normal"), path, choice)
+        pages = spark.read.parquet(path)
+        after = None
+        for _ in range(2):
+            after = ordering.last_of(ordering.page_after(pages, choice, PAGE, after), choice) or after
+        page = ordering.page_after(pages, choice, PAGE, after)
+        taken.append(page.select(F.lit(choice).alias("choice"), "ticker", "seq"))
+    return reduce(DataFrame.unionByName, taken)
+
+
 def topk_ci(spark, sf_dir):
     return ordering.top_rows(stored_rows(spark, sf_dir), TOP_K)
 
@@ -607,6 +661,8 @@ QUERIES: dict[str, Query] = {
     "cik_dim": cik_dim,
     "facts_flatten": facts_flatten,
     "facts_named": facts_named,
+    "facts_variant": facts_variant,
+    "faults_variant": faults_variant,
     "facts_unparsed": facts_unparsed,
     "names_normalized": names_normalized,
     "close_diff": close_diff,
@@ -645,6 +701,8 @@ QUERIES: dict[str, Query] = {
     "snapshot_as_of": snapshot_as_of,
     "snapshot_rejects": snapshot_rejects,
     "run_counts": run_counts,
+    "run_counts_written": run_counts_written,
+    "snapshot_bucketed": snapshot_bucketed,
     "ticker_lookup": ticker_lookup,
     "coverage_report": coverage_report,
     "coverage_counts": coverage_counts,
@@ -655,6 +713,7 @@ QUERIES: dict[str, Query] = {
     "sort_inv": sort_query("inv"),
     "sort_beta": sort_query("beta"),
     "sort_mcap": sort_query("mcap"),
+    "pages_by_key": pages_by_key,
     "topk_ci": topk_ci,
     "screen_targets": screen_targets,
     "screen_value": screen_value,

@@ -117,6 +117,48 @@ def unparsed_documents(documents: DataFrame) -> DataFrame:
     return parsed.select("doc", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def facts_and_faults(documents: DataFrame) -> DataFrame:
+    """Facts as ``flatten_facts`` gives them, and the documents without any, from one parse.
+
+    Columns are ``doc``, those of the facts, and ``reason``, which is NULL in facts and, in a row
+    without a fact, says why its document has none. Documents become VARIANT values once, which are
+    then taken apart level by level; nothing about taxonomies, concepts or units need be known.
+    """
+    spark = documents.sparkSession
+    tvf = spark.tvf
+    parsed = documents.select("doc", "json", F.try_parse_json("json").alias("v"))
+    named = F.nullif(F.regexp_extract(F.col("doc").cast("string"), FILE_NAME, 1), F.lit(""))
+    opened = parsed.select(
+        "doc",
+        pad_cik(F.coalesce(F.try_variant_get("v", "$.cik", "string"), named)).alias("cik"),
+        F.try_variant_get("v", "$.facts", "variant").alias("facts"),
+        F.when(F.coalesce(F.trim("json"), F.lit("")) == "", "empty")
+        .when(F.col("v").isNull(), "malformed")
+        .when(F.try_variant_get("v", "$.facts", "map<string, variant>").isNull(), "no_facts")
+        .alias("fault"),
+    )
+    faults = F.coalesce("fault", F.when(F.col("cik").isNull(), "no_cik"))
+    opened = opened.withColumn("reason", faults)
+
+    def taken_apart(rows: DataFrame, value: str, names: list[str], outer: bool = False) -> DataFrame:
+        apart = tvf.variant_explode_outer if outer else tvf.variant_explode
+        found = apart(F.col(value).outer())
+        return rows.lateralJoin(found.toDF(*names))
+
+    # a faulty document keeps one row, without a fact
+    readable = F.when(F.col("reason").isNull() | (F.col("reason") == "no_cik"), F.col("facts"))
+    rows = taken_apart(opened.withColumn("facts", readable), "facts", ["p1", "taxonomy", "concepts"], outer=True)
+    rows = taken_apart(rows, "concepts", ["p2", "concept", "body"], outer=True)
+    rows = rows.withColumn("units", F.try_variant_get("body", "$.units", "variant"))
+    rows = taken_apart(rows, "units", ["p3", "unit", "entries"], outer=True)
+    rows = taken_apart(rows, "entries", ["pos", "k", "entry"], outer=True)
+    text = lambda name: F.try_variant_get("entry", f"$.{name}", "string").alias(name)
+    return rows.select(
+        "doc", "cik", "taxonomy", "concept", "unit", F.col("pos").cast("bigint").alias("pos"),
+        text("end"), text("filed"), text("form"), F.try_variant_get("entry", "$.val", "double").alias("val"), "reason",
+    ).where(F.col("pos").isNotNull() | F.col("reason").isNotNull())
+
+
 def write_facts(facts: DataFrame, path: str, mode: str = "error") -> None:
     """Store facts sorted by company, so that file statistics prune to the companies read.
 
