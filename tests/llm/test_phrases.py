@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.llm import phrases
+from tickerloom.llm.hashing import Powers
 
 
 def pieces(text):
@@ -58,26 +59,27 @@ def test_any_period_counts_alike(both, period):
 
 
 def test_chunks_overlap_by_their_trigger_and_give_back_the_text():
-    known = phrases.Hashes()
-    text = b"a b c d e f g h i j k l, m n o. p; q r s t u v w x y z a b c d e f g"
-    chunks, goes_on = phrases.parse(text, known, 3)
-    said, joined = [], False
-    for chunk, more in zip(chunks, goes_on, strict=True):
-        words = chunk.split()
+    text = b"A b  c\td e f g h i j k l , m n o. p;; q r s t u v w x y z a b c d e f g"
+    chunks, of = phrases.parse([b"", text, b" . ", b"one", text], Powers(), 3)
+    assert set(of.tolist()) == {1, 3, 4}
+    said, joined, opened = {}, False, 0
+    for chunk, i in zip(chunks.to_pylist(), of.tolist(), strict=True):
+        words = chunk[:-1].split(" ")
         if joined:
-            assert said[-1][-2:] == words[:2]
-            said[-1] += words[2:]
+            assert said[i][-1][-2:] == words[:2]
+            said[i][-1] += words[2:]
         else:
-            said.append(words)
-        joined = more
-    assert said == [w for x in re.split(b"[.,;]", text) if (w := x.split())]
-    assert any(goes_on)
+            said.setdefault(i, []).append(words)
+        joined = chunk[-1] == chr(phrases.OPEN)
+        opened += joined
+    want = [w for x in re.split("[.,;]", text.decode().lower()) if (w := x.split())]
+    assert said == {1: want, 3: [["one"]], 4: want} and opened
 
 
 def test_counts_beyond_64_bits(spark):
-    rows = [("en", "x y", 3_000_000_000), ("en", "z x", 1), ("en", "y z", 5)]
-    chunks = spark.createDataFrame(rows, "lang string, chunk string, n bigint").withColumn("goes_on", F.lit(False))
-    grams = phrases.frequent_ngrams(chunks.select("lang", "chunk", "goes_on", "n"))
+    rows = [("en", "x y\n", 3_000_000_000), ("en", "z x\n", 1), ("en", "y z\n", 5)]
+    chunks = spark.createDataFrame(rows, "lang string, chunk string, n bigint")
+    grams = phrases.frequent_ngrams(chunks)
     assert {(r.phrase, r.n) for r in grams.collect()} == {("x", 3_000_000_001), ("y", 3_000_000_005), ("x y", 3_000_000_000)}
 
 

@@ -14,7 +14,7 @@ exactly, of n-grams that are not ruled out: pairs by their own bit, triples by t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.bitmaps import among, bitmap
 from tickerloom.llm.common import stored, table
+from tickerloom.llm.hashing import C2, Powers, lots, mixed, words_in
 
 LONGEST = 3
 LEAST = 10
@@ -35,205 +36,168 @@ PERIOD = 8
 UNKNOWN = "und"
 #: What ends a piece, turned into line ends; what separates words, turned into spaces.
 PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
-#: Words whose numbers or hashes a task keeps, words that are counted at once, longest word kept.
-KNOWN_WORDS, TOGETHER, KNOWN_LENGTH = 1 << 20, 1_500_000, 64
-C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Last byte of a chunk that ends its piece, and of one that goes on in the next.
+CLOSED, OPEN = 10, 9
+#: Bytes of chunks that are counted at once.
+TOGETHER = 12_000_000
+#: Bits of the bitmap for each n-gram that is often enough.
+SPARSE = 64
 
 
-class Hashes(dict):
-    """Hashes of words, with a bounded memory of short ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= KNOWN_LENGTH:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(first) * C2 + second)
 
-class Numbers(dict):
-    """Words of one language, each with a number common to all languages of a run."""
 
-    def __init__(self, lang: str, listed: list[bytes], hashes: list[int]) -> None:
-        super().__init__()
-        self.seed, self.listed, self.hashes = xxhash.xxh64_intdigest(lang), listed, hashes
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some spans one after another, and their offsets."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)], offsets
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.listed)
-        self.listed.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
-        return number
 
+def _array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.StringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2])
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        values = (values ^ (values >> np.uint64(32))) * C1
-        return values ^ (values >> np.uint64(29))
 
+def parse(texts: list[bytes], powers: Powers, period: int = PERIOD) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of some texts, and the text of each.
 
-def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of word hashes."""
-    with np.errstate(over="ignore"):
-        return _mixed(_mixed(first) * C2 + second)
-
-
-def parse(text: bytes, known: Hashes, period: int = PERIOD) -> tuple[list[bytes], list[bool]]:
-    """The chunks of a text, and whether each goes on in the next one of its piece."""
-    chunks: list[bytes] = []
-    goes_on: list[bool] = []
-    pieces = [said for piece in text.lower().translate(PIECES).split(b"\n") if (said := piece.split())]
-    flat = [word for said in pieces for word in said]
-    hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-    ends = (np.flatnonzero(_pairs(hashes[:-1], hashes[1:]) % np.uint64(period) == 0) + 1).tolist() if len(flat) > 1 else []
-    at = k = 0
-    for said in pieces:
-        begin, stop = at, at + len(said)
-        while k < len(ends) and ends[k] < stop - 1:
-            if ends[k] > at:  # both words are this piece's, and another follows
-                chunks.append(b" ".join(flat[begin : ends[k] + 1]))
-                goes_on.append(True)
-                begin = ends[k] - 1
-            k += 1
-        chunks.append(b" ".join(flat[begin:stop]))
-        goes_on.append(False)
-        at = stop
-        while k < len(ends) and ends[k] <= at:
-            k += 1
-    return chunks, goes_on
+    Words stand with one space between them. The last byte tells how a chunk ends: with its piece
+    (``CLOSED``) or with a trigger, whose two words the next chunk begins with (``OPEN``).
+    """
+    data = np.frombuffer((b"\n" + b"\n".join(texts) + b"\n").lower().translate(PIECES), np.uint8)
+    hashes, starts, ends = words_in(data, powers)
+    if not len(hashes):
+        return pa.array([], pa.string()), np.empty(0, np.int64)
+    lines = np.cumsum(data == CLOSED)
+    last = np.concatenate([lines[starts[1:]] != lines[ends[:-1] - 1], [True]])
+    trigger = (_pairs(hashes[:-1], hashes[1:]) % np.uint64(period) == 0) & ~last[:-1] & ~last[1:]
+    at = np.flatnonzero(trigger) + 1
+    begin = np.sort(np.concatenate([[0], np.flatnonzero(last[:-1]) + 1, at - 1]))
+    end = np.sort(np.concatenate([np.flatnonzero(last), at]))
+    # words with the one byte after each
+    spaced, offsets = _strings(data, starts, ends + 1)
+    spaced[offsets[1:] - 1] = ord(" ")
+    chunks, bounds = _strings(spaced, offsets[begin], offsets[end + 1])
+    chunks[bounds[1:] - 1] = np.where(last[end], CLOSED, OPEN)
+    texts_at = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return _array(chunks, bounds), np.searchsorted(texts_at, starts[begin], "right") - 1
 
 
 def _parsed(period: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        powers = Powers()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                langs, chunks, flags = [], [], []
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    found, goes_on = parse(text, known, period)
-                    langs += [lang] * len(found)
-                    chunks += found
-                    flags += goes_on
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(flags, pa.bool_())],
-                    names=["lang", "chunk", "goes_on"],
-                )
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                for start, stop in lots(texts):
+                    chunks, of = parse(texts[start:stop], powers, period)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + start)), chunks], names=["lang", "chunk"])
 
     return run
 
 
-class Held:
-    """Distinct chunks waiting to be counted: numbers of their words, and the weight of each place."""
-
-    def __init__(self) -> None:
-        self.listed: list[bytes] = []
-        self.hashes: list[int] = []
-        self.by_lang: dict[str, Numbers] = {}
-        self.langs: list[str] = []
-        self.numbers: list[int] = []
-        self.lengths: list[int] = []
-        self.weights: list[int] = []
-        self.open: list[bool] = []
-        self.of: list[int] = []
-
-    def add(self, lang: str, chunk: bytes, goes_on: bool, n: int) -> None:
-        if lang not in self.by_lang:
-            self.by_lang[lang] = Numbers(lang, self.listed, self.hashes)
-            self.langs.append(lang)
-        said = chunk.split(b" ")
-        self.numbers.extend(map(self.by_lang[lang].__getitem__, said))
-        self.lengths.append(len(said))
-        self.weights.append(n)
-        self.open.append(goes_on)
-
-    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every place: number of its word, weight of n-grams from here, words up to the chunk's end."""
-        lengths = np.array(self.lengths)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(lengths.sum())
-        weights = np.repeat(np.array(self.weights), lengths)
-        weights[(left <= LONGEST - 1) & np.repeat(np.array(self.open), lengths)] = 0
-        return np.array(self.numbers), weights, left
-
-    def word_hashes(self) -> np.ndarray:
-        return np.array(self.hashes, np.uint64)
-
-
-def _weighed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, a place of each, and the sums of their weights."""
-    if not len(keys):
-        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], order[starts], np.add.reduceat(weights, starts)
-
-
-def _runs(count):
-    """Apply ``count`` to bounded lots of rows (lang, chunk, goes_on, n)."""
+class Lot:
+    """Some distinct chunks with the places of their words."""
+
+    def __init__(self, batches: list[pa.RecordBatch], powers: Powers) -> None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        named = rows.column("lang").chunk(0).dictionary_encode()
+        self.langs, lang = named.dictionary, named.indices.to_numpy()
+        chunks = rows.column("chunk").chunk(0)
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+        held = np.frombuffer(chunks.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets.astype(np.int64) - offsets[0] + 1
+        self.data = np.concatenate([[np.uint8(CLOSED)], held])
+        hashes, self.starts, self.ends = words_in(self.data, powers)
+        row = np.searchsorted(offsets, self.starts, "right") - 1
+        self.lang = lang[row]
+        seeds = np.array([xxhash.xxh64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
+        with np.errstate(over="ignore"):
+            #: Hashes of words, told apart by language.
+            self.hashes = mixed(hashes + seeds[self.lang])
+        #: Words from each up to its chunk's end, it included.
+        self.left = np.searchsorted(self.starts, offsets[1:])[row] - np.arange(len(row))
+        #: How often the n-grams that begin here count; not at all in the overlap with the next chunk.
+        goes_on = self.data[offsets[1:] - 1] == OPEN
+        self.weights = rows.column("n").to_numpy()[row]
+        self.weights[(self.left < LONGEST) & goes_on[row]] = 0
+
+
+def _groups(keys: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that has equal keys together, and where in it the groups with equal ``parts`` begin."""
+    order = np.argsort(keys)
+    new = np.zeros(len(keys), bool)
+    new[:1] = True
+    for part in (keys, *parts):
+        part = part[order]
+        new[1:] |= part[1:] != part[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _runs(count: Callable[[Lot], pa.RecordBatch]):
+    """Apply ``count`` to lots of rows (lang, chunk, n) of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
+        powers, held, size = Powers(), [], 0
         for batch in batches:
-            columns = [batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()]
-            for row in zip(*columns, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                held.add(*row)
-                if len(held.numbers) >= TOGETHER:
-                    yield count(held)
-                    held = Held()
-        if held.numbers:
-            yield count(held)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(1).get_total_buffer_size()
+            if size >= TOGETHER:
+                yield count(Lot(held, powers))
+                held, size = [], 0
+        if held:
+            yield count(Lot(held, powers))
 
     return run
 
 
-def _hashed(held: Held) -> pa.RecordBatch:
+def _hashed(lot: Lot) -> pa.RecordBatch:
     """Weights of words and pairs under their hashes."""
-    numbers, weights, left = held.places()
-    hashes = held.word_hashes()[numbers]
-    two = np.flatnonzero((left > 1) & (weights > 0))
-    one = weights > 0
-    keys = np.concatenate([_mixed(hashes[one]), _pairs(hashes[two], hashes[two + 1])])
-    keys, _, sums = _weighed(keys, np.concatenate([weights[one], weights[two]]))
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["hash", "n"])
+    one = np.flatnonzero(lot.weights > 0)
+    two = one[lot.left[one] > 1]
+    keys = np.concatenate([mixed(lot.hashes[one]), _pairs(lot.hashes[two], lot.hashes[two + 1])])
+    order, first = _groups(keys)
+    sums = np.add.reduceat(np.concatenate([lot.weights[one], lot.weights[two]])[order], first) if len(keys) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys[order[first]].view(np.int64)), pa.array(sums)], names=["hash", "n"])
 
 
 def _spelled(often: np.ndarray):
-    def count(held: Held) -> pa.RecordBatch:
+    def count(lot: Lot) -> pa.RecordBatch:
         """Weights of the n-grams that ``often`` does not rule out, as words."""
-        numbers, weights, left = held.places()
-        hashes = held.word_hashes()[numbers]
-        pair = np.zeros(len(numbers), bool)
-        inside = np.flatnonzero(left > 1)
-        pair[inside] = among(often, _pairs(hashes[inside], hashes[inside + 1]))
-        home = np.empty(len(held.listed), np.int64)
-        for i, lang in enumerate(held.langs):
-            home[np.fromiter(held.by_lang[lang].values(), np.int64, len(held.by_lang[lang]))] = i
-        out: list[tuple] = []
-        for size in range(1, LONGEST + 1):
-            if size == 1:
-                at = np.flatnonzero((weights > 0) & among(often, _mixed(hashes)))
-            elif size == 2:
-                at = np.flatnonzero((weights > 0) & pair)
-            else:
-                at = np.flatnonzero((weights > 0) & pair & (left > 2))
-                at = at[pair[at + 1]]
-            # numbers have 21 bits at most, so that three make an exact key
-            key = np.zeros(len(at), np.int64)
-            for k in range(size):
-                key = (key << 21) | numbers[at + k]
-            _, first, sums = _weighed(key, weights[at])
-            first = at[first]
-            spelled = [[held.listed[i] for i in numbers[first + k].tolist()] for k in range(size)]
-            phrases = spelled[0] if size == 1 else [b" ".join(x) for x in zip(*spelled, strict=True)]
-            out.append((home[numbers[first]], np.full(len(first), size), phrases, sums))
-        names = pa.array(held.langs, pa.string())
+        counted = lot.weights > 0
+        pair = np.zeros(len(lot.hashes) + 1, bool)
+        inside = np.flatnonzero(lot.left > 1)
+        pair[inside] = among(often, _pairs(lot.hashes[inside], lot.hashes[inside + 1]))
+        begins = [
+            np.flatnonzero(counted & among(often, mixed(lot.hashes))),
+            np.flatnonzero(counted & pair[:-1]),
+            np.flatnonzero(counted & pair[:-1] & pair[1:] & (lot.left > 2)),
+        ]
+        found = []
+        for more, at in enumerate(begins):
+            if not len(at):
+                continue
+            parts = [lot.hashes[at + k] for k in range(more + 1)]
+            key = parts[0]
+            for part in parts[1:]:
+                key = _pairs(key, part)
+            order, first = _groups(key, *parts)
+            here = at[order[first]]
+            found.append((here, here + more, np.add.reduceat(lot.weights[at[order]], first), more + 1))
+        here = np.concatenate([np.empty(0, np.int64), *(x[0] for x in found)])
+        ends = np.concatenate([np.empty(0, np.int64), *(x[1] for x in found)])
         return pa.RecordBatch.from_arrays(
             [
-                names.take(pa.array(np.concatenate([x[0] for x in out]))),
-                pa.array(np.concatenate([x[1] for x in out]), pa.int32()),
-                pa.array([p for x in out for p in x[2]], pa.binary()).cast(pa.string()),
-                pa.array(np.concatenate([x[3] for x in out]), pa.int64()),
+                lot.langs.take(pa.array(lot.lang[here])),
+                pa.array(np.concatenate([np.empty(0, np.int32), *(np.full(len(x[0]), x[3], np.int32) for x in found)])),
+                _array(*_strings(lot.data, lot.starts[here], lot.ends[ends])),
+                pa.array(np.concatenate([np.empty(0, np.int64), *(x[2] for x in found)])),
             ],
             names=["lang", "size", "phrase", "n"],
         )
@@ -242,13 +206,13 @@ def _spelled(often: np.ndarray):
 
 
 def chunk_dictionary(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", period: int = PERIOD) -> DataFrame:
-    """``(lang, chunk, goes_on, n)``: the distinct chunks of a corpus and their frequency."""
+    """``(lang, chunk, n)``: the distinct chunks of a corpus, as ``parse`` gives them, and their frequency."""
     rows = docs.select(
         F.coalesce(F.col(lang_column).cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )
-    parsed = rows.mapInArrow(_parsed(period), "lang string, chunk string, goes_on boolean")
-    return parsed.groupBy("lang", "chunk", "goes_on").agg(F.count("*").alias("n"))
+    parsed = rows.mapInArrow(_parsed(period), "lang string, chunk string")
+    return parsed.groupBy("lang", "chunk").agg(F.count("*").alias("n"))
 
 
 def frequent_ngrams(chunks: DataFrame, least: int = LEAST) -> DataFrame:
@@ -258,7 +222,7 @@ def frequent_ngrams(chunks: DataFrame, least: int = LEAST) -> DataFrame:
     """
     hashed = chunks.mapInArrow(_runs(_hashed), "hash bigint, n bigint")
     often = hashed.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
-    spelled = _runs(_spelled(bitmap(stored(often, "often"))))
+    spelled = _runs(_spelled(bitmap(stored(often, "often"), SPARSE)))
     counted = chunks.mapInArrow(spelled, "lang string, size int, phrase string, n bigint")
     return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -289,7 +253,8 @@ def collocations(
     Texts are read whole; a piece without any trigger is one chunk. Other columns are not read.
     """
     chunks = stored(chunk_dictionary(docs, lang_column, text_column, period), "chunks")
-    said = F.size(F.split("chunk", " ")) - F.when(F.col("goes_on"), F.lit(LONGEST - 1)).otherwise(F.lit(0))
+    overlap = F.when(F.endswith("chunk", F.lit(chr(OPEN))), F.lit(LONGEST - 1)).otherwise(F.lit(0))
+    said = F.length("chunk") - F.length(F.replace("chunk", F.lit(" "), F.lit(""))) + 1 - overlap
     sizes = chunks.groupBy("lang").agg(F.sum(F.col("n") * said).alias("words"))
     grams = stored(frequent_ngrams(chunks, least), "ngrams")
     part = lambda name, as_: grams.select("lang", F.col("phrase").alias(name), F.col("n").alias(as_))
