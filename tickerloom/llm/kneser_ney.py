@@ -40,7 +40,7 @@ START, UNKNOWN = (1 << 31) - 1, (1 << 31) - 2
 #: What a task holds before it adds up and hands on.
 HELD_TOKENS = 2_000_000
 #: Characters of training text for a shard, and bounds of the number of shards.
-SHARD_CHARS, SHARDS = 8_000_000, (8, 1 << 17)
+SHARD_CHARS, SHARDS = 8_000_000, (8, 1 << 22)
 #: Arrays that a worker keeps mapped at once.
 MAPPED = 8192
 #: What a context's array files have: all that follows, and what follows once, twice, more often.
