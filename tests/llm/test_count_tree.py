@@ -92,8 +92,8 @@ def test_ids_with_several_texts_connect_them(spark):
 
 def test_bound_of_a_node_holds_for_all_below():
     rng = np.random.default_rng(3)
-    points = rng.poisson(2.0, (500, count_tree.GROUPS)).astype(np.int32)
-    points[250:] = points[:250] + rng.integers(0, 2, (250, count_tree.GROUPS)) * (rng.random((250, 1)) < 0.5)
+    points = rng.poisson(2.0, (500, 128)).astype(np.int32)
+    points[250:] = points[:250] + rng.integers(0, 2, (250, 128)) * (rng.random((250, 1)) < 0.5)
     sizes = points.sum(axis=1).astype(np.int64)
     tree = count_tree.Tree(points, sizes)
     everything = np.ones(500, bool)
@@ -102,6 +102,26 @@ def test_bound_of_a_node_holds_for_all_below():
         assert sorted(tree.search(i, everything)) == np.flatnonzero(9 * common >= 4 * (sizes + sizes[i])).tolist()
 
 
+def test_bound_holds_between_points_of_different_size():
+    rng = np.random.default_rng(5)
+    for size in (3, 100, 127, 128, 129, 511, 512, 4000):
+        whole = np.unique(rng.integers(1 << 63, size=size, dtype=np.uint64))
+        for kept in (size, -(-size * 9 // 10), size - 1):
+            part = whole[:kept]
+            a, b = (count_tree._points([count_tree.point(x).tobytes()])[0] for x in (whole, part))
+            groups = min(len(a), len(b))
+            assert max(len(a), len(b)) <= 2 * groups
+            assert np.minimum(count_tree.folded(a, groups), count_tree.folded(b, groups)).sum() >= kept
+
+
+def test_long_sets_that_share_half_are_not_taken_for_near():
+    rng = np.random.default_rng(6)
+    common = rng.integers(1 << 63, size=800, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(1 << 63, size=800, dtype=np.uint64)])) for _ in range(40)]
+    points = count_tree._points([count_tree.point(x).tobytes() for x in sets])
+    assert count_tree.forest(points, np.array([len(x) for x in sets]), None) == ([], [])
+
+
 def test_bitmap_has_all(spark):
     frame = spark.range(1000).select(F.xxhash64("id").alias("h"))
     bits = bitmap(frame)

@@ -1,11 +1,15 @@
 """Jaccard join of shingle sets over R-trees of count vectors.
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles. Hashes fall into
-``GROUPS`` groups, and the counts of the groups are a point. Two sets have at most the sum of the
+groups by their last bits, two to four in a group, and the counts of the groups are a point. Two sets have at most the sum of the
 coordinate minima of their points in common, and sets below a node of an R-tree at most the sum
 of the minima with the node's upper corner. Sets link when ``100 * common >= 80 * union``, that is
 ``9 * common >= 4 * (size + size)``, so a subtree whose bound is below that is passed over.
 
+The number of groups is a power of two that follows the size of the set, since a bound is only close
+where few hashes share a group. Sets that link differ in size by a quarter at most, so their points
+have equal numbers of groups or one has twice as many and is folded.
+
 One tree over all points would meet most of its leaves for every point, since corners of unrelated
 sets are high. So there are many trees: sets that link share one of the first
 ``size - ceil(0.8 * size) + 1`` hashes in any common order, and each such hash has a tree of the sets
@@ -35,6 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +49,8 @@ from tickerloom.llm.components import connected_components
 from tickerloom.llm.hashing import Powers, shingle_sets
 
 WIDTH = 5
-GROUPS = 128
+#: Hashes of a set for each group, and the fewest groups.
+CROWD, LEAST_GROUPS = 4, 32
 #: Prefix counts from which a hash comes last in the order.
 FREQUENT = 64
 #: Sets that a task compares with each other.
@@ -56,23 +62,42 @@ LEAF, FAN = 32, 8
 FULL = 255
 #: Rows of sorted groups that are taken up at once.
 STEP = 512
-#: Bits for each frequent hash: few sets are to be taken for affected that are not.
-SPARSE_FREQUENT = 4096
+#: Bits for each frequent hash, since few sets are to be taken for affected that are not, and the
+#: most bits as a power of two; bits for each shared hash.
+SPARSE_FREQUENT, MOST_FREQUENT, SPARSE_SHARED = 1024, 24, 8
 #: Keys of sets that a task remembers, so as not to describe a copy again.
 KNOWN_SETS = 500_000
 
 
 def point(found: np.ndarray) -> np.ndarray:
-    counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    groups = max(LEAST_GROUPS, 1 << (len(found) // CROWD).bit_length())
+    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return np.minimum(counts, FULL).astype(np.uint8)
 
 
-def _points(packed: list[bytes]) -> np.ndarray:
-    found = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    found[found == FULL] = 1 << 22
+def _points(packed: list[bytes]) -> list[np.ndarray]:
+    points = [np.frombuffer(x, np.uint8).astype(np.int32) for x in packed]
+    for found in points:
+        found[found == FULL] = 1 << 22
+    return points
+
+
+def folded(found: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer groups."""
+    while len(found) > groups:
+        found = found[: len(found) // 2] + found[len(found) // 2 :]
     return found
 
 
+def _levels(points: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every number of groups: the points that have it or twice as many, as rows of a matrix, and
+    which of them have just that many. A pair that may link has such a point in one of these."""
+    lengths = np.array([len(p) for p in points])
+    for groups in np.unique(lengths).tolist():
+        at = np.flatnonzero((lengths == groups) | (lengths == 2 * groups))
+        yield at, np.stack([folded(points[i], groups) for i in at]), lengths[at] == groups
+
+
 def prefix_size(size: int) -> int:
     return size - -(-8 * size // 10) + 1
 
@@ -139,44 +164,53 @@ def _verified(of: int, found: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return found[100 * common >= 80 * (len(own) + lengths - common)]
 
 
-def forest(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None) -> tuple[list[int], list[int]]:
-    """Positions of a spanning forest of the links, or of the surviving pairs without ``sets``."""
-    tree = Tree(points, sizes)
-    left = np.ones(len(points), bool)
+def forest(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | None) -> tuple[list[int], list[int]]:
+    """Positions of links, or without ``sets`` of surviving pairs, that connect what all of them connect."""
     a: list[int] = []
     b: list[int] = []
-    for start in range(len(points)):
-        if not left[start]:
+    for at, matrix, own in _levels(points):
+        if len(at) == 1:
             continue
-        left[start] = False
-        todo = deque([start])
-        while todo:
-            of = todo.popleft()
-            found = tree.search(of, left)
-            if sets is not None:
-                found = _verified(of, found, sets)
-            left[found] = False
-            a += [of] * len(found)
-            b += found.tolist()
-            todo.extend(found.tolist())
+        tree = Tree(matrix, sizes[at])
+        here = [sets[i] for i in at] if sets is not None else None
+        left = np.ones(len(at), bool)
+        for start in range(len(at)):
+            if not left[start]:
+                continue
+            left[start] = False
+            todo = deque([start])
+            while todo:
+                of = todo.popleft()
+                found = tree.search(of, left if own[of] else left & own)
+                if here is not None:
+                    found = _verified(of, found, here)
+                left[found] = False
+                a += [int(at[of])] * len(found)
+                b += at[found].tolist()
+                todo.extend(found.tolist())
     return a, b
 
 
-def crossing(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None, parts: np.ndarray, probes: np.ndarray) -> tuple[list[int], list[int]]:
+def crossing(
+    points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | None, parts: np.ndarray, probes: np.ndarray
+) -> tuple[list[int], list[int]]:
     """Positions of links that join the ``parts`` of ``probes`` with other parts."""
-    tree = Tree(points, sizes)
     label = np.unique(parts, return_inverse=True)[1]
     a: list[int] = []
     b: list[int] = []
-    for of in np.flatnonzero(probes).tolist():
-        found = tree.search(of, label != label[of])
-        if sets is not None:
-            found = _verified(of, found, sets)
-        for i in found.tolist():
-            if label[i] != label[of]:
-                label[label == label[i]] = label[of]
-                a.append(of)
-                b.append(i)
+    for at, matrix, own in _levels(points):
+        tree = Tree(matrix, sizes[at])
+        here = [sets[i] for i in at] if sets is not None else None
+        for of in np.flatnonzero(probes[at]).tolist():
+            other = label[at] != label[at[of]]
+            found = tree.search(of, other if own[of] else other & own)
+            if here is not None:
+                found = _verified(of, found, here)
+            for i in at[found].tolist():
+                if label[i] != label[at[of]]:
+                    label[label == label[i]] = label[at[of]]
+                    a.append(int(at[of]))
+                    b.append(i)
     return a, b
 
 
@@ -203,13 +237,13 @@ def _by_group(exact: bool, probing: bool):
         a: list[int] = []
         b: list[int] = []
         if not probing:
-            two = starts[ends - starts == 2]  # most groups are pairs
-            bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
-            two = two[9 * bound >= 4 * (sizes[two] + sizes[two + 1])].tolist()
-            if exact:
-                two = [i for i in two if len(_verified(i, np.array([i + 1]), sets))]
-            a += two
-            b += [i + 1 for i in two]
+            for i in starts[ends - starts == 2].tolist():  # most groups are pairs
+                groups = min(len(points[i]), len(points[i + 1]))
+                bound = np.minimum(folded(points[i], groups), folded(points[i + 1], groups)).sum()
+                near = 9 * bound >= 4 * (sizes[i] + sizes[i + 1])
+                if near and (not exact or len(_verified(i, np.array([i + 1]), sets))):
+                    a.append(i)
+                    b.append(i + 1)
         for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
             if probing:
                 parts = rows.column("part").to_numpy()[i:j]
@@ -369,13 +403,13 @@ def _again(late: np.ndarray, chosen: np.ndarray):
     return run
 
 
-def _entries(shared: np.ndarray, late: np.ndarray | None):
+def _entries(shared: Broadcast, late: np.ndarray | None):
     """(hash, key) of rows (key, prefix): hashes that may be shared, of sets without a late one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, rows = _flat(batch.column(1))
-            kept = among(shared, hashes)
+            kept = among(shared.value, hashes)
             if late is not None:
                 affected = np.zeros(batch.num_rows, bool)
                 affected[rows[among(late, hashes)]] = True
@@ -409,12 +443,13 @@ def shared_prefixes(rows: DataFrame, sets: DataFrame) -> DataFrame:
     given = sets.where(F.size("prefix") > 0)
     counts = given.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
     counts = stored(counts.where("n > 1"), "counts")
-    late = bitmap(counts.where(F.col("n") >= FREQUENT).select("hash"), SPARSE_FREQUENT)
+    late = bitmap(counts.where(F.col("n") >= FREQUENT).select("hash"), SPARSE_FREQUENT, MOST_FREQUENT)
     affected = bitmap(stored(given.select("doc_id", "prefix").mapInArrow(_affected(late), "doc_id bigint"), "affected"))
     again = rows.mapInArrow(_again(late, affected), "key bigint, prefix array<bigint>, added array<bigint>")
     again = stored(again, "prefixes")
     added = again.select(F.explode("added").alias("hash"))
-    shared = bitmap(counts.select("hash").unionByName(added))
+    shared = bitmap(counts.select("hash").unionByName(added), SPARSE_SHARED)
+    shared = rows.sparkSession.sparkContext.broadcast(shared)  # 16 MB at most, once for both
     schema = "hash bigint, key bigint"
     kept = given.select("key", "prefix").mapInArrow(_entries(shared, late), schema)
     return kept.unionByName(again.select("key", "prefix").mapInArrow(_entries(shared, None), schema))
